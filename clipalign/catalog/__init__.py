@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("evaluation", "similarity", "telemetry", "text")
+MODULES = ("evaluation", "similarity", "telemetry", "text", "curation", "sampling", "joining", "temporal")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

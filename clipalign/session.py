@@ -40,5 +40,6 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` when its row count is checked to be small; otherwise leave the join to Catalyst."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    """Compute ``df`` once, then broadcast it if its row count is small; otherwise leave the join to Catalyst."""
+    computed = materialize(df)
+    return F.broadcast(computed) if is_small(computed, max_rows) else computed
