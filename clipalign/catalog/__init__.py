@@ -12,7 +12,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("evaluation", "similarity", "telemetry", "text", "curation", "sampling", "joining", "temporal", "tokens")
+MODULES = (
+    "evaluation", "similarity", "telemetry", "text", "curation", "sampling", "joining", "temporal", "tokens", "files",
+    "streams",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

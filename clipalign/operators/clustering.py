@@ -134,11 +134,12 @@ def cluster_colors(points: DataFrame, cluster: str, feature: str) -> DataFrame:
     vec = centroids.withColumn("_x", array_to_vector("_c"))
     projected = PCA(k=3, inputCol="_x", outputCol="_p").fit(vec).transform(vec).withColumn("_p", vector_to_array("_p"))
     axes = projected.select(cluster, *[F.get("_p", F.lit(i)).alias(a) for i, a in enumerate("xyz")])
-    bounds = axes.agg(*[F.percentile(a, F.array(F.lit(0.02), F.lit(0.98))).alias(f"_b{a}") for a in "xyz"])
-    shown = axes.join(F.broadcast(bounds))  # one row of bounds
+    bounds = axes.agg(F.struct(*[
+        F.percentile(a, F.array(F.lit(0.02), F.lit(0.98))).alias(a) for a in "xyz"]).alias("b")).scalar()
+    shown = axes.withColumn("_b", bounds)
     colors = []
     for axis, channel in zip("xyz", "rgb"):
-        low, high = F.get(f"_b{axis}", F.lit(0)), F.get(f"_b{axis}", F.lit(1))
+        low, high = F.get(f"_b.{axis}", F.lit(0)), F.get(f"_b.{axis}", F.lit(1))
         part = (F.col(axis) - low) / F.greatest(high - low, F.lit(1e-6))
         colors.append((F.lit(0.15) + F.lit(0.85) * scalars.clamp(part, F.lit(0.0), F.lit(1.0))).alias(channel))
     rgb = shown.select(cluster, *colors)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clipalign.functions import scalars, vectors
+from clipalign.session import is_small, materialize
 
 # Column order of the trial table.
 TRIAL_FIELDS = [
@@ -350,3 +351,43 @@ def shard_rollup(rows: DataFrame, groups: Sequence[str] = ("model_name",)) -> Da
         F.to_json(F.map_from_entries(by_offset)).alias("offset_count_json"),
         F.sum("n").alias("n_correct"),
     )
+
+
+def full_summary(
+    rows: DataFrame, grid: Sequence[float], num_clips: int, data_iter: int, exp_name: str = "", max_shards: int = 100_000
+) -> DataFrame:
+    """All summary fields per model. The two maps over shards stay empty beyond ``max_shards`` shards.
+
+    ``shard_rollup`` holds the same counts row by row for any number of shards.
+    """
+    key = ["model_name"]
+    zero = zero_class(grid)
+    confusion = zero_offset_confusion(rows, grid) if zero is not None else None
+    summary = trial_summary(rows, grid).join(class_counts(rows, len(grid)), key, "left")
+    by_shard = materialize(shard_rollup(rows))
+    if is_small(by_shard, max_shards):
+        def nested(column: str) -> Column:
+            entry = F.concat(F.lit('"'), F.col("shard"), F.lit('": '), F.col(column))
+            return F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}"))
+
+        maps = by_shard.groupBy(*key).agg(
+            nested("class_count_json").alias("correct_target_class_count_per_tar_json"),
+            nested("offset_count_json").alias("correct_target_offset_sec_count_per_tar_json"))
+        summary = summary.join(maps, key, "left")
+    if confusion is not None:
+        counts = F.array_sort(F.collect_list(F.struct(F.col("cls").cast("string").alias("key"), F.col("n").alias("v"))))
+        shares = F.array_sort(F.collect_list(F.struct(
+            F.col("cls").cast("string").alias("key"),
+            F.struct(F.col("n").alias("count"), "frequency", "pred_offset_sec").alias("v"))))
+        zero_maps = confusion.groupBy(*key).agg(
+            F.sum("n").alias("zero_offset_num_trials"),
+            F.to_json(F.map_from_entries(counts)).alias("zero_offset_pred_class_count_json"),
+            F.to_json(F.map_from_entries(shares)).alias("zero_offset_pred_class_frequency_json"))
+        summary = summary.join(zero_maps, key, "left")
+    constants = {
+        "exp_name": F.lit(exp_name), "num_clips": F.lit(num_clips), "data_iter": F.lit(data_iter),
+        "zero_offset_target_class_index": F.lit(zero).cast("bigint"),
+    }
+    for name, value in constants.items():
+        summary = summary.withColumn(name, value)
+    return summary.select(*[F.col(f) if f in summary.columns else F.lit(None).cast("string").alias(f) for f in SUMMARY_FIELDS])
