@@ -79,7 +79,7 @@ def tar_member_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # a second .mp4 repeats the lowered extension of the first member and so opens a sample of its own
 SAMPLES = """
 samples AS (
-  SELECT doc_id, shard, member[1:17] AS key, (part = 4)::INT AS second, count(*) AS n_members,
+  SELECT doc_id, shard, member[1:16] AS key, (part = 4)::INT AS second, count(*) AS n_members,
     count(*) FILTER (part = 1) > 0 AS has_txt, max(member) FILTER (part = 3) AS jpg, max(member) FILTER (part = 2) AS png,
     max(member) FILTER (part = 1) AS txt
   FROM members GROUP BY 1, 2, 3, 4

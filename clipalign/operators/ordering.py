@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clipalign.functions.scalars import seeded_digest
-from clipalign.session import materialize
+from clipalign.session import broadcast_if_small, materialize
 
 _SLICE = "_slice"
 _UPTO_PREVIOUS = (Window.unboundedPreceding, -1)
@@ -73,8 +73,21 @@ def running_totals(
 def row_numbers(
     df: DataFrame, order: Sequence[Column | str], groups: Sequence[str] = (), rank: str = "rank"
 ) -> DataFrame:
-    """Add the 1-based row number per group in the given total order."""
-    return running_totals(df, order, {rank: F.lit(1).cast("bigint")}, groups)
+    """Add the 1-based row number per group in the given total order.
+
+    The position inside a slice comes from the sort itself, so the rows are shuffled once; what is joined
+    back has one row per slice and group.
+    """
+    full_order = [*[F.col(g) for g in groups], *order]
+    ranged = df.repartitionByRange(*full_order).sortWithinPartitions(*full_order)
+    # the low 33 bits of the id count the rows of a partition
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sliced = materialize(ranged.withColumn(_SLICE, F.spark_partition_id()).withColumn("_pos", within))
+    parts = sliced.groupBy(_SLICE, *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(*_UPTO_PREVIOUS))
+    shifts = parts.select(_SLICE, *groups, (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    joined = sliced.join(broadcast_if_small(shifts), [_SLICE, *groups])
+    return joined.withColumn(rank, F.col("_pos") + F.col("_shift")).drop(_SLICE, "_pos", "_shift")
 
 
 def neighbours(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clipalign.functions import scalars
 from clipalign.operators.ordering import carry_last
+from clipalign.session import materialize
 
 # The prompt templates of zero-shot classification.
 TEMPLATES = [
@@ -126,6 +127,7 @@ NUMBER = r"[-+]?(?:\d*\.\d+|\d+)(?:[eE][-+]?\d+)?"
 PROGRESS_LINE = (
     r"\|\s+INFO\s+\|\s+(Train|Valid|Val|Eval|Test).*?Epoch:\s*(\d+).*?\[\s*(\d+)\s*/\s*(\d+)"
 )
+METRIC_PIECE = rf"\b{{}}\s*:\s*(?:{NUMBER})(?:\s*\((?:{NUMBER})\))?"
 EPOCH_LOSS_LINE = r"(train|valid) \((\d+)\): total_loss ([0-9.]+);"
 EPOCH_METRICS_LINE = (
     r"(train|valid) \((\d+)\) metrics: .*?'accuracy_1': ([0-9.]+).*?'accuracy_5': ([0-9.]+)"
@@ -142,26 +144,29 @@ def parse_progress(lines: DataFrame, value: str = "value") -> DataFrame:
 
     ``<metric>_plot`` is the running value when the log has any for that metric, otherwise the current one.
     """
-    matched = lines.where(F.col(value).rlike(PROGRESS_LINE))
-    phase = F.regexp_extract(value, PROGRESS_LINE, 1)
+    head = F.regexp_extract(value, PROGRESS_LINE, 0)
+    pieces = {
+        # one search per metric; the numbers are then cut from the short match
+        m.lower(): F.when(F.contains(F.col(value), F.lit(m)), F.regexp_extract(value, METRIC_PIECE.format(m), 0))
+        for m in PROGRESS_METRICS
+    }
+    # inline keeps the filters below from being pushed under the searches, which would run them again
+    cut = lines.select(F.inline(F.array(F.struct(
+        head.alias("_head"), *[p.alias(f"_{m}") for m, p in pieces.items()])))).where("_head <> ''")
+    parts = F.split(F.regexp_replace("_head", PROGRESS_LINE, "$1,$2,$3,$4"), ",")
+    phase = F.get(parts, F.lit(0))
     fields = [F.when(phase.isin("Valid", "Val"), "Eval").otherwise(phase).alias("phase")]
-    for group, name in ((2, "epoch"), (3, "seen_in_phase"), (4, "phase_total")):
-        fields.append(F.regexp_extract(value, PROGRESS_LINE, group).cast("bigint").alias(name))
-    for metric in PROGRESS_METRICS:
-        pattern = rf"\b{metric}\s*:\s*({NUMBER})(?:\s*\(({NUMBER})\))?"
-        fields += [_number(value, pattern, 1).alias(metric.lower()),
-                   _number(value, pattern, 2).alias(f"{metric.lower()}_avg")]
-    parsed = matched.select(*fields)
-    found = F.coalesce(*[m.lower() for m in PROGRESS_METRICS]).isNotNull()
-    parsed = parsed.where(found).withColumn(
-        "phase_progress", F.col("epoch") * F.col("phase_total") + F.col("seen_in_phase")).distinct()
+    for position, name in ((1, "epoch"), (2, "seen_in_phase"), (3, "phase_total")):
+        fields.append(F.get(parts, F.lit(position)).cast("bigint").alias(name))
+    for m in pieces:
+        fields += [_number(f"_{m}", rf":\s*({NUMBER})", 1).alias(m), _number(f"_{m}", rf"\(({NUMBER})\)$", 1).alias(f"{m}_avg")]
+    found = F.concat_ws("", *[f"_{m}" for m in pieces]) != ""
+    parsed = materialize(cut.where(found).select(*fields).withColumn(
+        "phase_progress", F.col("epoch") * F.col("phase_total") + F.col("seen_in_phase")).distinct())
     names = [m.lower() for m in AVERAGED_METRICS]
-    averaged = parsed.agg(*[F.count(f"{m}_avg").alias(m) for m in names])
-    for m in names:
-        parsed = parsed.withColumn(f"_has_{m}", averaged.select(m).scalar())
-    plots = [F.when(F.col(f"_has_{m}") > 0, F.col(f"{m}_avg")).otherwise(F.col(m)).alias(f"{m}_plot") for m in names]
-    kept = [c for c in parsed.columns if not c.startswith("_has_")]
-    return parsed.select(*kept, *plots)
+    averaged = parsed.agg(F.struct(*[F.count(f"{m}_avg").alias(m) for m in names]).alias("a")).scalar()
+    plots = [F.when(F.col(f"_has.{m}") > 0, F.col(f"{m}_avg")).otherwise(F.col(m)).alias(f"{m}_plot") for m in names]
+    return parsed.withColumn("_has", averaged).select(*parsed.columns, *plots)
 
 
 def parse_epochs(lines: DataFrame, line_no: str = "line_no", value: str = "value") -> DataFrame:
