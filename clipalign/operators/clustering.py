@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from clipalign.functions import scalars, vectors
-from clipalign.operators.ordering import hash_ranks, row_numbers
+from clipalign.operators.ordering import hash_first, row_numbers
 from clipalign.operators.sampling import cluster_stratified_sample
 from clipalign.operators.similarity import mean_vector
 from clipalign.operators.tokens import UNASSIGNED
@@ -44,7 +44,7 @@ def landmark_embedding(df: DataFrame, feature: str, key: str, n_eig: int, seed:
     if landmarks > MAX_LANDMARKS:
         raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
     unit = df.withColumn("_u", vectors.l2_normalize(vectors.as_double(F.col(feature))))
-    chosen = hash_ranks(unit.select(key, "_u"), seed, key).where(F.col("rank") <= landmarks).orderBy("rank")
+    chosen = unit.select(key, "_u").orderBy(scalars.seeded_digest(seed, F.col(key)), key).limit(landmarks)
     marks = np.array([row["_u"] for row in chosen.select("_u").collect()])
     affinity = np.exp(marks @ marks.T - 1.0)
     root = 1.0 / np.sqrt(affinity.sum(axis=1))
@@ -98,15 +98,17 @@ def grouped_clusters(
     centroids to its tokens and averages on the map side.
     """
     points = materialize(df.withColumn("_u", vectors.l2_normalize(vectors.as_double(F.col(feature)))))
-    seeds = hash_ranks(points.select(group, key, "_u"), seed, key, [group]).where(F.col("rank") <= k)
-    centers = seeds.select(group, (F.col("rank") - 1).alias("cluster"), F.col("_u").alias("center"))
+    width = points.select(F.size("_u")).head()[0]
+    firsts = hash_first(points.select(group, key, "_u"), seed, key, [group], k)
+    numbered = Window.partitionBy(group).orderBy(scalars.seeded_digest(seed, F.col(key)))  # k rows per group
+    centers = firsts.select(group, (F.row_number().over(numbered) - 1).alias("cluster"), F.col("_u").alias("center"))
 
     def assign(current: DataFrame) -> DataFrame:
         packed = current.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("cluster", "center"))).alias("_centers"))
         gaps = F.transform("_centers", lambda c: F.struct(
             F.aggregate(F.zip_with("_u", c["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("gap"),
             c["cluster"].alias("cluster")))
-        return points.join(broadcast_if_small(packed), group).withColumn(
+        return points.join(broadcast_if_small(packed, row_bytes=k * width * 8), group).withColumn(
             "cluster", F.array_min(gaps)["cluster"]).drop("_centers")
 
     for _ in range(iterations):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clipalign.functions import scalars, vectors
-from clipalign.session import is_small, materialize
+from clipalign.session import broadcast_if_small, is_small, materialize
 
 # Column order of the trial table.
 TRIAL_FIELDS = [
@@ -88,7 +88,7 @@ def trial_rows(trials: DataFrame, grid: Sequence[float], exp_name: str = "", bat
     base = trials.withColumn("batch_idx", F.floor(F.col("trial") / batch_size)).withColumn(
         "_bad", ~F.coalesce(usable, F.lit(False)))
     failed = base.where("_bad").select("model_name", "batch_idx").distinct().withColumn("_failed", F.lit(True))
-    marked = base.join(failed, ["model_name", "batch_idx"], "left")
+    marked = base.join(broadcast_if_small(failed), ["model_name", "batch_idx"], "left")
     ok = F.col("_failed").isNull()
     good = top_k(marked.withColumn("logits", F.when(ok, F.col("logits"))), grid)
     offset = F.col("target_offset") if "target_offset" in has else F.get(grid_column(grid), target)
@@ -133,18 +133,33 @@ def trial_summary(rows: DataFrame, grid: Sequence[float], groups: Sequence[str]
     Class errors and errors between grid points take few distinct values, so the exact medians stay small.
     """
     ok = F.col("status") == "ok"
-    figures = rows.groupBy(*groups).agg(
-        F.count_if(ok).alias("num_trials"),
-        F.count_if(~ok).alias("num_errors"),
-        F.avg("top1_correct").alias("accuracy_1"),
-        F.avg("top1_pm1_class_correct").alias("accuracy_1_pm1_class"),
-        F.avg("top5_correct").alias("accuracy_5"),
-        F.avg("abs_class_error").alias("mean_abs_class_error"),
-        F.percentile("abs_class_error", F.lit(0.5)).alias("median_abs_class_error"),
-        F.avg("abs_offset_error_sec").alias("mean_abs_offset_error_sec"),
-        F.percentile("abs_offset_error_sec", F.lit(0.5)).alias("median_abs_offset_error_sec"),
+    # one pass over the rows; everything below reads the few distinct cells
+    cells = materialize(rows.groupBy(
+        *groups, ok.alias("_ok"), "target_class_index", "abs_class_error", "abs_offset_error_sec"
+    ).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("top1_correct").alias("_t1"),
+        F.sum("top1_pm1_class_correct").alias("_pm1"), F.sum("top5_correct").alias("_t5")))
+    counted = F.sum(F.when(F.col("_ok"), F.col("_n")).otherwise(0))
+
+    def mean(hits: Column) -> Column:
+        return F.try_divide(F.sum(F.when(F.col("_ok"), hits)).cast("double"), counted)
+
+    def median(value: str) -> Column:
+        return F.percentile(F.when(F.col("_ok"), F.col(value)), F.lit(0.5), F.col("_n"))
+
+    figures = cells.groupBy(*groups).agg(
+        counted.alias("num_trials"),
+        F.sum(F.when(~F.col("_ok"), F.col("_n")).otherwise(0)).alias("num_errors"),
+        mean(F.col("_t1")).alias("accuracy_1"),
+        mean(F.col("_pm1")).alias("accuracy_1_pm1_class"),
+        mean(F.col("_t5")).alias("accuracy_5"),
+        mean(F.col("abs_class_error") * F.col("_n")).alias("mean_abs_class_error"),
+        median("abs_class_error").alias("median_abs_class_error"),
+        mean(F.col("abs_offset_error_sec") * F.col("_n")).alias("mean_abs_offset_error_sec"),
+        median("abs_offset_error_sec").alias("median_abs_offset_error_sec"),
     )
-    per_class = rows.where(ok).groupBy(*groups, "target_class_index").agg(F.avg("top1_correct").alias("acc"))
+    per_class = cells.where("_ok").groupBy(*groups, "target_class_index").agg(
+        (F.sum("_t1") / F.sum("_n")).alias("acc"))
     absent = F.array_repeat(F.lit(0.0), F.lit(len(grid)) - F.count(F.lit(1)).cast("int"))
     medians = per_class.groupBy(*groups).agg(
         F.array_sort(F.concat(F.collect_list("acc"), absent)).alias("_all"),
@@ -362,6 +377,9 @@ def full_summary(
     """
     key = ["model_name"]
     zero = zero_class(grid)
+    rows = materialize(rows.select(
+        "model_name", "sample_id", "status", "target_class_index", "target_offset_sec", "pred_class_index", "top1_correct",
+        "top1_pm1_class_correct", "top5_correct", "abs_class_error", "abs_offset_error_sec"))
     confusion = zero_offset_confusion(rows, grid) if zero is not None else None
     summary = trial_summary(rows, grid).join(class_counts(rows, len(grid)), key, "left")
     by_shard = materialize(shard_rollup(rows))

@@ -45,6 +45,30 @@ def hash_ranks(
     return ranked.drop("_digest", _SLICE, "_before")
 
 
+def hash_first(
+    df: DataFrame, seed: str, key: str, groups: Sequence[str], quota: int | DataFrame, digits: int = 3
+) -> DataFrame:
+    """The first rows of each group in its seeded shuffle: ``quota`` rows, or as many as a table says per group.
+
+    Only the slices of the digest that can hold such rows are ranked, so a small quota shuffles few rows.
+    ``quota`` as a table has the group columns and ``quota``.
+    """
+    shuffled = df.withColumn("_digest", seeded_digest(seed, F.col(key))).withColumn(
+        _SLICE, F.substring("_digest", 1, digits))
+    sizes = shuffled.groupBy(*groups, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(*_UPTO_PREVIOUS)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+    if isinstance(quota, DataFrame):
+        offsets = offsets.join(quota, list(groups))
+    else:
+        offsets = offsets.withColumn("quota", F.lit(quota))
+    needed = offsets.where(F.col("_before") < F.col("quota")).withColumnRenamed("quota", "_quota")
+    near = shuffled.join(broadcast_if_small(needed), [*groups, _SLICE])
+    within = Window.partitionBy(*groups, _SLICE).orderBy("_digest", key)
+    ranked = near.withColumn("_rank", F.row_number().over(within) + F.col("_before"))
+    return ranked.where(F.col("_rank") <= F.col("_quota")).select(*df.columns)
+
+
 def ordered_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Range-partition by the order, number the partitions in ``_slice`` and fix the result by checkpoint."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -148,7 +172,7 @@ def exact_quantiles(
         df = df.withColumn("_all", F.lit(1))
     runs = cumulative_counts(df, value, keys)
     sizes = runs.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    placed = runs.join(sizes, keys)
+    placed = runs.join(broadcast_if_small(sizes), keys)
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
     picks = []
     for name, q in quantiles.items():

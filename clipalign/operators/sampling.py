@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clipalign.functions import scalars
-from clipalign.operators.ordering import hash_ranks, row_numbers, running_totals
-from clipalign.session import broadcast_if_small
+from clipalign.operators.ordering import hash_first, hash_ranks, row_numbers, running_totals
+from clipalign.session import broadcast_if_small, materialize
 
 HOLD_OUT_RATIO = 0.1
 K_PER_CLASS = 50
@@ -44,7 +44,7 @@ def subsample(df: DataFrame, key: str, ratio: float | None, seed: str, at_least:
 
 
 def k_per_class(df: DataFrame, label: str, key: str, seed: str, k: int = K_PER_CLASS) -> DataFrame:
-    return hash_ranks(df, seed, key, [label]).where(F.col("rank") <= k).select(*df.columns)
+    return hash_first(df, seed, key, [label], k)
 
 
 def cluster_stratified_sample(tokens: DataFrame, key: str, cluster: str, size: int, seed: str) -> DataFrame:
@@ -56,18 +56,17 @@ def cluster_stratified_sample(tokens: DataFrame, key: str, cluster: str, size: i
     total = F.sum("_n").over(Window.partitionBy())
     share = F.least(F.col("_n"), F.greatest(F.lit(1), scalars.half_even(F.lit(float(size)) * (F.col("_n") / total)).cast("bigint")))
     ordered = Window.orderBy(cluster).rowsBetween(Window.unboundedPreceding, -1)
-    shared = sizes.select(cluster, total.alias("_total"), share.alias("_share"))
+    shared = sizes.select(cluster, "_n", total.alias("_total"), share.alias("_share"))
     spent = F.coalesce(F.sum("_share").over(ordered), F.lit(0))
-    targets = shared.withColumn(
-        "_target",
-        F.when(F.col("_total") <= size, F.lit(2**62)).otherwise(
-            F.greatest(F.lit(0), F.least(F.col("_share"), F.lit(size) - spent))))
-    ranked = hash_ranks(tokens, seed, key, [cluster]).join(broadcast_if_small(targets), cluster)
-    chosen = ranked.where(F.col("rank") <= F.col("_target")).select(*tokens.columns)
-    rest = ranked.where(F.col("rank") > F.col("_target")).select(*tokens.columns)
-    missing = targets.agg(F.lit(size) - F.sum("_target")).scalar()
-    extra = hash_ranks(rest, f"{seed}:extra", key).withColumn("_missing", missing)
-    return chosen.unionByName(extra.where(F.col("rank") <= F.col("_missing")).select(*tokens.columns))
+    target = F.when(F.col("_total") <= size, F.col("_n")).otherwise(
+        F.greatest(F.lit(0), F.least(F.col("_share"), F.lit(size) - spent)))
+    targets = materialize(shared.select(cluster, target.alias("quota")))
+    chosen = hash_first(tokens, seed, key, [cluster], targets)
+    missing = min(size, tokens.count()) - (targets.agg(F.sum("quota")).first()[0] or 0)
+    if missing <= 0:
+        return chosen
+    rest = tokens.join(broadcast_if_small(chosen.select(key)), key, "left_anti")
+    return chosen.unionByName(hash_first(rest, f"{seed}:extra", key, [], missing))
 
 
 def weighted_draws(

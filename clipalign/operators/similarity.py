@@ -35,7 +35,7 @@ def zero_shot_logits(
     feature: str = "feat",
     label: str = "target",
     scale: float = 100.0,
-    max_classes: int = 4096,
+    max_classes: int = 2048,
 ) -> DataFrame:
     """Add ``logits``: scaled cosine to every class vector, in class order.
 

@@ -39,7 +39,10 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Compute ``df`` once, then broadcast it if its row count is small; otherwise leave the join to Catalyst."""
+def broadcast_if_small(df: DataFrame, row_bytes: int = 256, max_bytes: int = 64 << 20) -> DataFrame:
+    """Compute ``df`` once, then broadcast it if its counted rows of about ``row_bytes`` fit ``max_bytes``.
+
+    A larger one is left to Catalyst, which shuffles and splits skewed keys at run time.
+    """
     computed = materialize(df)
-    return F.broadcast(computed) if is_small(computed, max_rows) else computed
+    return F.broadcast(computed) if is_small(computed, max_bytes // row_bytes) else computed
