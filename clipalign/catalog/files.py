@@ -204,11 +204,15 @@ c AS (SELECT cluster, count(*) AS n FROM tokens WHERE cluster >= 0 GROUP BY 1)""
 v AS (SELECT video, n, sum(n) OVER (ORDER BY video) AS e FROM (SELECT video, count(*) AS n FROM tokens GROUP BY 1))"""], """
 SELECT 'totals' AS section, '' AS key, '{"stage_name":"global","num_videos":' || count(DISTINCT video) || ',"num_tokens_total":' || count(*)
   || ',"num_tokens_assigned":' || count(*) FILTER (cluster >= 0) || '}' AS body FROM tokens
+UNION ALL SELECT 'argument', 'n_clusters', '{"value":"5"}' UNION ALL SELECT 'argument', 'seed', '{"value":"7"}'
+UNION ALL SELECT 'unit', video || '/' || parent, '{"start_sec":' || t0 || ',"end_sec":' || t1 || '}' FROM tokens
 UNION ALL SELECT 'cluster', cluster::VARCHAR, '{"count":' || n || ',"hex":"#0' || cluster || '0000"}' FROM c
 UNION ALL SELECT 'video', video::VARCHAR, '{"token_start":' || (e - n)::BIGINT || ',"token_end":' || e::BIGINT || ',"token_count":' || n || '}' FROM v"""))
 def sink_manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = views.tokens(spark, sf_dir)
     colors = tokens.select("cluster").distinct().withColumn("hex", F.concat(F.lit("#0"), F.col("cluster"), F.lit("0000")))
     path = scratch_path(spark, "manifest")
-    tb.manifest_lines(tokens, tk.token_offsets(tokens, ["video"]), colors, "global").write.json(path)
+    units = tokens.select("video", F.col("parent").alias("layer"), F.col("t0").alias("start_sec"), F.col("t1").alias("end_sec"))
+    offsets = tk.token_offsets(tokens, ["video"])
+    tb.manifest_lines(tokens, offsets, colors, "global", {"n_clusters": "5", "seed": "7"}, units).write.json(path)
     return spark.read.schema("section string, key string, body string").json(path)

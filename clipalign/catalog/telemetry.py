@@ -164,3 +164,25 @@ def progress_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("batch_seconds"))
     return tidy(tm.progress_lines(e).select(
         "event_id", "percent", "samples_per_s", "samples_per_s_per_device", "line"))
+
+
+@query("best_epoch", with_ctes([HISTORY, """
+h AS (SELECT run, epoch, CASE WHEN epoch % 6 <> 0 THEN metric END AS metric FROM history)""", """
+b AS (SELECT *, max(metric) OVER w AS hi, min(metric) OVER w AS lo, count(*) OVER w AS n FROM h
+      WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""], " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, run, epoch, {r6('metric', 'metric')}, CASE WHEN metric IS NULL THEN n = 0 WHEN {ref} IS NULL THEN true "
+    f"ELSE metric {sign} {ref} END AS is_best FROM b" for mode, ref, sign in (("max", "hi", ">"), ("min", "lo", "<")))))
+def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics arrive as a text map under a prefixed key, and every sixth epoch has no usable value."""
+    text = F.when(F.col("epoch") % 6 != 0, F.col("metric").cast("string")).otherwise(F.lit("n/a"))
+    logged = views.metric_history(spark, sf_dir).select(
+        "run", "epoch", F.create_map(F.lit("valid/loss"), F.lit("0.5"), F.lit("valid/precision"), text).alias("metrics"))
+    history = logged.select("run", "epoch", tm.metric_lookup(F.col("metrics"), "precision").alias("metric"))
+    up = tm.best_epochs(history, True).withColumn("mode", F.lit("max"))
+    return tidy(up.unionByName(tm.best_epochs(history, False).withColumn("mode", F.lit("min"))))
+
+
+@query("stage_ratio", f"""
+SELECT {r6("sum(value) FILTER (event_type = 'click') / sum(value) FILTER (event_type = 'view')", "ratio")} FROM events""")
+def stage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(tm.stage_ratio(tm.timing_summary(views.stage_times(spark, sf_dir)), "click", "view"))

@@ -173,11 +173,14 @@ def segment_ranges_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("segment_window", with_ctes([CLIPS, """
 w AS (SELECT clip_id, v_len, 16 + (5 + clip_id % 10 - 1) * 8 AS req FROM clips)"""], f"""
-SELECT clip_id, req AS required_frames, {r6("ceil((req + 1) / 25 * 1000) / 1000", "safe_seconds")}, v_len >= req AS fits FROM w"""))
+SELECT clip_id, req AS required_frames, {r6("ceil((req + 1) / 25 * 1000) / 1000", "safe_seconds")}, v_len >= req AS fits,
+  4.68::DOUBLE + 1e-9 >= ceil((req + 1) / 25 * 1000) / 1000 AS chunk_is_safe FROM w"""))
 def segment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = tp.segment_window(F.lit(16), F.col("clip_id") % 10 + 5, F.lit(0.5), 25)
     clips = _clips(spark, sf_dir).select("clip_id", "v_len", *[c.alias(n) for n, c in window.items()])
-    return tidy(clips.withColumn("fits", F.col("v_len") >= F.col("required_frames")).drop("v_len"))
+    fits = F.col("v_len") >= F.col("required_frames")
+    safe = tp.chunk_is_safe(F.lit(4.68), F.col("safe_seconds"))
+    return tidy(clips.withColumn("fits", fits).withColumn("chunk_is_safe", safe).drop("v_len"))
 
 
 @query("chunk_starts", with_ctes(["""

@@ -21,6 +21,10 @@ def _channels(cluster: Column) -> list[Column]:
 _RGB = "(cluster + 1) / 6 AS r, (cluster * 2) % 5 / 5 AS g, 1.0::DOUBLE - cluster / 7 AS b"
 
 
+def _palette(tokens: DataFrame) -> DataFrame:
+    return tokens.select("cluster").distinct().select("cluster", *_channels(F.col("cluster")))
+
+
 def _colored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tokens(spark, sf_dir).select("*", *_channels(F.col("cluster")))
 
@@ -52,20 +56,24 @@ SELECT gid AS global_token_index, vi AS video_index, 'v' || video || '.mp4' AS v
   {r6("t0 * 0.01::DOUBLE", "time_sec_start")}, {r6("t1 * 0.01::DOUBLE", "time_sec_end")} FROM g WHERE cluster <> -1"""))
 def token_metadata_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = views.tokens(spark, sf_dir)
-    colors = tokens.select("cluster").distinct().select("cluster", *_channels(F.col("cluster")))
+    colors = _palette(tokens)
     numbered = tk.global_token_ids(tokens, "video", "token_id")
     return tidy(tk.token_metadata(numbered, colors, F.col("parent") == 1, FRAME_SEC))
 
 
 @query("cluster_summary", with_ctes([TOKENS], f"""
-SELECT cluster AS cluster_id, CASE WHEN grouping(video) = 1 THEN -1 ELSE video END AS video_index,
+SELECT cluster AS cluster_id, {r6("(cluster + 1) / 6", "color_r")}, {r6("(cluster * 2) % 5 / 5", "color_g")},
+  {r6("1.0::DOUBLE - cluster / 7", "color_b")}, printf('#%02x%02x%02x', round_even((cluster + 1) / 6 * 255, 0)::INT,
+    round_even((cluster * 2) % 5 / 5 * 255, 0)::INT, round_even((1.0::DOUBLE - cluster / 7) * 255, 0)::INT) AS color_hex,
+  CASE WHEN grouping(video) = 1 THEN -1 ELSE video END AS video_index,
   CASE WHEN grouping(video) = 1 THEN 'ALL' ELSE 'v' || video || '.mp4' END AS video_name, count(*) AS token_count,
   array_to_string(list_sort(list(DISTINCT parent)), ' ') AS parent_cluster_ids_present,
   min(f0) AS freq_bin_start, max(f1) AS freq_bin_end, min(t0) AS time_frame_start, max(t1) AS time_frame_end,
   {r6("min(t0) * 0.01::DOUBLE", "time_sec_start")}, {r6("max(t1) * 0.01::DOUBLE", "time_sec_end")}
 FROM tokens WHERE cluster <> -1 GROUP BY GROUPING SETS ((cluster), (cluster, video))"""))
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(tk.cluster_summary(views.tokens(spark, sf_dir), FRAME_SEC))
+    tokens = views.tokens(spark, sf_dir)
+    return tidy(tk.cluster_summary(tokens, _palette(tokens), FRAME_SEC))
 
 
 @query("cluster_members", with_ctes([TOKENS, """

@@ -14,8 +14,7 @@ CREATE OR REPLACE TEMPORARY FUNCTION segment_plan(frames BIGINT, size BIGINT, st
 RETURNS TABLE (seg BIGINT, v_start BIGINT, v_end BIGINT)
 RETURN SELECT i, (frames - size - (n - 1) * stride) div 2 + i * stride,
               (frames - size - (n - 1) * stride) div 2 + i * stride + size
-FROM explode(sequence(0L, n - 1)) AS t(i)
-WHERE size + (n - 1) * stride <= frames"""
+FROM explode(CASE WHEN size + (n - 1) * stride <= frames THEN sequence(0L, n - 1) END) AS t(i)"""
 
 
 def register(spark: SparkSession) -> None:

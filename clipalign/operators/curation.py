@@ -55,7 +55,7 @@ def blocklist_union(lists: Mapping[str, DataFrame], key: str) -> DataFrame:
 def remove_blocked(clips: DataFrame, blocked: DataFrame, key: str, normalize: bool = False) -> DataFrame:
     """Clips whose key is on no list. Lines that carry ``.mp4`` match only with ``normalize``."""
     name = F.regexp_replace(key, r"\.mp4$", "") if normalize else F.col(key)
-    return clips.join(blocked.select(name.alias(key)), key, "left_anti")
+    return clips.join(broadcast_if_small(blocked.select(name.alias(key))), key, "left_anti")
 
 
 def keep_split(clips: DataFrame, split_ids: DataFrame, key: str) -> DataFrame:
@@ -115,7 +115,7 @@ def attach_fixed_offsets(clips: DataFrame, offsets: DataFrame, key: str, strict:
         single = single.select(
             key, "n_offsets", "is_sync",
             *[F.when(lone, F.col(c)).alias(c) for c in ("offset_sec", "v_start_i_sec")])
-    return clips.join(single.where("is_sync = 1"), key)
+    return clips.join(broadcast_if_small(single.where("is_sync = 1")), key)
 
 
 def merge_fixed_offsets(offsets: DataFrame, key: str, strict: bool = True) -> DataFrame:

@@ -180,7 +180,7 @@ def trial_summary(rows: DataFrame, grid: Sequence[float], groups: Sequence[str]
 
 
 def class_frame(df: DataFrame, groups: Sequence[str], n_classes: int, name: str) -> DataFrame:
-    """Every class of the grid for every group found in ``df``."""
+    """Every class of the grid for every group found in ``df``, a table of class counts."""
     classes = F.sequence(F.lit(0).cast("bigint"), F.lit(n_classes - 1).cast("bigint"))
     return df.select(*groups).distinct().select(*groups, F.explode(classes).alias(name))
 
@@ -222,14 +222,14 @@ def tolerance_accuracy(
 
 def per_class_metrics(trials: DataFrame, groups: Sequence[str], n_classes: int) -> DataFrame:
     """Accuracy and tolerance per target class; classes without trials stay empty."""
-    metrics = _scored(trials).groupBy(*groups, "target").agg(
+    metrics = materialize(_scored(trials).groupBy(*groups, "target").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(_hit(1)).alias("accuracy_1"),
         F.avg(_hit(5)).alias("accuracy_5"),
         _tolerance(1).alias("accuracy_1_tol1"),
         _tolerance(5).alias("accuracy_5_tol1"),
-    )
-    frame = class_frame(trials, groups, n_classes, "target")
+    ))
+    frame = class_frame(metrics, groups, n_classes, "target")
     return frame.join(metrics, [*groups, "target"], "left").fillna(0, ["n"])
 
 
@@ -240,9 +240,9 @@ def class_histogram(trials: DataFrame, groups: Sequence[str], n_classes: int) ->
         F.struct(pred.alias("cls"), F.lit(1).alias("p"), F.lit(0).alias("t")),
         F.struct(F.col("target").alias("cls"), F.lit(0).alias("p"), F.lit(1).alias("t")),
     )))
-    counts = marks.groupBy(*groups, "cls").agg(F.sum("p").alias("n_pred"), F.sum("t").alias("n_target"))
+    counts = materialize(marks.groupBy(*groups, "cls").agg(F.sum("p").alias("n_pred"), F.sum("t").alias("n_target")))
     totals = counts.groupBy(*groups).agg((F.sum("n_pred") / n_classes).alias("mean_line"))
-    frame = class_frame(trials, groups, n_classes, "cls")
+    frame = class_frame(counts, groups, n_classes, "cls")
     return (
         frame.join(counts, [*groups, "cls"], "left").fillna(0, ["n_pred", "n_target"])
         .join(totals, list(groups))
@@ -326,10 +326,10 @@ def squared_error_bins(
 def zero_offset_confusion(rows: DataFrame, grid: Sequence[float], groups: Sequence[str] = ("model_name",)) -> DataFrame:
     """For trials whose true offset is zero: count and share of every predicted class."""
     zero = zero_class(grid)
-    hits = rows.where((F.col("status") == "ok") & (F.col("target_class_index") == F.lit(zero)))
-    counts = hits.groupBy(*groups, F.col("pred_class_index").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    hit = (F.col("status") == "ok") & (F.col("target_class_index") == F.lit(zero))
+    counts = materialize(rows.groupBy(*groups, F.col("pred_class_index").alias("cls")).agg(F.count_if(hit).alias("n")))
     totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
-    frame = class_frame(rows, groups, len(grid), "cls")
+    frame = class_frame(counts, groups, len(grid), "cls")
     joined = frame.join(counts, [*groups, "cls"], "left").join(totals, list(groups), "left").fillna(0, ["n", "total"])
     return joined.select(
         *groups, "cls", F.get(grid_column(grid), F.col("cls").cast("int")).alias("pred_offset_sec"), "n",
@@ -338,9 +338,9 @@ def zero_offset_confusion(rows: DataFrame, grid: Sequence[float], groups: Sequen
 
 def class_counts(rows: DataFrame, n_classes: int, groups: Sequence[str] = ("model_name",)) -> DataFrame:
     """Target count per class as a JSON map with string keys in text order; absent classes count zero."""
-    counts = rows.where("status = 'ok'").groupBy(*groups, F.col("target_class_index").alias("cls")).agg(
-        F.count(F.lit(1)).alias("n"))
-    full = class_frame(rows, groups, n_classes, "cls").join(counts, [*groups, "cls"], "left").fillna(0, ["n"])
+    counts = materialize(rows.groupBy(*groups, F.col("target_class_index").alias("cls")).agg(
+        F.count_if(F.col("status") == "ok").alias("n")))
+    full = class_frame(counts, groups, n_classes, "cls").join(counts, [*groups, "cls"], "left").fillna(0, ["n"])
     entries = F.array_sort(F.collect_list(F.struct(F.col("cls").cast("string").alias("key"), "n")))
     return full.groupBy(*groups).agg(F.to_json(F.map_from_entries(entries)).alias("target_count_per_class_json"))
 

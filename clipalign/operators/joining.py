@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clipalign.functions import scalars, vectors
 from clipalign.operators.ordering import carry_last
+from clipalign.session import materialize
 
 
 def repeat_trials(clips: DataFrame, times: int) -> DataFrame:
@@ -105,7 +106,7 @@ def match_parent_runs(
     Earlier runs are first reduced to one row per content, so equal runs never multiply the join.
     ``status`` is ``none``, ``matched`` or ``ambiguous``.
     """
-    prints = items.groupBy(run).agg(*list_fingerprint(F.col("position"), F.col("item")))
+    prints = materialize(items.groupBy(run).agg(*list_fingerprint(F.col("position"), F.col("item"))))
     keys = ["_len", "_fp1", "_fp2", *params]
     known = earlier.join(prints, run).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_candidates"), F.max_by(run, F.struct("mtime", run)).alias("_newest"))

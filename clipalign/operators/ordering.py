@@ -46,7 +46,7 @@ def hash_ranks(
 
 
 def hash_first(
-    df: DataFrame, seed: str, key: str, groups: Sequence[str], quota: int | DataFrame, digits: int = 3
+    df: DataFrame, seed: str, key: str, groups: Sequence[str], quota: int | DataFrame, digits: int = 2
 ) -> DataFrame:
     """The first rows of each group in its seeded shuffle: ``quota`` rows, or as many as a table says per group.
 
@@ -161,11 +161,13 @@ def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) ->
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, quantiles: Mapping[str, float], groups: Sequence[str] = (), nearest: Sequence[str] = ()
+    df: DataFrame, value: str, quantiles: Mapping[str, float], groups: Sequence[str] = (), nearest: Sequence[str] = (),
+    figures: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, interpolated between neighbours, or at the nearest index for ``nearest``.
 
-    Works on running counts of the distinct values, so no task holds all values of a group.
+    Works on running counts of the distinct values, so no task holds all values of a group. ``figures`` are
+    further aggregates over the distinct values, weighted by their count ``n``.
     """
     keys = list(groups) or ["_all"]
     if not groups:
@@ -183,11 +185,12 @@ def exact_quantiles(
             F.max(F.when((first <= low) & (low <= last), F.col(value))).alias(f"_lo_{name}"),
             F.max(F.when((first <= high) & (high <= last), F.col(value))).alias(f"_hi_{name}"),
         ]
-    picked = placed.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
+    picked = placed.groupBy(*keys).agg(
+        F.max("_size").alias("_size"), *picks, *[c.alias(name) for name, c in (figures or {}).items()])
     outputs = []
     for name, q in quantiles.items():
         position = (F.col("_size") - 1) * F.lit(float(q))
         part = position - F.floor(position)
         blend = F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * part
         outputs.append((F.col(f"_lo_{name}") if name in nearest else blend).alias(name))
-    return picked.select(*groups, *outputs)
+    return picked.select(*groups, *outputs, *(figures or {}))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clipalign.functions import scalars, vectors
 from clipalign.operators.ordering import row_numbers
+from clipalign.session import broadcast_if_small
 
 
 def rank_clips(scores: DataFrame, metric: str, path: str) -> DataFrame:
@@ -55,7 +56,7 @@ def compare_scores(before: DataFrame, after: DataFrame, highlighted: DataFrame,
 def mark_highlighted(df: DataFrame, highlighted: DataFrame, key: str) -> DataFrame:
     """Add ``is_highlight``: whether the key is in the list."""
     marks = highlighted.select(key).distinct().withColumn("_mark", F.lit(True))
-    return df.join(marks, key, "left").withColumn("is_highlight", F.col("_mark").isNotNull()).drop("_mark")
+    return df.join(broadcast_if_small(marks), key, "left").withColumn("is_highlight", F.col("_mark").isNotNull()).drop("_mark")
 
 
 def comparison_means(compared: DataFrame, score: str) -> DataFrame:

@@ -116,6 +116,13 @@ def evenly_spaced(df: DataFrame, key: str, size: int) -> DataFrame:
     return numbered.where(hit).select(*df.columns)
 
 
+def frame_range(start_sec: Column, duration_sec: Column, fps: Column, total: Column) -> dict[str, Column]:
+    """First and last frame of an optional time span; null bounds mean the whole video."""
+    low = F.coalesce(F.greatest(F.lit(0), scalars.half_even(start_sec * fps).cast("bigint")), F.lit(0)).cast("bigint")
+    high = F.least(total - 1, F.coalesce(low + scalars.half_even(duration_sec * fps).cast("bigint") - 1, total - 1))
+    return {"low": low, "high": high}
+
+
 def frame_indices(low: Column, high: Column, n: int, mode: str) -> Column:
     """``n`` frame numbers of [low, high]; a short range repeats its last frame."""
     available = high - low + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clipalign.operators.ordering import exact_quantiles, row_numbers, running_totals
 
@@ -24,12 +24,12 @@ def gather_workers(df: DataFrame, groups: Sequence[str], worker: str, value: str
 
 def timing_summary(samples: DataFrame, stage: str = "stage", seconds: str = "seconds") -> DataFrame:
     """Count, mean, median, nearest-index p90, extremes, total and share of the overall total per stage."""
-    figures = samples.groupBy(stage).agg(
-        F.count(seconds).alias("n"), F.avg(seconds).alias("mean_s"), F.min(seconds).alias("min_s"),
-        F.max(seconds).alias("max_s"), F.sum(seconds).alias("total_s"))
-    quantiles = exact_quantiles(samples, seconds, {"median_s": 0.5, "p90_s": 0.9}, [stage], nearest=["p90_s"])
-    overall = samples.agg(F.sum(seconds)).scalar()
-    return figures.join(quantiles, stage).withColumn("share", F.try_divide(F.col("total_s"), overall))
+    total = F.sum(F.col(seconds) * F.col("n"))
+    summary = exact_quantiles(
+        samples, seconds, {"median_s": 0.5, "p90_s": 0.9}, [stage], nearest=["p90_s"],
+        figures={"n": F.sum("n"), "mean_s": total / F.sum("n"), "min_s": F.min(seconds), "max_s": F.max(seconds), "total_s": total})
+    stages = Window.partitionBy()  # one row per stage
+    return summary.withColumn("share", F.try_divide(F.col("total_s"), F.sum("total_s").over(stages)))
 
 
 def per_clip_timing(batches: DataFrame, stages: Sequence[str], warmup: int) -> DataFrame:
@@ -129,3 +129,29 @@ def progress_lines(batches: DataFrame) -> DataFrame:
         (F.col("num_batches") * F.col("batch_size") * F.col("world_size")).cast("string"), F.lit(" ("),
         F.bround("percent", 0).cast("bigint").cast("string"), F.lit("%)]"))
     return shown.withColumn("line", line)
+
+
+def stage_ratio(summary: DataFrame, first: str, second: str, stage: str = "stage") -> DataFrame:
+    """Total time of one stage over the total time of another, from a timing summary."""
+    totals = [F.sum(F.when(F.col(stage) == name, F.col("total_s"))) for name in (first, second)]
+    return summary.agg(F.try_divide(*totals).alias("ratio"))
+
+
+def metric_lookup(metrics: Column, name: str) -> Column:
+    """Value of a metric in a text map: its own key, else the first key that ends with the name and holds a number."""
+    similar = F.filter(F.map_entries(metrics), lambda e: F.endswith(e["key"], F.lit(name)) & e["value"].try_cast("double").isNotNull())
+    fallback = F.get(similar, F.lit(0))["value"].try_cast("double")
+    return F.when(F.map_contains_key(metrics, F.lit(name)), F.element_at(metrics, name).try_cast("double")).otherwise(fallback)
+
+
+def best_epochs(history: DataFrame, maximize: bool) -> DataFrame:
+    """Mark every epoch that beats all earlier ones; the first counts as best even without a value.
+
+    The history has one row per run and epoch, as in ``early_stopping``.
+    """
+    before = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (F.max if maximize else F.min)("metric").over(before)
+    beats = F.col("metric") > earlier if maximize else F.col("metric") < earlier
+    known = F.when(earlier.isNull(), F.lit(True)).otherwise(beats)
+    first = F.count(F.lit(1)).over(before) == 0
+    return history.withColumn("is_best", F.when(F.col("metric").isNull(), first).otherwise(known))

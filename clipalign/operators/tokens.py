@@ -32,31 +32,42 @@ def global_token_ids(tokens: DataFrame, video: str, order: str) -> DataFrame:
         "local_id", F.col("global_id") - F.col("token_start")).drop("token_start")
 
 
-def token_metadata(tokens: DataFrame, colors: DataFrame, selected: Column, frame_sec: float) -> DataFrame:
-    """One row per assigned token with colour, bounds in bins and seconds, parent and selection mark."""
-    assigned = tokens.where(F.col("cluster") != UNASSIGNED).join(broadcast_if_small(colors), "cluster")
+def token_metadata(
+    tokens: DataFrame, colors: DataFrame, selected: Column, frame_sec: float, include_unassigned: bool = False
+) -> DataFrame:
+    """One row per assigned token with colour, bounds in bins and seconds, parent and selection mark.
+
+    Unassigned tokens, if wanted, have no colour.
+    """
+    known = broadcast_if_small(colors.where(F.col("cluster") != UNASSIGNED))
+    assigned = tokens.join(known, "cluster", "left" if include_unassigned else "inner")
     return assigned.select(
         F.col("global_id").alias("global_token_index"), "video_index",
         F.concat(F.lit("v"), F.col("video"), F.lit(".mp4")).alias("video_name"),
         F.col("local_id").alias("local_token_index"), F.col("cluster").alias("cluster_id"),
         F.col("parent").alias("parent_cluster_id"), selected.cast("bigint").alias("selected_for_this_stage"),
         F.col("r").alias("color_r"), F.col("g").alias("color_g"), F.col("b").alias("color_b"),
-        scalars.rgb_hex(F.col("r"), F.col("g"), F.col("b")).alias("color_hex"),
+        F.when(F.col("r").isNull(), "").otherwise(scalars.rgb_hex(F.col("r"), F.col("g"), F.col("b"))).alias("color_hex"),
         F.col("f0").alias("freq_bin_start"), F.col("f1").alias("freq_bin_end"),
         F.col("t0").alias("time_frame_start"), F.col("t1").alias("time_frame_end"),
         (F.col("t0") * frame_sec).alias("time_sec_start"), (F.col("t1") * frame_sec).alias("time_sec_end"))
 
 
-def cluster_summary(tokens: DataFrame, frame_sec: float) -> DataFrame:
-    """Token count, bounds and parents per cluster and per cluster and video; totals are named ``ALL`` with index -1."""
+def cluster_summary(tokens: DataFrame, colors: DataFrame, frame_sec: float) -> DataFrame:
+    """Colour, token count, bounds and parents per cluster and per cluster and video.
+
+    Totals over all videos are named ``ALL`` with index -1.
+    """
     assigned = tokens.where(F.col("cluster") != UNASSIGNED)
     summed = assigned.groupingSets([["cluster"], ["cluster", "video"]], "cluster", "video").agg(
         F.grouping("video").alias("_all"), F.count(F.lit(1)).alias("token_count"),
         F.sort_array(F.collect_set("parent")).alias("_parents"),
         F.min("f0").alias("f0"), F.max("f1").alias("f1"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     total = F.col("_all") == 1
-    return summed.select(
-        F.col("cluster").alias("cluster_id"), F.when(total, F.lit(-1)).otherwise(F.col("video")).alias("video_index"),
+    return summed.join(broadcast_if_small(colors), "cluster").select(
+        F.col("cluster").alias("cluster_id"), F.col("r").alias("color_r"), F.col("g").alias("color_g"),
+        F.col("b").alias("color_b"), scalars.rgb_hex(F.col("r"), F.col("g"), F.col("b")).alias("color_hex"),
+        F.when(total, F.lit(-1)).otherwise(F.col("video")).alias("video_index"),
         F.when(total, "ALL").otherwise(F.concat(F.lit("v"), F.col("video"), F.lit(".mp4"))).alias("video_name"),
         "token_count", F.array_join(F.col("_parents").cast("array<string>"), " ").alias("parent_cluster_ids_present"),
         F.col("f0").alias("freq_bin_start"), F.col("f1").alias("freq_bin_end"),

@@ -216,6 +216,11 @@ def segment_window(size: Column, n: Column, step: Column, fps: int) -> dict[str,
     return {"required_frames": required, "safe_seconds": F.ceil((required + 1) / fps * 1000) / 1000}
 
 
+def chunk_is_safe(chunk_sec: Column, safe_sec: Column) -> Column:
+    """Whether a chosen chunk length holds the segments."""
+    return chunk_sec + 1e-9 >= safe_sec
+
+
 def chunk_starts(duration: Column, chunk: Column, stride: Column) -> Column:
     """Chunk starts that cover the whole clip, the tail included, rounded to ms, each once, in order."""
     last = duration - chunk

@@ -35,6 +35,22 @@ def expand_braces(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.range(int(first), int(last) + 1).select(F.concat(F.lit(before), number, F.lit(after)).alias("wanted"))
 
 
+def expand_weighted(spark: SparkSession, urls: str, weights: str) -> DataFrame:
+    """Shards of a ``::`` list of brace patterns; every shard of a component has the component's weight."""
+    components, shares = urls.split("::"), [float(w) for w in weights.split("::")]
+    if len(components) != len(shares):
+        raise ValueError(f"{len(components)} components but {len(shares)} weights")
+    expanded = None
+    for component, share in zip(components, shares):
+        if BRACE_RANGE.search(component):
+            part = expand_braces(spark, component).withColumnRenamed("wanted", "shard")
+        else:
+            part = spark.range(1).select(F.lit(component).alias("shard"))
+        part = part.withColumn("weight", F.lit(share))
+        expanded = part if expanded is None else expanded.unionByName(part)
+    return expanded
+
+
 def find_shards(spark: SparkSession, spec: str, recursive: bool = False) -> DataFrame:
     """Shards named by a comma list of folders, files, globs and brace ranges; each once, in path order."""
     found = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -97,8 +97,13 @@ def append_results_jsonl(metrics: DataFrame, path: str) -> None:
     metrics.select("epoch", "metrics").write.mode("append").json(path)
 
 
-def manifest_lines(tokens: DataFrame, offsets: DataFrame, colors: DataFrame, stage: str) -> DataFrame:
-    """Manifest as JSON lines, one section row each: totals, clusters with colour, videos with token range.
+def manifest_lines(
+    tokens: DataFrame, offsets: DataFrame, colors: DataFrame, stage: str, args: Mapping[str, str] | None = None,
+    units: DataFrame | None = None,
+) -> DataFrame:
+    """Manifest as JSON lines, one section row each: totals, arguments, clusters with colour, videos with token range.
+
+    ``units(video, layer, start_sec, end_sec)`` adds one line per time window of a layer.
 
     Kept as lines, so that a corpus of any number of videos never becomes one value.
     """
@@ -115,4 +120,13 @@ def manifest_lines(tokens: DataFrame, offsets: DataFrame, colors: DataFrame, sta
     videos = offsets.select(
         F.lit("video").alias("section"), F.col("video").cast("string").alias("key"),
         F.to_json(F.struct("token_start", "token_end", "token_count")).alias("body"))
-    return head.unionByName(clusters).unionByName(videos)
+    lines = head.unionByName(clusters).unionByName(videos)
+    if args:
+        pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.to_json(F.struct(F.lit(v).alias("value"))).alias("body")) for k, v in args.items()]))
+        listed = tokens.sparkSession.range(1).select(F.lit("argument").alias("section"), pairs)
+        lines = lines.unionByName(listed)
+    if units is not None:
+        lines = lines.unionByName(units.select(
+            F.lit("unit").alias("section"), F.concat_ws("/", "video", "layer").alias("key"),
+            F.to_json(F.struct("start_sec", "end_sec")).alias("body")))
+    return lines

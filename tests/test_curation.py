@@ -169,3 +169,13 @@ def test_run_matching_sees_order_and_parameters(spark):
     assert {r["run"]: (r["status"], r["parent_run"]) for r in got.collect()} == {1: ("matched", 2), 3: ("matched", 5), 6: ("none", None)}
     two = runs.where("run = 2").union(spark.createDataFrame([(1, "s", 9)]))
     assert jo.match_parent_runs(runs.where("run = 1"), two, listed, ["seed"]).head()["status"] == "ambiguous"
+
+
+def test_frame_range(spark):
+    null = F.lit(None).cast("double")
+    def bounds(start, duration):
+        cols = sa.frame_range(start, duration, F.lit(25.0), F.lit(100).cast("bigint"))
+        return tuple(spark.range(1).select(cols["low"], cols["high"]).head())
+    assert bounds(null, null) == (0, 99)
+    assert bounds(F.lit(1.0), F.lit(2.0)) == (25, 74)
+    assert bounds(F.lit(3.5), F.lit(9.0)) == (88, 99)

@@ -110,3 +110,14 @@ def test_early_stop_starts_at_zero_and_stays_triggered(spark):
     rows = tm.early_stopping(df, 2, True).orderBy("epoch").collect()
     assert [r["no_change"] for r in rows] == [1, 0, 1, 2, 0]
     assert [r["triggered"] for r in rows] == [False, False, False, True, True]
+
+
+def test_metric_lookup_and_first_epoch_rule(spark):
+    maps = [{"precision": "0.1"}, {"valid/precision": "0.3"}, {"x": "1"}, {"a_precision": "bad", "b/precision": "0.2"}, {"precision": "bad", "v/precision": "1"}]
+    df = spark.createDataFrame([("r", i, m) for i, m in enumerate(maps)], "run string, epoch long, metrics map<string,string>")
+    found = df.select("run", "epoch", tm.metric_lookup(F.col("metrics"), "precision").alias("metric"))
+    assert [r["metric"] for r in found.orderBy("epoch").collect()] == [0.1, 0.3, None, 0.2, None]
+    best = [r["is_best"] for r in tm.best_epochs(found, True).orderBy("epoch").collect()]
+    assert best == [True, True, False, False, False]
+    late = tm.best_epochs(found.where("epoch >= 2"), True).orderBy("epoch").collect()
+    assert [r["is_best"] for r in late] == [True, True, False]

@@ -108,3 +108,10 @@ def test_early_stop_state_crosses_batches(spark):
     assert got == {
         ("r", 0): (0, False, 0.1), ("r", 1): (0, False, 0.3), ("r", 2): (1, False, 0.3), ("r", 3): (2, True, 0.3),
         ("r", 4): (0, True, 0.9), ("q", 0): (1, False, 0.0), ("q", 1): (2, True, 0.0)}
+
+
+def test_weighted_components_expand_per_shard(spark):
+    rows = sh.expand_weighted(spark, "a-{08..10}.tar::b.tar", "2::0.5").collect()
+    assert {r["shard"]: r["weight"] for r in rows} == {"a-08.tar": 2.0, "a-09.tar": 2.0, "a-10.tar": 2.0, "b.tar": 0.5}
+    with pytest.raises(ValueError):
+        sh.expand_weighted(spark, "a.tar::b.tar", "1")
