@@ -13,7 +13,7 @@ from clipalign.session import scratch_path
 from clipalign.streaming import telemetry as st
 
 
-def _arriving(df: DataFrame, name: str, files: int = 4) -> DataFrame:
+def _arriving(df: DataFrame, name: str, files: int = 2) -> DataFrame:
     """Write a table as several files and follow them as a stream."""
     path = scratch_path(df.sparkSession, name)
     df.repartition(files).write.parquet(path)
@@ -44,10 +44,10 @@ def stream_epoch_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_early_stop", with_ctes([HISTORY], _stop_sql(">", "max", "0.0::DOUBLE", "greatest")))
 def stream_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs arrive in four files of consecutive epochs, one file per batch."""
+    """Epochs arrive in two files of consecutive epochs, one file per batch."""
     history = views.metric_history(spark, sf_dir)
     path = scratch_path(spark, "history")
-    for part in range(4):
-        history.where(F.least(F.lit(3), F.floor(F.col("epoch") / 8)) == part).coalesce(1).write.mode("append").parquet(path)
+    for part in (True, False):
+        history.where((F.col("epoch") < 14) == part).coalesce(1).write.mode("append").parquet(path)
     stream = st.follow_files(spark, path, history.schema)
     return tidy(st.drain(st.running_early_stop(stream, 3, True), "append", "early-stop"))
