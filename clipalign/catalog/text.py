@@ -47,9 +47,11 @@ def _unescape(sql: str) -> str:
     return sql
 
 
+# the white space characters one by one, where a pattern has no flag for them
+_SPACE = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CAPTIONS = f"""
 captions AS (
-  SELECT id, lower(trim(regexp_replace({_unescape(_unescape("txt"))}, '[\\s ]+', ' ', 'g'))) AS caption
+  SELECT id, lower(trim(regexp_replace({_unescape(_unescape("txt"))}, '[{_SPACE}]+', ' ', 'g'))) AS caption
   FROM (SELECT page_id AS id, html AS txt FROM pages UNION ALL SELECT doc_id + 1000000000, text FROM documents)
 )"""
 

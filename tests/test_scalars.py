@@ -40,7 +40,7 @@ def test_shard_name(spark):
 
 
 def test_caption_clean_undoes_entities_twice(spark):
-    texts = ["A &amp;amp; B", " x\n\t y ", "&quot;Hi&quot; &amp;lt;b&gt;"]
+    texts = ["A &amp;amp; B", " x\n\t y ", "&quot;Hi&quot; &amp;lt;b&gt;", "a\u00a0\u2003b  c\u3000", "x&nbsp;y"]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     want = [re.sub(r"\s+", " ", html.unescape(html.unescape(t)).strip()).strip().lower() for t in texts]
     assert _one(df, scalars.clean_caption(F.col("s"))) == want
