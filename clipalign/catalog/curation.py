@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clipalign import views
 from clipalign.catalog import query, tidy
 from clipalign.catalog.ctes import r6, with_ctes
-from clipalign.functions import scalars
 from clipalign.operators import curation as cu, ranking
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign import views
 from clipalign.catalog import query, tidy
-from clipalign.catalog.ctes import CROSS_MODAL, SEGMENTS, UNIT, r6, with_ctes
+from clipalign.catalog.ctes import CROSS_MODAL, SEGMENTS, r6, with_ctes
 from clipalign.functions import vectors
 from clipalign.operators import losses, ranking, similarity as sim, text
 

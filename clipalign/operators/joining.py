@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clipalign.functions import scalars, vectors
-from clipalign.operators.ordering import carry_last
+from clipalign.functions import vectors
+from clipalign.operators.ordering import known_around
 from clipalign.session import materialize
 
 
@@ -54,11 +54,10 @@ def pool_windows(
     gaps = joined.where("n_tokens is null").select(
         video, middle.alias("_pos"), F.lit(1).alias("_kind"), "win", F.lit(None).cast(marks.schema["_tok"].dataType).alias("_tok"))
     line = marks.unionByName(gaps)
-    before = carry_last(line, [F.col("_pos"), F.col("_kind"), F.col("win")], "_tok", [video], held="_before")
-    both = carry_last(
-        before, [F.col("_pos").desc(), F.col("_kind"), F.col("win")], "_tok", [video], held="_after").where("_kind = 1")
-    left_gap, right_gap = F.col("_pos") - F.col("_before._pos"), F.col("_after._pos") - F.col("_pos")
-    nearest = F.when(right_gap.isNull() | (left_gap <= right_gap), F.col("_before._near")).otherwise(F.col("_after._near"))
+    # at one position tokens come before gaps, so a token right at the middle is the earlier one
+    both = known_around(line, [F.col("_pos"), F.col("_kind"), F.col("win")], "_tok", [video]).where("_kind = 1")
+    left_gap, right_gap = F.col("_pos") - F.col("prev_known._pos"), F.col("next_known._pos") - F.col("_pos")
+    nearest = F.when(right_gap.isNull() | (left_gap <= right_gap), F.col("prev_known._near")).otherwise(F.col("next_known._near"))
     filled = both.select(video, "win", nearest.alias("_fallback"))
     return joined.join(filled, [video, "win"], "left").select(
         video, "win", "start_sec", "end_sec", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),

@@ -154,6 +154,31 @@ def carry_last(
     return joined.withColumn(held, F.coalesce(held, "_carried")).drop(_SLICE, "_row", "_carried")
 
 
+def known_around(
+    df: DataFrame, order: Sequence[Column | str], value: str, groups: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``prev_known`` and ``next_known``: the nearest non-null values at or before and at or after each row."""
+    sliced = ordered_slices(df, [*[F.col(g) for g in groups], *order])
+    local = Window.partitionBy(_SLICE, *groups).orderBy(*order)
+    ranked = sliced.withColumn("_row", F.row_number().over(local))
+    known_row = F.when(F.col(value).isNotNull(), F.col("_row"))
+    ends = ranked.groupBy(_SLICE, *groups).agg(
+        F.min_by(value, known_row).alias("_begin"), F.max_by(value, known_row).alias("_end"))
+    across = Window.partitionBy(*groups).orderBy(_SLICE)
+    backwards = Window.partitionBy(*groups).orderBy(F.col(_SLICE).desc())
+    ends = ends.select(
+        _SLICE, *groups,
+        F.last("_end", ignorenulls=True).over(across.rowsBetween(*_UPTO_PREVIOUS)).alias("_carried"),
+        F.last("_begin", ignorenulls=True).over(backwards.rowsBetween(*_UPTO_PREVIOUS)).alias("_coming"))
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    # the same growing frame in reverse order; a frame that ends at the last row would be summed anew per row
+    back = Window.partitionBy(_SLICE, *groups).orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranked.withColumn("prev_known", F.last(value, ignorenulls=True).over(upto)).withColumn(
+        "next_known", F.last(value, ignorenulls=True).over(back)).join(ends, [_SLICE, *groups])
+    return joined.withColumn("prev_known", F.coalesce("prev_known", "_carried")).withColumn(
+        "next_known", F.coalesce("next_known", "_coming")).drop(_SLICE, "_row", "_carried", "_coming")
+
+
 def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Distinct values per group with their count ``n`` and the running count ``upto``."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))

@@ -77,3 +77,11 @@ def test_exact_quantiles(table, frame):
         assert r["p90"] == values[round((len(values) - 1) * 0.9)]
     whole = o.exact_quantiles(table, "value", {"mid": 0.5}).collect()
     assert whole[0]["mid"] == np.median(frame["value"].dropna())
+
+
+def test_known_around(table, frame):
+    rows = o.known_around(table, [F.col("id")], "value", ["key"]).collect()
+    got = {r["id"]: (r["prev_known"], r["next_known"]) for r in rows}
+    grouped = frame.sort_values("id").groupby("key")["value"]
+    for i, before, after in zip(frame["id"], grouped.ffill(), grouped.bfill()):
+        assert got[i] == (None if np.isnan(before) else before, None if np.isnan(after) else after)
