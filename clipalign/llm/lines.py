@@ -205,7 +205,7 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, segment_byt
     that repeat a doc_id count apart and share its fate; a null doc_id is smaller than any, and keys that only null ids hold stay.
     All other columns pass through.
     """
-    lost = repeated_lines(docs, min_documents, segment_bytes, filter_bytes).select(F.col("doc_id").alias("__lost_id"), "keys")
+    lost = repeated_lines(docs, min_documents, segment_bytes, filter_bytes).select(F.col("doc_id").alias("__lost_id"), F.col("keys").alias("__keys"))
     names = [c for c in docs.columns if c != into]
     joined = docs.join(lost, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__lost_id")), "left")
 
@@ -221,7 +221,7 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, segment_byt
         return row
 
     fields = "text binary, n_lines bigint, n_dropped bigint"
-    done = annotate(joined.select(*names, F.col("keys").alias("__keys")), into, fields, [raw_text(), F.col("__keys")], make)
+    done = annotate(joined.select(*[F.col(f"`{c}`") for c in names], "__keys"), into, fields, [raw_text(), F.col("__keys")], make)
     text = F.col(f"`{into}`.text").cast("string")
     return done.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
                        F.struct(f"`{into}`.n_lines", f"`{into}`.n_dropped").alias(into))
