@@ -1,7 +1,7 @@
 """Sharding by extendible hashing.
 
 The directory is indexed by the leading bits of a digest of doc_id. A bucket that is larger than the byte limit splits on its next bit,
-and only such buckets do, so every shard ends with the fewest bits at which it fits. The splits of many bits are worked out at once
+and only such buckets do, so every shard ends with the fewest bits at which it fits. The splits of up to 20 bits are worked out at once
 from the sizes of fine cells, and only documents of cells that are still too large are read again with further bits.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clipalign.session import materialize
+
 #: Bits of the digest, and bits by which one round over the documents refines the directory: a round has at most 2**20 cells.
 BITS = 60
 ROUND_BITS = 20
@@ -20,17 +22,26 @@ def digest_bits(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("bigint")
 
 
-def _cells(sized: DataFrame, depth: int, max_bytes: int) -> DataFrame:
-    """cell (its leading `depth` bits), and depth, bytes and documents of its shard; of cells that are too large the depth is null."""
+def _buckets(sized: DataFrame, depth: int, max_bytes: int) -> DataFrame:
+    """d, prefix, shard_bytes, shard_docs and fits of every bucket of up to `depth` bits that has documents."""
     cells = sized.groupBy(F.shiftright("bits", BITS - depth).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
-    least = max(0, depth - ROUND_BITS)
-    spread = cells.select("cell", "n_bytes", "n", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("d"))
-    spread = spread.withColumn("prefix", F.expr(f"shiftright(cell, {depth} - d)"))
-    buckets = (spread.groupBy("d", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-               .filter((F.col("shard_bytes") <= max_bytes) | (F.lit(depth == BITS) & (F.col("d") == depth))))
-    fits = (spread.select("cell", "d", "prefix").join(buckets, ["d", "prefix"])
-            .groupBy("cell").agg(F.min_by(F.struct(F.col("d").alias("depth"), "shard_bytes", "shard_docs"), "d").alias("shard")))
-    return cells.select("cell").join(fits, "cell", "left")
+    spread = cells.select("n_bytes", "n", "cell", F.explode(F.sequence(F.lit(depth - ROUND_BITS), F.lit(depth))).alias("d"))
+    buckets = (spread.groupBy("d", F.expr(f"shiftright(cell, {depth} - d)").alias("prefix"))
+               .agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs")))
+    return buckets.withColumn("fits", (F.col("shard_bytes") <= max_bytes) | (F.col("d") == BITS))
+
+
+def _directory(buckets: DataFrame) -> tuple[int, DataFrame] | None:
+    """The bits of the directory, and its entries with their shards; a shard of fewer bits has several entries."""
+    split = buckets.filter(~F.col("fits")).select((F.col("d") + 1).alias("d"), F.col("prefix").alias("parent"))
+    fitting = buckets.filter("fits")
+    under = fitting.withColumn("parent", F.shiftright("prefix", 1)).join(split, ["d", "parent"], "left_semi").drop("parent")
+    shards = materialize(under.unionByName(fitting.filter("d = 0")))
+    bits = shards.agg(F.max("d")).first()[0]
+    if bits is None:
+        return None
+    entries = F.explode(F.expr(f"sequence(shiftleft(prefix, {bits} - d), shiftleft(prefix + 1, {bits} - d) - 1)"))
+    return bits, shards.select(entries.alias("__entry"), F.struct(F.col("d").alias("depth"), "shard_bytes", "shard_docs").alias("__found"))
 
 
 def assign_shards(docs: DataFrame, max_bytes: int, into: str = "shard") -> DataFrame:
@@ -45,15 +56,17 @@ def assign_shards(docs: DataFrame, max_bytes: int, into: str = "shard") -> DataF
     sized = docs.select(digest_bits(F.col("doc_id")).alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     shard = F.lit(None).cast("struct<depth int, shard_bytes bigint, shard_docs bigint>")
     for depth in range(ROUND_BITS, BITS + 1, ROUND_BITS):
-        cells = _cells(sized, depth, max_bytes)
-        found = f"__shard{depth}"
-        rows = rows.join(cells.select(F.col("cell").alias("__cell"), F.col("shard").alias(found)),
-                         F.shiftright("__bits", BITS - depth) == F.col("__cell"), "left").drop("__cell")
-        shard = F.coalesce(shard, F.col(found))
-        large = cells.filter(F.col("shard").isNull()).select("cell")
+        buckets = materialize(_buckets(sized, depth, max_bytes))
+        directory = _directory(buckets)
+        if directory:
+            found = f"__shard{depth}"
+            rows = rows.join(directory[1].withColumnRenamed("__found", found), F.shiftright("__bits", BITS - directory[0]) == F.col("__entry"), "left")
+            rows = rows.drop("__entry")
+            shard = F.coalesce(shard, F.col(found))
+        large = buckets.filter(~F.col("fits") & (F.col("d") == depth)).select("prefix")
         if large.isEmpty():
             break
-        sized = sized.join(large, F.shiftright("bits", BITS - depth) == F.col("cell"), "left_semi")
+        sized = sized.join(large, F.shiftright("bits", BITS - depth) == F.col("prefix"), "left_semi")
     bits = F.lpad(F.bin("__bits"), BITS, "0")
     filled = rows.withColumn("__shard", shard)
     made = F.struct(F.substring(bits, F.lit(1), F.col("__shard.depth")).alias("shard"), F.col("__shard.depth").cast("bigint").alias("depth"),
