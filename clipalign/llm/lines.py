@@ -190,8 +190,9 @@ def repeated_lines(docs: DataFrame, min_documents: int, segment_bytes: int, filt
         return rows
 
     found = materialize(flat(docs.select(F.col("doc_id").cast("bigint"), raw_text()), "doc_id bigint, key binary", make))
-    common = (found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-              .filter((F.col("n") >= min_documents) & F.col("keeper").isNotNull()).select("key", "keeper"))
+    # a table of its own, so that the join deals both sides anew and can split a line that very many documents hold
+    common = materialize(found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+                         .filter((F.col("n") >= min_documents) & F.col("keeper").isNotNull()).select("key", "keeper"))
     return (found.join(common, "key").filter(F.coalesce(F.col("doc_id") < F.col("keeper"), F.lit(True)))
             .groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
 
