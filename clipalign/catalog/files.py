@@ -9,6 +9,7 @@ from clipalign.catalog import query, tidy
 from clipalign.catalog.ctes import HISTORY, TOKENS, r6, with_ctes
 from clipalign.catalog.curation import CORPUS, LISTS, _corpus, _lists
 from clipalign.catalog.evaluation import _INTEGER, _ROW_FIGURES, GRID, ROWS, _rows
+from clipalign.functions import scalars
 from clipalign.operators import curation as cu, evaluation as ev, tokens as tk
 from clipalign.session import scratch_path
 from clipalign.sources import shards as sh, tables as tb
@@ -20,7 +21,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of tar shards from the documents: a video, a caption and for some a picture, with repeats."""
     docs = views.table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
-    name = F.concat(F.lit("clips/c"), F.lpad(doc.cast("string"), 9, "0"))
+    name = F.concat(F.lit("clips/c"), scalars.padded(doc, 9))
     content = F.encode("text", "utf-8")
     entries = F.filter(F.array(
         F.struct(F.lit(0).alias("part"), F.lit("MP4").alias("ext")),
@@ -31,7 +32,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), lambda e: e.isNotNull())
     listed = docs.select(doc.alias("doc_id"), name.alias("name"), content.alias("content"), F.inline(entries))
     return listed.select(
-        F.concat(F.lit("shard-"), F.lpad(F.floor(F.col("doc_id") / DOCS_PER_SHARD).cast("string"), 6, "0"), F.lit(".tar")).alias("shard"),
+        F.concat(F.lit("shard-"), scalars.padded(F.floor(F.col("doc_id") / DOCS_PER_SHARD), 6), F.lit(".tar")).alias("shard"),
         (F.col("doc_id") * 8 + F.col("part")).alias("position"), F.concat_ws(".", "name", "ext").alias("member"), "content")
 
 
@@ -41,8 +42,8 @@ def _shard_folder(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-_SHARD = "'shard-' || lpad((doc_id // 128)::VARCHAR, 6, '0') || '.tar'"
-_CLIP = "'clips/c' || lpad(doc_id::VARCHAR, 9, '0')"
+_SHARD = "'shard-' || printf('%06d', doc_id // 128) || '.tar'"
+_CLIP = "'clips/c' || printf('%09d', doc_id)"
 MEMBERS = f"""
 members AS (
   SELECT doc_id, {_SHARD} AS shard, 0 AS part, {_CLIP} || '.MP4' AS member, strlen(text) AS size FROM documents
@@ -181,7 +182,7 @@ def sink_trials_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_summary_csv")
 def sink_summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    summary = ev.full_summary(rows, GRID, num_clips=rows.select("sample_id").distinct().count(), data_iter=1)
+    summary = ev.full_summary(rows, GRID, data_iter=1)
     path = scratch_path(spark, "summary-csv")
     tb.write_summary_csv(summary, path)
     return spark.read.option("header", True).option("escape", '"').csv(path)

@@ -13,11 +13,12 @@ from clipalign.session import scratch_path
 from clipalign.streaming import telemetry as st
 
 
-def _arriving(df: DataFrame, name: str, files: int = 2) -> DataFrame:
-    """Write a table as several files and follow them as a stream."""
-    path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
-    return st.follow_files(df.sparkSession, path, df.schema)
+def _arriving(df: DataFrame, name: str) -> DataFrame:
+    """Write a table as its partitions' files and follow them as a stream, in each batch as many files as tasks run at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return st.follow_files(spark, path, df.schema, files_per_batch=spark.sparkContext.defaultParallelism)
 
 
 @query("stream_running_accuracy", with_ctes([ROWS], f"""
@@ -44,10 +45,11 @@ def stream_epoch_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_early_stop", with_ctes([HISTORY], _stop_sql(">", "max", "0.0::DOUBLE", "greatest")))
 def stream_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs arrive in two files of consecutive epochs, one file per batch."""
+    """Epochs arrive in two sets of files of consecutive epochs; a batch takes as many files as the first set has."""
     history = views.metric_history(spark, sf_dir)
     path = scratch_path(spark, "history")
-    for part in (True, False):
-        history.where((F.col("epoch") < 14) == part).coalesce(1).write.mode("append").parquet(path)
-    stream = st.follow_files(spark, path, history.schema)
+    history.where("epoch < 14").write.parquet(path)
+    earlier = len(spark.read.parquet(path).inputFiles())
+    history.where("epoch >= 14").write.mode("append").parquet(path)
+    stream = st.follow_files(spark, path, history.schema, files_per_batch=earlier)
     return tidy(st.drain(st.running_early_stop(stream, 3, True), "append", "early-stop"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign import views
@@ -20,13 +22,13 @@ def slug_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("safe_stem", r"""
 SELECT page_id,
   coalesce(nullif(regexp_replace(s, '[^\p{L}\p{N}\-_.]', '_', 'g'), ''), 'video') AS stem,
-  coalesce(nullif(regexp_replace(s, '[^\p{L}\p{N}\-_.]', '_', 'g'), ''), 'video') || '_' || lpad(page_id::VARCHAR, 4, '0') AS indexed_stem,
+  coalesce(nullif(regexp_replace(s, '[^\p{L}\p{N}\-_.]', '_', 'g'), ''), 'video') || '_' || printf('%04d', page_id) AS indexed_stem,
   substr(coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9._=\-]+', '__', 'g'), '._-'), ''), 'input'), 1, 24) AS short_slug
 FROM (SELECT *, CASE WHEN f LIKE '_%.%' THEN regexp_replace(f, '(.)\.[^.]*$', '\1') ELSE f END AS s
       FROM (SELECT page_id, url, regexp_extract(url, '([^/]*)/*$', 1) AS f FROM pages))""")
 def safe_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = scalars.safe_stem(F.col("url"))
-    index = F.lpad(F.col("page_id").cast("string"), 4, "0")
+    index = scalars.padded(F.col("page_id"), 4)
     return views.table(spark, sf_dir, "pages").select(
         "page_id", stem.alias("stem"), F.concat(stem, F.lit("_"), index).alias("indexed_stem"),
         scalars.bounded_slug(F.col("url"), 24).alias("short_slug"))
@@ -40,19 +42,30 @@ def offset_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.six_digit_key(F.col("value")).alias("value_key"))
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# every named entity of the HTML standard, from the table in Python's library
+_ENTITIES = ", ".join(f"{_text(name)}: {_text(char)}" for name, char in html5.items() if name.endswith(";"))
+
+
 def _unescape(sql: str) -> str:
-    for entity, char in scalars.ENTITIES:
-        literal = char.replace("'", "''")
-        sql = f"replace({sql}, '{entity}', '{literal}')"
-    return sql
+    name = "regexp_extract(p, '^[A-Za-z0-9]+;')"
+    return f"""array_to_string(list_transform(string_split({sql}, '&'), lambda p, i: CASE WHEN i = 1 THEN p
+      WHEN regexp_matches(p, '^#[0-9]{{1,6}};') THEN chr(regexp_extract(p, '^#([0-9]+);', 1)::INTEGER) || regexp_replace(p, '^#[0-9]+;', '')
+      WHEN named.m[{name}] IS NOT NULL THEN named.m[{name}] || p[len({name}) + 1:] ELSE '&' || p END), '')"""
 
 
 # the white space characters one by one, where a pattern has no flag for them
 _SPACE = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CAPTIONS = f"""
+named AS (SELECT MAP {{{_ENTITIES}}} AS m),
+undone AS (SELECT id, CASE WHEN contains(txt, '&') THEN {_unescape("once")} ELSE txt END AS txt
+  FROM (SELECT id, txt, CASE WHEN contains(txt, '&') THEN {_unescape("txt")} ELSE txt END AS once
+        FROM (SELECT page_id AS id, html AS txt FROM pages UNION ALL SELECT doc_id + 1000000000, text FROM documents), named), named),
 captions AS (
-  SELECT id, lower(trim(regexp_replace({_unescape(_unescape("txt"))}, '[{_SPACE}]+', ' ', 'g'))) AS caption
-  FROM (SELECT page_id AS id, html AS txt FROM pages UNION ALL SELECT doc_id + 1000000000, text FROM documents)
+  SELECT id, lower(trim(regexp_replace(txt, '[{_SPACE}]+', ' ', 'g'))) AS caption FROM undone
 )"""
 
 

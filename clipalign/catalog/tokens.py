@@ -159,7 +159,7 @@ f AS (SELECT '/data/' || source || '/' || lang || '/clip' || (doc_id % 400) || '
 d AS (SELECT DISTINCT * FROM f)""", """
 c AS (SELECT path, CASE WHEN count(*) OVER (PARTITION BY stem) = 1 THEN stem ELSE lang || '_' || stem END AS cand,
         row_number() OVER (ORDER BY path) - 1 AS idx FROM d)"""], """
-SELECT path, CASE WHEN row_number() OVER (PARTITION BY cand ORDER BY idx) = 1 THEN cand ELSE cand || '_' || lpad(idx::VARCHAR, 4, '0') END AS output_stem FROM c"""))
+SELECT path, CASE WHEN row_number() OVER (PARTITION BY cand ORDER BY idx) = 1 THEN cand ELSE cand || '_' || printf('%04d', idx) END AS output_stem FROM c"""))
 def unique_output_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
     files = docs.select(F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/clip"), F.col("doc_id") % 400,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -36,13 +39,23 @@ def uniform_int(seed: str, low: Column, high: Column, *keys: Column) -> Column:
 
 
 def six_digit_key(c: Column) -> Column:
-    """Six significant digits without trailing zeros, for zero and magnitudes in [1e-4, 1e6)."""
+    """Six significant digits without trailing zeros; with an exponent outside magnitudes of [1e-4, 1e6)."""
     value = c.cast("double")
     digits = F.greatest(F.lit(0.0), F.lit(5.0) - F.floor(F.log10(F.abs(value))))
     scale = F.pow(F.lit(10.0), digits)
     text = F.format_string("%.9f", F.bround(value * scale) / scale)
     trimmed = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
-    return F.when(value == 0, F.lit("0")).otherwise(trimmed)
+    powered = F.format_string("%.5e", value)
+    exponent = F.regexp_extract(powered, r"e([+-]\d+)$", 1)
+    mantissa = F.regexp_replace(F.regexp_extract(powered, r"^(.*)e", 1), r"\.?0+$", "")
+    far = ~exponent.cast("int").between(-4, 5)
+    return F.when(value == 0, F.lit("0")).when(far, F.concat(mantissa, F.lit("e"), exponent)).otherwise(trimmed)
+
+
+def padded(c: Column, width: int) -> Column:
+    """A whole number as text of at least ``width`` digits; longer numbers stay whole."""
+    text = c.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
 
 
 def slug(c: Column) -> Column:
@@ -88,32 +101,28 @@ def rgb_hex(r: Column, g: Column, b: Column) -> Column:
     return F.format_string("#%02x%02x%02x", *parts)
 
 
-# The named entities undone in captions, ampersand last.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-]
+def unescape_entities(c: Column, times: int = 1) -> Column:
+    """Undo named and numeric HTML entities. Only texts with an ampersand go through Python."""
+
+    @F.pandas_udf("string")
+    def undo(texts: pd.Series) -> pd.Series:
+        def one(text):
+            for _ in range(times if text is not None else 0):
+                text = html.unescape(text)
+            return text
 
+        return texts.map(one)
 
-def unescape_entities(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    return F.coalesce(undo(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def clean_caption(c: Column) -> Column:
     """Undo HTML entities twice, collapse white space of any script, trim and lower."""
-    text = F.when(F.contains(c, F.lit("&")), unescape_entities(unescape_entities(c))).otherwise(c)
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(unescape_entities(c, 2), r"(?U)\s+", " ")))
 
 
-# Fixed value: the word pattern of the caption tokeniser. Its branches for letters, digits and apostrophes start
-# with different characters, so letters may come first, which is the fastest order.
-CAPTION_WORD = r"\p{L}+|\p{N}|'s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+"
+# Fixed value: the word pattern of the caption tokeniser.
+CAPTION_WORD = r"<start_of_text>|<end_of_text>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def caption_words(c: Column) -> Column:

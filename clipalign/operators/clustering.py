@@ -19,7 +19,8 @@ from clipalign.operators.similarity import mean_vector
 from clipalign.operators.tokens import UNASSIGNED
 from clipalign.session import broadcast_if_small, materialize
 
-MAX_LANDMARKS = 1024
+# Fixed value: the colour of a single cluster.
+ONLY_COLOR = (1.0, 0.2, 0.2)
 
 
 def standardize_pca_l2(df: DataFrame, feature: str, dims: int = 64) -> DataFrame:
@@ -36,13 +37,11 @@ def standardize_pca_l2(df: DataFrame, feature: str, dims: int = 64) -> DataFrame
 
 
 def landmark_embedding(df: DataFrame, feature: str, key: str, n_eig: int, seed: str, landmarks: int = 256) -> DataFrame:
-    """Leading eigenvectors of the normalised affinity of all tokens, extended from a bounded seeded sample.
+    """Leading eigenvectors of the normalised affinity of all tokens, extended from a seeded sample of ``landmarks`` tokens.
 
-    Only the landmarks, at most ``MAX_LANDMARKS`` vectors, are gathered to solve their own small problem;
-    every token is then placed by its affinity to them, so the work grows with the tokens alone.
+    Only the landmarks are gathered to solve their own problem, whose work grows with their cube; every token is then placed by its
+    affinity to them, so the rest grows with the tokens alone. The caller chooses how many landmarks the tokens need.
     """
-    if landmarks > MAX_LANDMARKS:
-        raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
     unit = df.withColumn("_u", vectors.l2_normalize(vectors.as_double(F.col(feature))))
     chosen = unit.select(key, "_u").orderBy(scalars.seeded_digest(seed, F.col(key)), key).limit(landmarks)
     marks = np.array([row["_u"] for row in chosen.select("_u").collect()])
@@ -90,12 +89,13 @@ def separate_layer_clusters(df: DataFrame, layers: Sequence[str], feature: str,
 
 
 def grouped_clusters(
-    df: DataFrame, group: str, feature: str, key: str, k: int, seed: str, iterations: int = 5
+    df: DataFrame, group: str, feature: str, key: str, k: int, seed: str, iterations: int | None = None, tolerance: float = 1e-9
 ) -> DataFrame:
     """K-means inside every group at once: centroids are a table keyed by group, tokens never gather.
 
     Starts from the first ``k`` tokens of each group's seeded order. A round joins the group's ``k``
-    centroids to its tokens and averages on the map side.
+    centroids to its tokens and averages on the map side. Rounds go on until no coordinate moves by more than
+    ``tolerance``, or for as many ``iterations`` as the caller allows.
     """
     points = materialize(df.withColumn("_u", vectors.l2_normalize(vectors.as_double(F.col(feature)))))
     width = points.select(F.size("_u")).head()[0]
@@ -111,10 +111,15 @@ def grouped_clusters(
         return points.join(broadcast_if_small(packed, row_bytes=k * width * 8), group).withColumn(
             "cluster", F.array_min(gaps)["cluster"]).drop("_centers")
 
-    for _ in range(iterations):
+    done, rounds = False, 0
+    while not done and (iterations is None or rounds < iterations):
         moved = assign(centers).groupBy(group, "cluster").agg(mean_vector(F.col("_u")).alias("_moved"))
-        centers = materialize(centers.join(moved, [group, "cluster"], "left").select(
-            group, "cluster", F.coalesce("_moved", "center").alias("center")))
+        step = materialize(centers.join(moved, [group, "cluster"], "left").select(
+            group, "cluster", F.coalesce("_moved", "center").alias("_next"), "center"))
+        shift = F.array_max(F.zip_with("_next", "center", lambda a, b: F.abs(a - b)))
+        done = step.where(shift > tolerance).isEmpty()
+        centers = step.select(group, "cluster", F.col("_next").alias("center"))
+        rounds += 1
     return assign(centers).drop("_u")
 
 
@@ -127,12 +132,21 @@ def recursive_clusters(
     return df.join(again, key, "left").fillna(UNASSIGNED, ["cluster"])
 
 
-def cluster_colors(points: DataFrame, cluster: str, feature: str) -> DataFrame:
+def cluster_colors(points: DataFrame, cluster: str, feature: str, n_clusters: int | None = None) -> DataFrame:
     """Colour per cluster: three principal components of the centroids, scaled between their 2 and 98 percent points.
 
+    With ``n_clusters``, ids below it that have no points get a colour too, from a centroid of zeros. A single cluster has a fixed colour.
     One row per cluster from the start on, so percentiles and windows stay small.
     """
-    centroids = materialize(points.groupBy(cluster).agg(mean_vector(vectors.as_double(F.col(feature))).alias("_c")))
+    centroids = points.groupBy(cluster).agg(mean_vector(vectors.as_double(F.col(feature))).alias("_c"))
+    if n_clusters is not None:
+        width = F.lit(points.select(F.size(feature)).head()[0])
+        every = points.sparkSession.range(n_clusters).select(F.col("id").alias(cluster))
+        centroids = every.join(centroids, cluster, "left").withColumn("_c", F.coalesce("_c", F.array_repeat(F.lit(0.0), width)))
+    centroids = materialize(centroids)
+    if len(centroids.head(2)) < 2:
+        rgb = centroids.select(cluster, *[F.lit(v).alias(c) for c, v in zip("rgb", ONLY_COLOR)])
+        return rgb.withColumn("hex", scalars.rgb_hex(F.col("r"), F.col("g"), F.col("b")))
     vec = centroids.withColumn("_x", array_to_vector("_c"))
     projected = PCA(k=3, inputCol="_x", outputCol="_p").fit(vec).transform(vec).withColumn("_p", vector_to_array("_p"))
     axes = projected.select(cluster, *[F.get("_p", F.lit(i)).alias(a) for i, a in enumerate("xyz")])

@@ -175,14 +175,17 @@ def explode_labels(clips: DataFrame, targets: str, names: DataFrame, class_id: s
 def dataset_sizes(shards: DataFrame, sizes: DataFrame, lengths: DataFrame) -> DataFrame:
     """Samples and shards per data set: sizes of its listed shards, else its stated length, else unknown.
 
-    ``shards(dataset, shard)``, ``sizes(dataset, sizes_json)``, ``lengths(dataset, stated)``.
+    ``shards(dataset, shard)``, ``sizes(dataset, sizes_json)``, ``lengths(dataset, stated)``. A data set whose sizes leave out some of
+    its shards has no total, and ``num_unlisted`` says how many.
     """
     parsed = sizes.select(
         "dataset", F.explode(F.from_json("sizes_json", "map<string,bigint>")).alias("shard", "size"))
     listed = shards.join(parsed, ["dataset", "shard"], "left").groupBy("dataset").agg(
-        F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("num_shards"))
-    return listed.join(lengths, "dataset", "left").select(
-        "dataset", F.coalesce("_sum", "stated").alias("total_size"), "num_shards")
+        F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("num_shards"), F.count_if(F.col("size").isNull()).alias("_without"))
+    sized = sizes.select("dataset", F.lit(True).alias("_sized")).distinct()
+    known = listed.join(sized, "dataset", "left").withColumn("num_unlisted", F.when(F.col("_sized"), F.col("_without")).otherwise(0))
+    total = F.when(F.col("_sized"), F.when(F.col("num_unlisted") == 0, F.col("_sum"))).otherwise(F.col("stated"))
+    return known.join(lengths, "dataset", "left").select("dataset", total.alias("total_size"), "num_shards", "num_unlisted")
 
 
 def ids_without(left: DataFrame, right: DataFrame) -> DataFrame:

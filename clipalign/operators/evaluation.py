@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clipalign.functions import scalars, vectors
-from clipalign.session import broadcast_if_small, is_small, materialize
+from clipalign.session import broadcast_if_small, materialize
 
 # Column order of the trial table.
 TRIAL_FIELDS = [
@@ -258,6 +258,7 @@ def confidence_tiers(
     prediction. Rows are summed once per number of thresholds passed, then the few sums are accumulated.
     """
     sync_pred = (F.col("sync_prob") > 0.5).cast("bigint")
+    thresholds = sorted(thresholds)
     scored = _scored(trials)
     pred = F.get("top_idx", F.lit(0))
     moved = F.when(sync_pred != F.col("sync_target"), (pred + WRONG_SYNC_SHIFT) % n_classes).otherwise(F.col("target"))
@@ -358,53 +359,70 @@ def shard_counts(rows: DataFrame, groups: Sequence[str] = ("model_name",)) -> Da
 
 def shard_rollup(rows: DataFrame, groups: Sequence[str] = ("model_name",)) -> DataFrame:
     """One row per shard: correct counts by class and by offset as sorted JSON maps, and the shard total."""
-    counts = shard_counts(rows, groups)
-    by_class = F.array_sort(F.collect_list(F.struct(F.col("cls").cast("string").alias("key"), "n")))
-    by_offset = F.array_sort(F.collect_list(F.struct(F.col("offset_key").alias("key"), "n")))
-    return counts.groupBy(*groups, "shard").agg(
-        F.to_json(F.map_from_entries(by_class)).alias("class_count_json"),
-        F.to_json(F.map_from_entries(by_offset)).alias("offset_count_json"),
-        F.sum("n").alias("n_correct"),
-    )
+    return _shard_maps(rows, groups).select(
+        *groups, "shard", F.to_json("class_count").alias("class_count_json"), F.to_json("offset_count").alias("offset_count_json"), "n_correct")
+
+
+def _shard_maps(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Counts per shard summed once by class and once by offset key: a class may have several offsets, and an offset several classes."""
+    counted = shard_counts(rows, groups).select(*groups, "shard", "n", F.inline(F.array(
+        F.struct(F.lit("class").alias("what"), F.col("cls").cast("string").alias("key")),
+        F.struct(F.lit("offset").alias("what"), F.col("offset_key").alias("key")))))
+    entries = counted.groupBy(*groups, "shard", "what", "key").agg(F.sum("n").alias("n"))
+
+    def counts(what: str) -> Column:
+        own = F.when((F.col("what") == what) & F.col("key").isNotNull(), F.struct("key", "n"))
+        return F.map_from_entries(F.array_sort(F.collect_list(own))).alias(f"{what}_count")
+
+    return entries.groupBy(*groups, "shard").agg(
+        counts("class"), counts("offset"), F.sum(F.when(F.col("what") == "class", F.col("n"))).alias("n_correct"))
 
 
 def full_summary(
-    rows: DataFrame, grid: Sequence[float], num_clips: int, data_iter: int, exp_name: str = "", max_shards: int = 100_000
+    rows: DataFrame, grid: Sequence[float], data_iter: int, exp_name: str = "", num_clips: int | None = None, shard_maps: bool = True
 ) -> DataFrame:
-    """All summary fields per model. The two maps over shards stay empty beyond ``max_shards`` shards.
+    """All summary fields per model, with the model's own count of clips unless ``num_clips`` is given.
 
-    ``shard_rollup`` holds the same counts row by row for any number of shards.
+    The two maps over shards put all shards of a model into one value. ``shard_rollup`` holds the same counts row by row; a caller with
+    very many shards writes that table and asks for a summary without the maps. A grid without a zero class gives zero trials and zero maps.
     """
     key = ["model_name"]
     zero = zero_class(grid)
     rows = materialize(rows.select(
         "model_name", "sample_id", "status", "target_class_index", "target_offset_sec", "pred_class_index", "top1_correct",
         "top1_pm1_class_correct", "top5_correct", "abs_class_error", "abs_offset_error_sec"))
-    confusion = zero_offset_confusion(rows, grid) if zero is not None else None
     summary = trial_summary(rows, grid).join(class_counts(rows, len(grid)), key, "left")
-    by_shard = materialize(shard_rollup(rows))
-    if is_small(by_shard, max_shards):
+    clips = rows.select(*key, "sample_id").distinct().groupBy(*key).agg(F.count("sample_id").alias("num_clips"))
+    summary = summary.join(clips, key, "left")
+    if num_clips is not None:
+        summary = summary.withColumn("num_clips", F.lit(num_clips).cast("bigint"))
+    if shard_maps:
         def nested(column: str) -> Column:
-            entry = F.concat(F.lit('"'), F.col("shard"), F.lit('": '), F.col(column))
-            return F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}"))
-
-        maps = by_shard.groupBy(*key).agg(
-            nested("class_count_json").alias("correct_target_class_count_per_tar_json"),
-            nested("offset_count_json").alias("correct_target_offset_sec_count_per_tar_json"))
-        summary = summary.join(maps, key, "left")
-    if confusion is not None:
-        counts = F.array_sort(F.collect_list(F.struct(F.col("cls").cast("string").alias("key"), F.col("n").alias("v"))))
-        shares = F.array_sort(F.collect_list(F.struct(
-            F.col("cls").cast("string").alias("key"),
-            F.struct(F.col("n").alias("count"), "frequency", "pred_offset_sec").alias("v"))))
-        zero_maps = confusion.groupBy(*key).agg(
-            F.sum("n").alias("zero_offset_num_trials"),
-            F.to_json(F.map_from_entries(counts)).alias("zero_offset_pred_class_count_json"),
-            F.to_json(F.map_from_entries(shares)).alias("zero_offset_pred_class_frequency_json"))
-        summary = summary.join(zero_maps, key, "left")
+            listed = F.array_sort(F.collect_list(F.struct("shard", F.map_entries(column).alias("counts"))))
+            return F.to_json(F.map_from_entries(F.transform(listed, lambda e: F.struct(e["shard"], F.map_from_entries(e["counts"])))))
+
+        names = {"class_count": "correct_target_class_count_per_tar_json", "offset_count": "correct_target_offset_sec_count_per_tar_json"}
+        maps = _shard_maps(rows, key).where("shard IS NOT NULL").groupBy(*key).agg(*[nested(c).alias(n) for c, n in names.items()])
+        summary = summary.join(maps, key, "left").fillna("{}", list(names.values()))
+    if zero is None:
+        classes = F.sequence(F.lit(0).cast("bigint"), F.lit(len(grid) - 1).cast("bigint"))
+        frame = rows.select(*key).distinct().select(*key, F.explode(classes).alias("cls"))
+        confusion = frame.select(
+            *key, "cls", F.get(grid_column(grid), F.col("cls").cast("int")).alias("pred_offset_sec"), F.lit(0).cast("bigint").alias("n"),
+            F.lit(0.0).alias("frequency"))
+    else:
+        confusion = zero_offset_confusion(rows, grid)
+    counts = F.array_sort(F.collect_list(F.struct(F.col("cls").cast("string").alias("key"), F.col("n").alias("v"))))
+    shares = F.array_sort(F.collect_list(F.struct(
+        F.col("cls").cast("string").alias("key"),
+        F.struct(F.col("n").alias("count"), "frequency", "pred_offset_sec").alias("v"))))
+    zero_maps = confusion.groupBy(*key).agg(
+        F.sum("n").alias("zero_offset_num_trials"),
+        F.to_json(F.map_from_entries(counts)).alias("zero_offset_pred_class_count_json"),
+        F.to_json(F.map_from_entries(shares)).alias("zero_offset_pred_class_frequency_json"))
+    summary = summary.join(zero_maps, key, "left")
     constants = {
-        "exp_name": F.lit(exp_name), "num_clips": F.lit(num_clips), "data_iter": F.lit(data_iter),
-        "zero_offset_target_class_index": F.lit(zero).cast("bigint"),
+        "exp_name": F.lit(exp_name), "data_iter": F.lit(data_iter), "zero_offset_target_class_index": F.lit(zero).cast("bigint"),
     }
     for name, value in constants.items():
         summary = summary.withColumn(name, value)

@@ -50,8 +50,11 @@ def k_per_class(df: DataFrame, label: str, key: str, seed: str, k: int = K_PER_C
 def cluster_stratified_sample(tokens: DataFrame, key: str, cluster: str, size: int, seed: str) -> DataFrame:
     """About proportional shares per cluster, at least one each while the budget lasts, topped up to ``size``.
 
+    A size of zero or less means all tokens.
     The budget is spent in cluster order on the table of cluster sizes, one row per cluster.
     """
+    if size <= 0:
+        return tokens
     sizes = tokens.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
     total = F.sum("_n").over(Window.partitionBy())
     share = F.least(F.col("_n"), F.greatest(F.lit(1), scalars.half_even(F.lit(float(size)) * (F.col("_n") / total)).cast("bigint")))
@@ -70,15 +73,19 @@ def cluster_stratified_sample(tokens: DataFrame, key: str, cluster: str, size: i
 
 
 def weighted_draws(
-    draws: DataFrame, draw_key: str, shards: DataFrame, shard: str, weight: str, seed: str, cells: int = 1024
+    draws: DataFrame, draw_key: str, shards: DataFrame, shard: str, weight: str, seed: str, cells: int | None = None
 ) -> DataFrame:
     """One shard per draw, with replacement, in proportion to its weight.
 
-    Shards own intervals of the unit line. Cutting the line into equal cells makes the range join an
-    equi-join, and a heavy shard spreads over many cells.
+    Shards own intervals of the unit line. Cutting the line into equal cells, as many as there are shards, makes the range
+    join an equi-join, and a heavy shard spreads over many cells.
     """
-    # decimals add up exactly, so neighbouring intervals share their edge
-    exact = F.col(weight).cast("decimal(20,9)")
+    # shares of the total as decimals: they add up exactly, so neighbouring intervals share their edge, whatever the size of the weights
+    all_weight = shards.agg(F.sum(F.col(weight).cast("double"))).first()[0]
+    if not all_weight:
+        raise ValueError("no shard has a weight")
+    cells = cells or max(1024, shards.count())
+    exact = (F.col(weight).cast("double") / all_weight).cast("decimal(20,18)")
     owned = running_totals(shards, [F.col(shard)], {"_high": exact})
     total = shards.agg(F.sum(exact).cast("double")).scalar()
     intervals = owned.withColumn("_total", total).select(

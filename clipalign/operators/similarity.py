@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from clipalign.functions import vectors
-from clipalign.session import is_small, materialize
 
 
 def mean_vector(feature: Column) -> Column:
@@ -38,55 +37,31 @@ def zero_shot_logits(
     feature: str = "feat",
     label: str = "target",
     scale: float = 100.0,
-    max_classes: int = 2048,
 ) -> DataFrame:
-    """Add ``logits``: scaled cosine to every class vector, in class order.
+    """Add ``logits``: scaled cosine to every class vector, in class order; null without a feature.
 
-    Up to ``max_classes`` class vectors are gathered after a count and multiplied with whole Arrow batches,
-    which measures many times faster than lambdas over arrays. More are cut into blocks and joined block by
-    block, salted so that no block becomes a hot key.
+    A row holds a logit per class, so the class vectors are as few as a row can hold. They are gathered and multiplied with whole
+    Arrow batches, which measures many times faster than lambdas over arrays. Classes may be of any type that sorts.
     """
-    weights = materialize(class_vectors(references, feature, label))
-    if is_small(weights, max_classes):
-        matrix = np.array([row["weight"] for row in weights.orderBy("cls").collect()])
-        return samples.withColumn("logits", _matrix_logits(matrix, scale)(F.col(feature)))
-    packed = F.array_sort(F.collect_list(F.struct("cls", "weight")))
-    unit = samples.withColumn("_unit", vectors.l2_normalize(vectors.as_double(F.col(feature))))
-    return _blocked_logits(unit, weights, packed, scale, max_classes)
+    weights = class_vectors(references.where(F.col(feature).isNotNull() & F.col(label).isNotNull()), feature, label)
+    matrix = np.array([row["weight"] for row in weights.orderBy("cls").collect()])
+    return samples.withColumn("logits", _matrix_logits(matrix, scale)(F.col(feature)))
 
 
 def _matrix_logits(matrix: np.ndarray, scale: float) -> Callable[[Column], Column]:
     def multiply(features: pd.Series) -> pd.Series:
-        if features.empty:
-            return pd.Series([], dtype=object)
-        stacked = np.stack(features.to_numpy()).astype(np.float64)
-        unit = stacked / np.maximum(np.linalg.norm(stacked, axis=1, keepdims=True), 1e-12)
-        return pd.Series(list(unit @ matrix.T * scale))
+        out: list[np.ndarray | None] = [None] * len(features)
+        there = np.flatnonzero(features.notna())
+        if len(there) and len(matrix):
+            stacked = np.stack(features.iloc[there].to_numpy()).astype(np.float64)
+            unit = stacked / np.maximum(np.linalg.norm(stacked, axis=1, keepdims=True), 1e-12)
+            for i, logits in zip(there, unit @ matrix.T * scale):
+                out[i] = logits
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(multiply, ArrayType(DoubleType()))
 
 
-def _blocked_logits(
-    unit: DataFrame, weights: DataFrame, packed: Column, scale: float, block_size: int, salts: int = 64
-) -> DataFrame:
-    bounds = weights.agg(F.max("cls")).first()
-    n_blocks = int(bounds[0]) // block_size + 1
-    blocks = weights.groupBy(F.floor(F.col("cls") / block_size).alias("_block")).agg(packed.alias("_weights"))
-    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    identified = materialize(unit.withColumn("_row", F.monotonically_increasing_id()))
-    spread = (
-        identified.select("_row", "_unit")
-        .withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
-    )
-    part = F.transform("_weights", lambda w: vectors.dot(F.col("_unit"), w["weight"]) * scale)
-    parts = spread.join(salted, ["_block", "_salt"]).select("_row", F.struct("_block", part.alias("x")).alias("p"))
-    joined = parts.groupBy("_row").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("logits")
-    )
-    return identified.join(joined, "_row").drop("_row", "_unit")
-
-
 def similarity_matrices(segments: DataFrame, n_segments: int, scale: float = 1.0) -> DataFrame:
     """Long-form cosine matrices ``v2a``, ``a2v``, ``v2v`` and ``a2a`` of every chunk of a clip."""
     unit = _chunked(segments, n_segments)

@@ -141,7 +141,7 @@ def output_stems(files: DataFrame, path: str) -> DataFrame:
         "_candidate", F.when(F.col("_n") == 1, F.col("_stem")).otherwise(F.concat_ws("_", parent, F.col("_stem"))))
     indexed = row_numbers(named, [F.col(path)], rank="_index").withColumn("_index", F.col("_index") - 1)
     ranked = row_numbers(indexed, [F.col("_index")], ["_candidate"], rank="_nth")
-    suffixed = F.concat(F.col("_candidate"), F.lit("_"), F.lpad(F.col("_index").cast("string"), 4, "0"))
+    suffixed = F.concat(F.col("_candidate"), F.lit("_"), scalars.padded(F.col("_index"), 4))
     taken = ranked.where("_nth > 1").groupBy(suffixed.alias("_candidate")).agg(F.min("_index").alias("_taken_by"))
     checked = ranked.join(taken, "_candidate", "left")
     used = (F.col("_nth") > 1) | (F.col("_taken_by") < F.col("_index"))

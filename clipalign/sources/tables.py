@@ -11,6 +11,7 @@ from clipalign.operators.evaluation import SUMMARY_FIELDS, TRIAL_FIELDS
 # Older names of the start column, and the column order of offset files without a header.
 START_NAMES = {"vstart_sec": "v_start_i_sec", "v_start_sec": "v_start_i_sec"}
 HEADERLESS_OFFSETS = "path string, vstart_sec double, offset_sec double, oos_target int"
+# A default, for callers that name no suffixes.
 MEDIA_SUFFIXES = ("mp4", "mkv", "webm", "mov", "avi", "flv", "m4v", "mpg", "mpeg")
 
 
@@ -36,8 +37,8 @@ def read_class_flags(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of every text file below a folder with the file that names them; empty lines are no ids."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    """Ids of every ``*.txt`` file below a folder with the file that names them; empty lines are no ids."""
+    lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter="*.txt").text(path)
     return lines.select(
         F.col("value").alias("clip_id"), F.col("_metadata.file_path").alias("file_path")).where("clip_id <> ''")
 
@@ -50,12 +51,15 @@ def fixed_offset_name(split: str, size: int | None, crop_sec: float, low: float,
 
 
 def read_fixed_offsets(spark: SparkSession, paths: Sequence[str], header: bool = True) -> DataFrame:
-    """Offsets of all splits under one set of names and types."""
-    reader = spark.read.option("header", header)
-    raw = reader.csv(list(paths)) if header else reader.schema(HEADERLESS_OFFSETS).csv(list(paths))
-    named = raw.withColumnsRenamed({old: new for old, new in START_NAMES.items() if old in raw.columns})
+    """Offsets of all splits under one set of names and types; the columns of each path are those of its own header."""
     types = {"offset_sec": "double", "v_start_i_sec": "double", "oos_target": "int"}
-    return named.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in named.columns])
+    found = None
+    for path in paths:
+        raw = spark.read.option("header", True).csv(path) if header else spark.read.schema(HEADERLESS_OFFSETS).csv(path)
+        named = raw.withColumnsRenamed({old: new for old, new in START_NAMES.items() if old in raw.columns})
+        typed = named.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in named.columns])
+        found = typed if found is None else found.unionByName(typed, allowMissingColumns=True)
+    return found
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -113,18 +113,14 @@ def test_evenly_spaced_positions(spark):
         assert got == sorted({int(x) for x in np.arange(0, n, n / m) + 1e-9 if x < n})
 
 
-def test_frame_indices_match_linspace(spark):
-    for low, high, n in ((0, 99, 8), (5, 5, 4), (10, 13, 8), (3, 10, 8)):
-        def take(mode):
-            return spark.range(1).select(sa.frame_indices(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"), n, mode)).head()[0]
-        count = min(n, high - low + 1)
-        uniform = list(np.linspace(low, high, count).round().astype(int))
-        assert take("uniform") == uniform + [uniform[-1]] * (n - count)
-        first = list(range(low, min(low + n, high + 1)))
-        assert take("first") == first + [first[-1]] * (n - len(first))
-        start = max(low, (low + high) // 2 - n // 2)
-        center = list(range(start, min(high + 1, start + n)))
-        assert take("center") == center + [center[-1]] * (n - len(center))
+@pytest.mark.parametrize("low, high, n, mode, frames", [
+    (0, 99, 8, "uniform", [0, 14, 28, 42, 57, 71, 85, 99]), (0, 99, 8, "first", [0, 1, 2, 3, 4, 5, 6, 7]),
+    (0, 99, 8, "center", [45, 46, 47, 48, 49, 50, 51, 52]), (5, 5, 4, "uniform", [5, 5, 5, 5]), (5, 5, 4, "first", [5, 5, 5, 5]),
+    (5, 5, 4, "center", [5, 5, 5, 5]), (10, 13, 8, "uniform", [10, 11, 12, 13, 13, 13, 13, 13]),
+    (10, 13, 8, "center", [10, 11, 12, 13, 13, 13, 13, 13]), (3, 10, 8, "center", [3, 4, 5, 6, 7, 8, 9, 10])])
+def test_frame_indices(spark, low, high, n, mode, frames):
+    column = sa.frame_indices(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"), n, mode)
+    assert spark.range(1).select(column).head()[0] == frames
 
 
 def test_epoch_shuffle_spreads_evenly(spark):

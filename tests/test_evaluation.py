@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,11 +52,34 @@ def test_zero_class_needs_a_zero():
 def test_full_summary_has_every_field(spark):
     hit = [0.0, 0.0, 9.0, 0.0, 0.0]
     rows = ev.trial_rows(_trials(spark, [(2, hit), (2, hit), (1, hit)]), GRID)
-    summary = ev.full_summary(rows, GRID, 3, 1).head()
+    summary = ev.full_summary(rows, GRID, 1).head()
     assert list(summary.asDict()) == ev.SUMMARY_FIELDS
-    assert summary["correct_target_class_count_per_tar_json"] == '{"a-0.tar": {"2":1}, "a-1.tar": {"2":1}}'
-    assert summary["zero_offset_num_trials"] == 2
-    assert ev.full_summary(rows, GRID, 3, 1, max_shards=1).head()["correct_target_class_count_per_tar_json"] is None
+    assert summary["correct_target_class_count_per_tar_json"] == '{"a-0.tar":{"2":1},"a-1.tar":{"2":1}}'
+    assert summary["zero_offset_num_trials"] == 2 and summary["num_clips"] == 3
+    assert ev.full_summary(rows, GRID, 1, shard_maps=False).head()["correct_target_class_count_per_tar_json"] is None
+
+
+def test_summary_without_a_zero_class_and_with_odd_names(spark):
+    grid = ev.offset_grid(-2, 2, 4)
+    rows = ev.trial_rows(_trials(spark, [(0, [9.0, 0.0, 0.0, 0.0]), (1, [9.0, 0.0, 0.0, 0.0])]), grid)
+    rows = rows.withColumn("sample_id", F.lit('a "quoted".tar::x'))
+    summary = ev.full_summary(rows, grid, 1).head()
+    assert summary["zero_offset_target_class_index"] is None and summary["zero_offset_num_trials"] == 0
+    assert json.loads(summary["zero_offset_pred_class_count_json"]) == {"0": 0, "1": 0, "2": 0, "3": 0}
+    assert json.loads(summary["correct_target_class_count_per_tar_json"]) == {'a "quoted".tar': {"0": 1}}
+
+
+def test_a_class_with_several_offsets_in_a_shard(spark):
+    rows = spark.createDataFrame(
+        [("m", "s.tar::a", 1, 0, 0.1), ("m", "s.tar::b", 1, 0, 0.2), ("m", "s.tar::c", 1, 3, 0.1), ("m", "s.tar::d", 0, 3, 0.1)],
+        "model_name string, sample_id string, top1_correct int, target_class_index long, target_offset_sec double")
+    row = ev.shard_rollup(rows).head()
+    assert row["class_count_json"] == '{"0":2,"3":1}' and row["offset_count_json"] == '{"0.1":2,"0.2":1}' and row["n_correct"] == 3
+
+
+def test_tiers_take_thresholds_in_any_order(spark):
+    df = spark.createDataFrame([(0, [9.0, 0.0], 0.8, 1), (1, [0.0, 9.0], 0.96, 1)], "target long, logits array<double>, sync_prob double, sync_target long")
+    assert {r["threshold"]: r["n"] for r in ev.confidence_tiers(df, 2, [0.95, 0.5]).collect()} == {0.5: 2, 0.95: 1}
 
 
 def _areas(score, positive):

@@ -15,7 +15,7 @@ def _one(df, column):
 
 
 def test_six_digit_key_matches_percent_g(spark):
-    values = [0.0, 0.2, -1.6, 2.0, 1.555556, 100.0, 123456.7, 0.00012345678, -99.99999, 0.1 + 0.2]
+    values = [0.0, 0.2, -1.6, 2.0, 1.555556, 100.0, 123456.7, 0.00012345678, -99.99999, 0.1 + 0.2, 1234567.0, 0.00001234, 999999.7, -1e20, 2.5e-7, 1e6, 1e300]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert _one(df, scalars.six_digit_key(F.col("v"))) == [f"{v:.6g}" for v in values]
 
@@ -40,7 +40,7 @@ def test_shard_name(spark):
 
 
 def test_caption_clean_undoes_entities_twice(spark):
-    texts = ["A &amp;amp; B", " x\n\t y ", "&quot;Hi&quot; &amp;lt;b&gt;", "a\u00a0\u2003b  c\u3000", "x&nbsp;y"]
+    texts = ["A &amp;amp; B", " x\n\t y ", "&quot;Hi&quot; &amp;lt;b&gt;", "a\u00a0\u2003b  c\u3000", "x&nbsp;y", "&copy; &middot; &eacute;&#233;&#x27; &hellip;", "no &such; thing & so"]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     want = [re.sub(r"\s+", " ", html.unescape(html.unescape(t)).strip()).strip().lower() for t in texts]
     assert _one(df, scalars.clean_caption(F.col("s"))) == want
@@ -72,3 +72,13 @@ def test_noise_repeats_and_has_the_amplitude(spark):
     assert np.array_equal(first, second)
     assert abs(first.std() - 0.01) < 0.0005 and abs(first.mean()) < 0.0005
     assert not math.isclose(first[0][0], first[1][0])
+
+
+def test_padding_never_cuts(spark):
+    df = spark.createDataFrame([(7,), (12345,)], "n long")
+    assert _one(df, scalars.padded(F.col("n"), 4)) == ["0007", "12345"]
+
+
+def test_special_tokens_stay_whole(spark):
+    df = spark.createDataFrame([("<start_of_text>It's 42 <end_of_text>!",)], "s string")
+    assert _one(df, scalars.caption_words(F.col("s")))[0] == ["<start_of_text>", "it", "'s", "4", "2", "<end_of_text>", "!"]

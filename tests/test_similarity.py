@@ -76,15 +76,17 @@ def test_contrastive_and_distillation(clip):
     assert same == pytest.approx((entropy(x) + entropy(x.T)) / 2)
 
 
-def test_many_classes_take_the_blocked_way(spark):
+def test_classes_of_any_kind_and_missing_features(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, i % 9, [float(x) for x in rng.normal(size=5)]) for i in range(60)]
+    rows = [(i, i % 9, [float(x) for x in rng.normal(size=5)]) for i in range(60)] + [(60, 1, None)]
     df = spark.createDataFrame(rows, "id long, target long, feat array<double>")
-    whole = {r["id"]: r["logits"] for r in sim.zero_shot_logits(df, df).collect()}
-    blocked = {r["id"]: r["logits"] for r in sim.zero_shot_logits(df, df, max_classes=4).collect()}
-    assert len(whole) == len(blocked) == 60
-    for i in whole:
-        assert blocked[i] == pytest.approx(whole[i])
+    named = df.withColumn("target", F.concat(F.lit("c"), "target"))
+    sparse = df.withColumn("target", F.col("target") * 10**12)
+    whole, *others = [{r["id"]: r["logits"] for r in sim.zero_shot_logits(x, x).collect()} for x in (df, named, sparse)]
+    assert whole[60] is None and len(whole) == 61 and len(whole[0]) == 9
+    for other in others:
+        assert other.pop(60) is None
+        assert all(other[i] == pytest.approx(whole[i]) for i in other)
 
 
 def test_row_minmax_of_a_flat_row(spark):
