@@ -157,7 +157,10 @@ def file_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.file_checksums(spark, folder).select(_short("path"), "length", "md5")
 
 
-@query("discover_media")
+# a tar is headers and contents in blocks of 512 bytes and two empty blocks, filled up to records of 10,240 bytes
+@query("discover_media", with_ctes([MEMBERS, """
+t AS (SELECT shard, sum(512 + 512 * ((size + 511) // 512)) + 1024 AS used FROM members GROUP BY 1)"""], """
+SELECT shard AS path, 0 AS root_no, ((used + 10239) // 10240 * 10240)::BIGINT AS length FROM t"""))
 def discover_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shards stand in for media files; the second root lies inside the first."""
     folder = _shard_folder(spark, sf_dir)

@@ -206,12 +206,12 @@ def multilevel_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("feature_norms", with_ctes(["""
-n AS (SELECT vec_id, sqrt(list_inner_product(embedding[1:8]::DOUBLE[], embedding[1:8]::DOUBLE[])) AS norm FROM embeddings)"""], f"""
+n AS (SELECT vec_id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)"""], f"""
 SELECT vec_id, {r6("norm", "norm")}, {r6("(norm - min(norm) OVER ()) / (max(norm) OVER () - min(norm) OVER ())", "scaled")}
 FROM n"""))
 def feature_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.slice(vectors.as_double(F.col("embedding")), 1, 8).alias("feat"))
+        "vec_id", vectors.as_double(F.col("embedding")).alias("feat"))
     return tidy(ranking.scaled_norms(e, "vec_id", "feat"))
 
 

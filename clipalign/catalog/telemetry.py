@@ -185,4 +185,5 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stage_ratio", f"""
 SELECT {r6("sum(value) FILTER (event_type = 'click') / sum(value) FILTER (event_type = 'view')", "ratio")} FROM events""")
 def stage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(tm.stage_ratio(tm.timing_summary(views.stage_times(spark, sf_dir)), "click", "view"))
+    totals = views.stage_times(spark, sf_dir).groupBy("stage").agg(F.sum("seconds").alias("total_s"))
+    return tidy(tm.stage_ratio(totals, "click", "view"))

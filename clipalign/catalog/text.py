@@ -11,6 +11,8 @@ from clipalign.catalog import query, tidy
 from clipalign.catalog.ctes import LOG_LINES, r6, with_ctes
 from clipalign.functions import audio, scalars, vectors
 from clipalign.operators import text
+from clipalign.session import scratch_path
+from clipalign.sources import tables
 
 
 @query("slug_prefix", r"""
@@ -101,14 +103,14 @@ _METRICS = [m.lower() for m in text.PROGRESS_METRICS]
 _AVERAGED = [m.lower() for m in text.AVERAGED_METRICS]
 PROGRESS = f"""{LOG_LINES},
 hits AS (
-  SELECT regexp_extract(value, '{text.PROGRESS_LINE}', 1) AS p, regexp_extract(value, '{text.PROGRESS_LINE}', 2)::BIGINT AS epoch,
+  SELECT line_no % 8 AS log, regexp_extract(value, '{text.PROGRESS_LINE}', 1) AS p, regexp_extract(value, '{text.PROGRESS_LINE}', 2)::BIGINT AS epoch,
     regexp_extract(value, '{text.PROGRESS_LINE}', 3)::BIGINT AS seen_in_phase,
     regexp_extract(value, '{text.PROGRESS_LINE}', 4)::BIGINT AS phase_total,
     {", ".join(f"{_metric_sql(m, 1)} AS {m.lower()}, {_metric_sql(m, 2)} AS {m.lower()}_avg" for m in text.PROGRESS_METRICS)}
   FROM lines WHERE regexp_matches(value, '{text.PROGRESS_LINE}')
 ),
 progress AS (
-  SELECT DISTINCT CASE WHEN p IN ('Valid', 'Val') THEN 'Eval' ELSE p END AS phase, epoch, seen_in_phase, phase_total,
+  SELECT DISTINCT log, CASE WHEN p IN ('Valid', 'Val') THEN 'Eval' ELSE p END AS phase, epoch, seen_in_phase, phase_total,
     epoch * phase_total + seen_in_phase AS phase_progress,
     {", ".join(f"{m}, {m}_avg" for m in _METRICS)}
   FROM hits WHERE coalesce({", ".join(_METRICS)}) IS NOT NULL
@@ -116,12 +118,25 @@ progress AS (
 
 
 @query("log_progress_parse", with_ctes([PROGRESS], f"""
-SELECT phase, epoch, seen_in_phase, phase_total, phase_progress,
+SELECT log, phase, epoch, seen_in_phase, phase_total, phase_progress,
   {", ".join(f"{r6(m, m)}, {r6(f'{m}_avg', f'{m}_avg')}" for m in _METRICS)},
-  {", ".join(r6(f"CASE WHEN (SELECT count({m}_avg) FROM progress) > 0 THEN {m}_avg ELSE {m} END", f"{m}_plot")
+  {", ".join(r6(f"CASE WHEN count({m}_avg) OVER (PARTITION BY log) > 0 THEN {m}_avg ELSE {m} END", f"{m}_plot")
              for m in _AVERAGED)} FROM progress"""))
 def log_progress_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(text.parse_progress(views.log_lines(spark, sf_dir)))
+    return _by_log(text.parse_progress(_logs(views.log_lines(spark, sf_dir))))
+
+
+def _logs(lines: DataFrame) -> DataFrame:
+    """The lines written to eight log files in their order, and read again. Every second log has no running averages."""
+    path = scratch_path(lines.sparkSession, "logs")
+    logs = lines.withColumn("log", F.col("line_no") % 8).repartition("log").sortWithinPartitions("log", "line_no")
+    logs.select("log", "value").write.partitionBy("log").text(path)
+    return tables.read_log(lines.sparkSession, path)
+
+
+def _by_log(parsed: DataFrame) -> DataFrame:
+    log = F.regexp_extract("file", r"/log=(\d+)/", 1).cast("bigint").alias("log")
+    return tidy(parsed.select(log, *[F.col(c) for c in parsed.columns if c != "file"]))
 
 
 def _epoch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,22 +152,22 @@ def _epoch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EPOCH_LINES = """
 elines AS (
-  SELECT event_id AS line_no, CASE WHEN event_id % 5 = 0 THEN 'valid' ELSE 'train' END AS phase,
-    (dayofyear(ts) - 1)::BIGINT AS epoch, CASE WHEN event_id % 3 = 0 THEN event_id END AS loss_line,
+  SELECT event_id % 8 AS log, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS line_no, CASE WHEN event_id % 5 = 0 THEN 'valid' ELSE 'train' END AS phase,
+    (dayofyear(ts) - 1)::BIGINT AS epoch, CASE WHEN event_id % 3 = 0 THEN row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) END AS loss_line,
     CASE WHEN event_id % 3 = 0 THEN value END AS loss, CASE WHEN event_id % 3 <> 0 THEN (event_id % 10) / 10.0 END AS acc
   FROM events
 ),
-owned AS (SELECT *, last_value(loss_line IGNORE NULLS) OVER (PARTITION BY phase, epoch ORDER BY line_no) AS owner FROM elines)"""
+owned AS (SELECT *, last_value(loss_line IGNORE NULLS) OVER (PARTITION BY log, phase, epoch ORDER BY line_no) AS owner FROM elines)"""
 
 
 @query("log_epoch_parse", with_ctes([EPOCH_LINES], f"""
-SELECT phase, epoch, owner AS line_no, {r6("max(loss)", "loss")},
+SELECT log, phase, epoch, owner AS line_no, {r6("max(loss)", "loss")},
   {r6("arg_max(acc, line_no) FILTER (acc IS NOT NULL)", "accuracy_1")},
   CASE WHEN count(acc) > 0 THEN 0.9::DOUBLE END AS accuracy_5,
   {r6("arg_max(acc, line_no) FILTER (acc IS NOT NULL)", "accuracy_1_tol1")}
-FROM owned WHERE owner IS NOT NULL GROUP BY 1, 2, 3"""))
+FROM owned WHERE owner IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def log_epoch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(text.parse_epochs(_epoch_lines(spark, sf_dir)))
+    return _by_log(text.parse_epochs(_logs(_epoch_lines(spark, sf_dir))))
 
 
 @query("audio_array_ops", with_ctes(["""

@@ -106,13 +106,20 @@ points AS (SELECT vec_id, target * 2 AS cluster, vec_id // 20 AS video, u, u[1]
 
 
 @query("cluster_centroids", with_ctes([POINTS, """
-c AS (SELECT cluster, count(*) / 64 AS n, avg(v) FILTER (p = 1) AS a, avg(v) FILTER (p = 64) AS z
-      FROM (SELECT cluster, unnest(u) AS v, generate_subscripts(u, 1) AS p FROM points) GROUP BY 1)"""], f"""
-SELECT i AS cluster, coalesce(n, 0)::BIGINT AS n, {r6("coalesce(a, 0)", "first")}, {r6("coalesce(z, 0)", "last")}
-FROM (SELECT unnest(generate_series(0, (SELECT max(cluster) FROM points))) AS i) LEFT JOIN c ON cluster = i"""))
+c AS (SELECT cluster, p, count(*) AS n, avg(v) AS v
+      FROM (SELECT cluster, unnest(u) AS v, generate_subscripts(u, 1) AS p FROM points) GROUP BY 1, 2)"""], f"""
+SELECT i AS cluster, coalesce(n, 0)::BIGINT AS n, d.p AS dim, {r6("coalesce(v, 0)", "value")}
+FROM (SELECT unnest(generate_series(0, (SELECT max(cluster) FROM points))) AS i) CROSS JOIN (SELECT unnest(generate_series(1, 64)) AS p) d
+LEFT JOIN c ON cluster = i AND c.p = d.p"""))
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     centroids = tk.cluster_centroids(_points(spark, sf_dir), "cluster", "feat", 64)
-    return tidy(centroids.select("cluster", "n", F.get("centroid", F.lit(0)).alias("first"), F.get("centroid", F.lit(63)).alias("last")))
+    return _dims(centroids, "centroid")
+
+
+def _dims(df: DataFrame, vector: str) -> DataFrame:
+    """A row per dimension of a vector, from 1."""
+    rows = df.select(*[c for c in df.columns if c != vector], F.posexplode(vector).alias("dim", "value"))
+    return tidy(rows.withColumn("dim", F.col("dim").cast("bigint") + 1))
 
 
 @query("plot_medians", with_ctes([POINTS], f"""
@@ -123,12 +130,11 @@ def plot_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("frame_pooled_features", with_ctes([POINTS], f"""
-SELECT video, vec_id % 4 AS t, count(*) / 64 AS n0, {r6("avg(v) FILTER (p = 1)", "first")}, {r6("avg(v) FILTER (p = 64)", "last")}
-FROM (SELECT video, vec_id, unnest(u) AS v, generate_subscripts(u, 1) AS p FROM points) GROUP BY 1, 2""").replace(
-    "count(*) / 64 AS n0", "(count(*) // 64) AS n"))
+SELECT video, vec_id % 4 AS t, count(*) AS n, p AS dim, {r6("avg(v)", "value")}
+FROM (SELECT video, vec_id, unnest(u) AS v, generate_subscripts(u, 1) AS p FROM points) GROUP BY 1, 2, p"""))
 def frame_pooled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = tk.frame_pooled(_points(spark, sf_dir).withColumn("t", F.col("vec_id") % 4), ["video", "t"], "feat")
-    return tidy(pooled.select("video", "t", "n", F.get("pooled", F.lit(0)).alias("first"), F.get("pooled", F.lit(63)).alias("last")))
+    return _dims(pooled, "pooled")
 
 
 @query("token_intervals", with_ctes([TOKENS, """

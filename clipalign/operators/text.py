@@ -139,10 +139,10 @@ def _number(line: str, pattern: str, group: int):
     return F.nullif(F.regexp_extract(line, pattern, group), F.lit("")).cast("double")
 
 
-def parse_progress(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Distinct progress rows with current and running values per metric.
+def parse_progress(lines: DataFrame, value: str = "value", file: str = "file") -> DataFrame:
+    """Distinct progress rows of each log with current and running values per metric.
 
-    ``<metric>_plot`` is the running value when the log has any for that metric, otherwise the current one.
+    ``<metric>_plot`` is the running value when the row's log has any for that metric, otherwise the current one.
     """
     head = F.regexp_extract(value, PROGRESS_LINE, 0)
     pieces = {
@@ -152,10 +152,10 @@ def parse_progress(lines: DataFrame, value: str = "value") -> DataFrame:
     }
     # inline keeps the filters below from being pushed under the searches, which would run them again
     cut = lines.select(F.inline(F.array(F.struct(
-        head.alias("_head"), *[p.alias(f"_{m}") for m, p in pieces.items()])))).where("_head <> ''")
+        F.col(file), head.alias("_head"), *[p.alias(f"_{m}") for m, p in pieces.items()])))).where("_head <> ''")
     parts = F.split(F.regexp_replace("_head", PROGRESS_LINE, "$1,$2,$3,$4"), ",")
     phase = F.get(parts, F.lit(0))
-    fields = [F.when(phase.isin("Valid", "Val"), "Eval").otherwise(phase).alias("phase")]
+    fields = [F.col(file), F.when(phase.isin("Valid", "Val"), "Eval").otherwise(phase).alias("phase")]
     for position, name in ((1, "epoch"), (2, "seen_in_phase"), (3, "phase_total")):
         fields.append(F.get(parts, F.lit(position)).cast("bigint").alias(name))
     for m in pieces:
@@ -164,16 +164,17 @@ def parse_progress(lines: DataFrame, value: str = "value") -> DataFrame:
     parsed = materialize(cut.where(found).select(*fields).withColumn(
         "phase_progress", F.col("epoch") * F.col("phase_total") + F.col("seen_in_phase")).distinct())
     names = [m.lower() for m in AVERAGED_METRICS]
-    averaged = parsed.agg(F.struct(*[F.count(f"{m}_avg").alias(m) for m in names]).alias("a")).scalar()
+    averaged = parsed.groupBy(file).agg(F.struct(*[F.count(f"{m}_avg").alias(m) for m in names]).alias("_has"))
     plots = [F.when(F.col(f"_has.{m}") > 0, F.col(f"{m}_avg")).otherwise(F.col(m)).alias(f"{m}_plot") for m in names]
-    return parsed.withColumn("_has", averaged).select(*parsed.columns, *plots)
+    return parsed.join(averaged, file).select(*[F.col(c) for c in parsed.columns], *plots)
 
 
-def parse_epochs(lines: DataFrame, line_no: str = "line_no", value: str = "value") -> DataFrame:
-    """Epoch loss rows, each with the latest metrics line that follows it before the next loss of its epoch."""
+def parse_epochs(lines: DataFrame, line_no: str = "line_no", value: str = "value", file: str = "file") -> DataFrame:
+    """Epoch loss rows of each log, each with the latest metrics line that follows it before the next loss of its epoch."""
     is_loss, is_metrics = F.col(value).rlike(EPOCH_LOSS_LINE), F.col(value).rlike(EPOCH_METRICS_LINE)
     head = r"(train|valid) \((\d+)\)"
     marks = lines.where(is_loss | is_metrics).select(
+        F.col(file),
         F.regexp_extract(value, head, 1).alias("phase"),
         F.regexp_extract(value, head, 2).cast("bigint").alias("epoch"),
         F.col(line_no),
@@ -183,8 +184,8 @@ def parse_epochs(lines: DataFrame, line_no: str = "line_no", value: str = "value
             _number(value, EPOCH_METRICS_LINE, g).alias(n)
             for g, n in ((3, "accuracy_1"), (4, "accuracy_5"), (5, "accuracy_1_tol1"))])).alias("metrics"),
     )
-    owned = carry_last(marks, [F.col(line_no)], "loss_line", ["phase", "epoch"], held="owner").where("owner is not null")
-    return owned.groupBy("phase", "epoch", F.col("owner").alias(line_no)).agg(
+    owned = carry_last(marks, [F.col(line_no)], "loss_line", [file, "phase", "epoch"], held="owner").where("owner is not null")
+    return owned.groupBy(file, "phase", "epoch", F.col("owner").alias(line_no)).agg(
         F.max("loss").alias("loss"),
         F.max_by("metrics", F.when(F.col("metrics").isNotNull(), F.col(line_no))).alias("m"),
-    ).select("phase", "epoch", line_no, "loss", "m.accuracy_1", "m.accuracy_5", "m.accuracy_1_tol1")
+    ).select(file, "phase", "epoch", line_no, "loss", "m.accuracy_1", "m.accuracy_5", "m.accuracy_1_tol1")

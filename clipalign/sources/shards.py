@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clipalign.session import materialize
+
 # Suffixes of shards, video members and pictures, and the order in which pictures are preferred.
 SHARD_PATTERN = r"(?i)\.(tar|tar\.gz|tgz)$"
 VIDEO_SUFFIXES = (".mp4", ".m4v", ".mov")
@@ -75,10 +78,18 @@ def _open(path: str) -> io.BufferedIOBase:
     return system.open_input_stream(inner, compression=None)
 
 
+def _open_seekable(path: str) -> io.RawIOBase:
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:", "", path))
+    return system.open_input_file(inner)
+
+
 def _members(path: str) -> Iterator[tuple[int, tarfile.TarInfo, tarfile.TarFile]]:
-    with _open(path) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+    """Members in order. Only the headers of a plain tar are read, and its contents skipped; a compressed one is read as a stream."""
+    plain = path.lower().endswith(".tar")
+    with (_open_seekable if plain else _open)(path) as raw, tarfile.open(fileobj=raw, mode="r:" if plain else "r|*") as tar:
         for position, member in enumerate(m for m in tar if m.isfile()):
             yield position, member, tar
+            tar.members = []  # else the list of all members stays in memory
 
 
 def _spread(shards: DataFrame) -> DataFrame:
@@ -87,7 +98,7 @@ def _spread(shards: DataFrame) -> DataFrame:
 
 
 def index_members(shards: DataFrame) -> DataFrame:
-    """One row per file in a shard, in shard order, read as a stream; ``is_video`` marks video members."""
+    """One row per file in a shard, in shard order; ``is_video`` marks video members."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,7 +118,8 @@ def index_members(shards: DataFrame) -> DataFrame:
 
 def video_index(shards: DataFrame) -> DataFrame:
     """Video members with their sample id ``shard::member``, in shard and member order; none at all is an error."""
-    found = index_members(shards).where("is_video")
+    # the index is small beside the shards, which are read once
+    found = materialize(index_members(shards).where("is_video"))
     if found.isEmpty():
         raise ValueError("no video members in the shards")
     return found.withColumn("sample_id", F.concat_ws("::", "shard", "member")).drop("is_video").orderBy("shard", "position")
@@ -158,20 +170,22 @@ def complete_samples(samples: DataFrame) -> DataFrame:
 def write_shards(members: DataFrame, folder: str) -> DataFrame:
     """Write ``(shard, position, member, content)`` as tar files and return their paths and member counts.
 
-    Rows arrive sorted within their task and are streamed to the file. A repeated task writes the same
-    file again, so a lost executor does no harm.
+    Rows arrive sorted within their task and are streamed to a file named after the attempt, which takes its place when it is
+    whole. So a lost executor leaves no half shard, and two attempts at once don't meet in one file.
     """
     system, inner = fs.FileSystem.from_uri(folder if "://" in folder else re.sub(r"^file:", "", folder))
     system.create_dir(inner, recursive=True)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target, _ = fs.FileSystem.from_uri(folder if "://" in folder else re.sub(r"^file:", "", folder))
+        attempt = TaskContext.get().taskAttemptId()
         current, tar, out, count = None, None, None, 0
         done = []
 
         def close() -> None:
             tar.close()
             out.close()
+            target.move(f"{inner}/_{current}.{attempt}", f"{inner}/{current}")
             done.append((f"{folder}/{current}", count))
 
         for batch in batches:
@@ -180,7 +194,7 @@ def write_shards(members: DataFrame, folder: str) -> DataFrame:
                     if tar is not None:
                         close()
                     current, count = shard, 0
-                    out = target.open_output_stream(f"{inner}/{shard}")
+                    out = target.open_output_stream(f"{inner}/_{shard}.{attempt}")
                     tar = tarfile.open(fileobj=out, mode="w|")
                 info = tarfile.TarInfo(name)
                 info.size = len(content)

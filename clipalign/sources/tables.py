@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign.operators.evaluation import SUMMARY_FIELDS, TRIAL_FIELDS
+from clipalign.operators.ordering import row_numbers
 
 # Older names of the start column, and the column order of offset files without a header.
 START_NAMES = {"vstart_sec": "v_start_i_sec", "v_start_sec": "v_start_i_sec"}
@@ -63,8 +68,33 @@ def read_fixed_offsets(spark: SparkSession, paths: Sequence[str], header: bool =
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.md5("content").alias("md5"))
+    """MD5 of every file below a folder, read in pieces, so that files of any length fit."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums = []
+            for name in batch["path"]:
+                system, inner = fs.FileSystem.from_uri(name if "://" in name else re.sub(r"^file:", "", name))
+                total = hashlib.md5()
+                with system.open_input_stream(inner, compression=None) as stream:
+                    while piece := stream.read(8 << 20):
+                        total.update(piece)
+                sums.append(total.hexdigest())
+            yield batch.assign(md5=sums)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.repartition("path").mapInPandas(digest, "path string, length long, md5 string")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line_no`` (from 1) and ``value`` of every line of the text files below a folder.
+
+    A file may be read in several blocks at once; the place of a block and of a line in it give the order.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), "value")
+    return row_numbers(lines, [F.col("_block"), F.col("_row")], ["file"], rank="line_no").select("file", "line_no", "value")
 
 
 def discover_media(

@@ -175,3 +175,24 @@ def test_frame_range(spark):
     assert bounds(null, null) == (0, 99)
     assert bounds(F.lit(1.0), F.lit(2.0)) == (25, 74)
     assert bounds(F.lit(3.5), F.lit(9.0)) == (88, 99)
+
+
+def test_unlisted_shards_leave_no_total(spark):
+    shards = spark.createDataFrame([("a", "1.tar"), ("a", "2.tar"), ("b", "1.tar"), ("c", "1.tar")], "dataset string, shard string")
+    sizes = spark.createDataFrame([("a", '{"1.tar": 5}'), ("b", '{"1.tar": 7}')], "dataset string, sizes_json string")
+    lengths = spark.createDataFrame([("c", 9)], "dataset string, stated long")
+    rows = {r["dataset"]: (r["total_size"], r["num_shards"], r["num_unlisted"]) for r in cu.dataset_sizes(shards, sizes, lengths).collect()}
+    assert rows == {"a": (None, 2, 1), "b": (7, 1, 0), "c": (9, 1, 0)}
+
+
+def test_no_sample_size_means_all_tokens(spark):
+    tokens = spark.range(20).withColumn("cluster", F.col("id") % 3)
+    assert sa.cluster_stratified_sample(tokens, "id", "cluster", 0, "s").count() == 20
+
+
+@pytest.mark.parametrize("unit", [1e-12, 1.0, 1e15])
+def test_weights_of_any_size_draw_alike(spark, unit):
+    shards = spark.createDataFrame([("a", 1.0 * unit), ("b", 3.0 * unit)], "shard string, weight double")
+    drawn = sa.weighted_draws(spark.range(400), "id", shards, "shard", "weight", "s")
+    counts = {r["shard"]: r["count"] for r in drawn.groupBy("shard").count().collect()}
+    assert sum(counts.values()) == 400 and 60 < counts["a"] < 140

@@ -6,7 +6,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from clipalign.operators import evaluation as ev
+from clipalign.operators import evaluation as ev, text
 from clipalign.session import scratch_path
 from clipalign.sources import shards as sh, tables as tb
 from clipalign.streaming import telemetry as st
@@ -115,3 +115,47 @@ def test_weighted_components_expand_per_shard(spark):
     assert {r["shard"]: r["weight"] for r in rows} == {"a-08.tar": 2.0, "a-09.tar": 2.0, "a-10.tar": 2.0, "b.tar": 0.5}
     with pytest.raises(ValueError):
         sh.expand_weighted(spark, "a.tar::b.tar", "1")
+
+
+def test_columns_follow_each_files_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("path,offset_sec,vstart_sec\nx,0.5,3.0\n")
+    (tmp_path / "b.csv").write_text("path,v_start_sec,offset_sec,oos_target\ny,4.0,0.25,1\n")
+    rows = {r["path"]: r for r in tb.read_fixed_offsets(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"]).collect()}
+    assert (rows["x"]["offset_sec"], rows["x"]["v_start_i_sec"], rows["x"]["oos_target"]) == (0.5, 3.0, None)
+    assert (rows["y"]["offset_sec"], rows["y"]["v_start_i_sec"], rows["y"]["oos_target"]) == (0.25, 4.0, 1)
+
+
+def test_only_text_files_are_id_lists(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("a\n\nb\n")
+    (tmp_path / "table.csv").write_text("path,offset\n")
+    assert sorted(r["clip_id"] for r in tb.read_id_lists(spark, str(tmp_path)).collect()) == ["a", "b"]
+
+
+def test_log_lines_keep_their_order_and_file(spark, tmp_path):
+    long = [f"line {i} " + "x" * 200 for i in range(3000)]
+    (tmp_path / "long.log").write_text("\n".join(long) + "\n")
+    (tmp_path / "short.log").write_text("one\n\nthree\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = tb.read_log(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    read = {name: [r["value"] for r in sorted(rows, key=lambda r: r["line_no"]) if r["file"].endswith(name)] for name in ("long.log", "short.log")}
+    assert read == {"long.log": long, "short.log": ["one", "", "three"]}
+
+
+def test_averages_of_one_log_do_not_touch_another(spark):
+    line = "12:00:00 | INFO | Train Epoch: 0 [ {}/10 (5%)] Loss: {}"
+    rows = [("a", line.format(1, "2.0 (3.0)")), ("b", line.format(1, "2.0")), ("a", line.format(2, "4.0"))]
+    parsed = text.parse_progress(spark.createDataFrame(rows, "file string, value string"))
+    assert {(r["file"], r["seen_in_phase"]): r["loss_plot"] for r in parsed.collect()} == {("a", 1): 3.0, ("b", 1): 2.0, ("a", 2): None}
+
+
+def test_shards_appear_whole_or_not_at_all(spark, tmp_path):
+    rows = [("s.tar", i, f"m{i}.txt", bytes([i % 256]) * 5000) for i in range(40)]
+    members = spark.createDataFrame(rows, "shard string, position long, member string, content binary")
+    sh.write_shards(members, f"{tmp_path}/out").collect()
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["s.tar"]
+    index = sh.index_members(sh.find_shards(spark, f"{tmp_path}/out")).orderBy("position").collect()
+    assert [(r["member"], r["size"]) for r in index] == [(f"m{i}.txt", 5000) for i in range(40)]
