@@ -7,10 +7,12 @@ only one small sum per file for the global offset, and stripes can be read in pa
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window as W
 from tokenizers import Tokenizer
@@ -18,14 +20,52 @@ from tokenizers import Tokenizer
 from .text import SLICE, flat
 
 END = 0
-#: Distinct words whose ids a task remembers; the memory is emptied at that size, and ids don't depend on it.
-REMEMBERED = 400_000
-ORC_OPTIONS = {"compression": "zlib", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
+#: Words whose ids a task has at hand, and words whose ids it can still look up. Ids don't depend on either bound.
+AT_HAND = 200_000
+REMEMBERED = 1_500_000
+ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
 
+class Remembered:
+    """Ids of words by their 128-bit digests, in arrays that take a few dozen bytes a word."""
+
+    def __init__(self):
+        self.keys = np.empty((0, 2), dtype="<u8")
+        self.first = np.empty(0, dtype="<u8")
+        self.start = np.empty(0, dtype=np.int64)
+        self.size = np.empty(0, dtype=np.uint32)
+        self.ids = b""
+
+    @staticmethod
+    def _digests(words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), dtype="<u8").reshape(-1, 2)
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        if not len(self.first):
+            return [None] * len(words)
+        keys = self._digests(words)
+        at = np.minimum(np.searchsorted(self.first, keys[:, 0]), len(self.first) - 1)
+        # equal first halves with unequal second ones would miss, and the word be encoded again
+        held = (self.keys[at] == keys).all(axis=1).tolist()
+        starts, sizes, ids = self.start[at].tolist(), self.size[at].tolist(), self.ids
+        return [ids[a:a + n] if ok else None for ok, a, n in zip(held, starts, sizes)]
+
+    def add(self, known: dict[str, bytes]) -> None:
+        if len(self.first) + len(known) > REMEMBERED:
+            self.__init__()
+        values = list(known.values())
+        sizes = np.array([len(v) for v in values], dtype=np.uint32)
+        starts = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
+        keys = np.concatenate([self.keys, self._digests(list(known))])
+        order = np.argsort(keys[:, 0], kind="stable")
+        self.keys, self.start = keys[order], np.concatenate([self.start, starts])[order]
+        self.size, self.ids = np.concatenate([self.size, sizes])[order], self.ids + b"".join(values)
+        self.first = np.ascontiguousarray(self.keys[:, 0])
+
+
 class Encoder:
-    """Encodes texts with a byte-level tokenizer, each distinct word once.
+    """Encodes texts with a byte-level tokenizer, each distinct word about once.
 
     The tokenizer splits at a single space or line feed between characters that are no white space, and words to both sides of it don't
     change each other's ids. Texts with other white space are encoded whole. Strings of special tokens are ordinary text.
@@ -34,57 +74,79 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.newline = self._ids(["\n"])[0]
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.newline = np.frombuffer(self._ids(["\n"])[0], dtype="<u4")[0]
+        self.stops = dict(zip(",.", self._ids([",", "."])))
+        self.known: dict[str, bytes | None] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.remembered = Remembered()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, into: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in into]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            # one call for many words, a line each; no word holds a line feed
-            ids = np.frombuffer(self._ids(["\n".join([lead + w for w in part])])[0], dtype="<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.newline, dtype="<u4")[0])
-            if len(ends) != len(part) - 1:
-                into.update(zip(part, self._ids([lead + w for w in part])))
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(part, [*ends.tolist(), len(ids)]):
-                into[w] = raw[4 * a:4 * b]
-                a = b + 1
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words after a space, or with a line feed in front; None for what isn't one word.
+
+        A comma or full stop that ends a word is a piece of its own, so the word before it is learned without it.
+        """
+        ended = [w for w in words if w[-1:] in self.stops and "\x00" < w[-2:-1] < "\u0250" and w[-2].isalnum()]
+        needed = list((set(words).difference(ended) | {w[:-1] for w in ended}).difference(self.known))
+        self._learn_plain(needed)
+        known, stops = self.known, self.stops
+        for w in ended:
+            ids = known[w[:-1]]
+            known[w] = None if ids is None else ids + stops[w[-1]]
+
+    def _learn_plain(self, words: list[str]) -> None:
+        found = self.remembered.find(words)
+        self.known.update(zip(words, found))
+        spaced, starting = [], []
+        for w in [w for w, ids in zip(words, found) if ids is None]:
+            body = w[1:] if w[:1] == "\n" else w
+            if body.split() == [body]:
+                (spaced if body is w else starting).append(w)
+        for new, lead in ((spaced, " "), (starting, "")):
+            for at in range(0, len(new), 4096):
+                part = new[at:at + 4096]
+                # one call for many words, a line each; no word holds a line feed of its own
+                ids = self._ids(["x" + ("\n ".join(["", *part]) if lead else "".join(part))])[0]
+                array = np.frombuffer(ids, dtype="<u4")
+                ends = np.flatnonzero(array == self.newline).tolist()
+                if len(ends) != len(part):
+                    made = dict(zip(part, self._ids([lead + w for w in part])))
+                else:
+                    made = {w: ids[4 * (a + len(lead)):4 * b] for w, a, b in zip(part, ends, [*ends[1:], len(array)])}
+                self.known |= made
+                self.fresh |= made
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.spaced) > REMEMBERED:
-            self.first.clear()
-            self.spaced.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[list[str]]]] = []
-        whole: list[int] = []
-        first: set[str] = set()
-        spaced: set[str] = set()
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif text.replace("\n", " ").split(" ") == text.split():
-                lines = [line.split(" ") for line in text.split("\n")]
-                for words in lines:
-                    first.add(words[0])
-                    spaced.update(words[1:])
-                cut.append((i, lines))
-            else:
-                whole.append(i)
-        self._learn(self.first, first, "")
-        self._learn(self.spaced, spaced, " ")
-        get, head, newline = self.spaced.__getitem__, self.first, self.newline
-        for i, lines in cut:
-            out[i] = newline.join([b"".join([head[words[0]], *map(get, words[1:])]) for words in lines])
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+        if len(self.known) > AT_HAND:
+            self.remembered.add(self.fresh)
+            self.fresh.clear()
+            self.known.clear()
+        # a word that starts a line keeps the line feed in front; any other but the first has a space there
+        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        words = [c[1:] for c in cut]
+        self._learn(list(set().union(*words).difference(self.known)))
+        get = self.known.__getitem__
+        out: list[bytes | None] = []
+        for text, c, own in zip(texts, cut, words):
+            try:
+                out.append(b"".join(map(get, own)) if c else b"")
+            except TypeError:  # not of single words only
+                out.append(None)
+                continue
+            if c and not (c[0] and len(c[0].split()) == 1 and not c[0][0].isspace() and not c[0][-1].isspace()):
+                out[-1] = None
+        heads = self._ids([c[0] if ids is not None else t for t, c, ids in zip(texts, cut, out) if t])
+        at = iter(heads)
+        return [b"" if not t else next(at) + (ids or b"") for t, ids in zip(texts, out)]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, kept from task to task."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list | None = None, end: int = END) -> None:
@@ -100,11 +162,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list | None
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, start, part = Encoder(tokenizer), 0, TaskContext.get().partitionId()
+        encode, start, part = encoder(tokenizer).encode, 0, TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                each = [x + last for x in encoder.encode(batch.column(1).to_pylist())]
+                each = [x + last for x in encode(batch.column(1).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in each], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.array(np.frombuffer(b"".join(each), dtype="<u4").view(np.int32))
@@ -120,10 +182,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list | None
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before the document, in the files' order), n_tokens and ids of every document."""
     rows = spark.read.orc(path)
-    # one row per file, whatever the files hold
+    # one row per file, whatever the files hold, so it may be broadcast
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def find_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
