@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign.llm import decontaminate, language, mixing, queries, simhash, tokenfiles
@@ -37,13 +38,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mix, and from them a row per document: doc_id, start, n_tokens, ids_crc32.
 
-    The order is that of the input's files and of the rows in them. An input that isn't read from files is taken by doc_id.
+    The order is that of the input's files and of the rows in them. An input without such places is taken by doc_id.
     """
     path = scratch_path(spark, "tokens")
-    if docs.inputFiles():
-        order = [F.col("__file"), F.col("__row")]
+    try:
         docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    else:
+        # file numbers of more than five digits make longer names
+        order = [F.length("__file"), F.col("__file"), F.col("__row")]
+    except AnalysisException:
         order = None
     tokenfiles.write_tokens(docs, path, public_tokenizers.path(queries.TOKENIZER), order)
     return tokenfiles.with_crc(tokenfiles.read_tokens(spark, path))
