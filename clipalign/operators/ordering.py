@@ -21,7 +21,7 @@ _UPTO_PREVIOUS = (Window.unboundedPreceding, -1)
 
 
 def hash_ranks(
-    df: DataFrame, seed: str, key: str, groups: Sequence[str] = (), rank: str = "rank", digits: int = 2
+    df: DataFrame, seed: str, key: str, groups: Sequence[str] = (), rank: str = "rank", digits: int = 3
 ) -> DataFrame:
     """Add the 1-based position of each row in the seeded shuffle of its group, and the group size.
 
@@ -46,7 +46,7 @@ def hash_ranks(
 
 
 def hash_first(
-    df: DataFrame, seed: str, key: str, groups: Sequence[str], quota: int | DataFrame, digits: int = 2
+    df: DataFrame, seed: str, key: str, groups: Sequence[str], quota: int | DataFrame, digits: int = 3
 ) -> DataFrame:
     """The first rows of each group in its seeded shuffle: ``quota`` rows, or as many as a table says per group.
 
@@ -179,25 +179,26 @@ def known_around(
         "next_known", F.coalesce("next_known", "_coming")).drop(_SLICE, "_row", "_carried", "_coming")
 
 
-def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Distinct values per group with their count ``n`` and the running count ``upto``."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Distinct values per group with their count ``n``, or the sum of a whole-number weight, and the running ``upto``."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(n.alias("n"))
     return running_totals(counts, [F.col(value)], {"upto": F.col("n")}, groups)
 
 
 def exact_quantiles(
     df: DataFrame, value: str, quantiles: Mapping[str, float], groups: Sequence[str] = (), nearest: Sequence[str] = (),
-    figures: Mapping[str, Column] | None = None,
+    figures: Mapping[str, Column] | None = None, weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, interpolated between neighbours, or at the nearest index for ``nearest``.
 
     Works on running counts of the distinct values, so no task holds all values of a group. ``figures`` are
-    further aggregates over the distinct values, weighted by their count ``n``.
+    further aggregates over the distinct values, weighted by their count ``n``. With ``weight``, a row counts that often.
     """
     keys = list(groups) or ["_all"]
     if not groups:
         df = df.withColumn("_all", F.lit(1))
-    runs = cumulative_counts(df, value, keys)
+    runs = cumulative_counts(df, value, keys, weight)
     sizes = runs.groupBy(*keys).agg(F.sum("n").alias("_size"))
     placed = runs.join(broadcast_if_small(sizes), keys)
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1

@@ -42,6 +42,16 @@ def test_all_error_batch_has_no_figures(spark):
     assert summary["num_errors"] == 1 and summary["accuracy_1"] is None
 
 
+def test_median_of_very_many_distinct_errors(spark):
+    errors = spark.range(100_000).select(
+        F.lit("m").alias("model_name"), F.lit("ok").alias("status"), (F.col("id") % 5).alias("target_class_index"), F.lit(1).alias("top1_correct"),
+        F.lit(1).alias("top1_pm1_class_correct"), F.lit(1).alias("top5_correct"), F.lit(0).cast("bigint").alias("abs_class_error"),
+        (F.col("id") * 7919 % 100_003 / 1000).alias("abs_offset_error_sec"))
+    summary = ev.trial_summary(errors, GRID).head()
+    assert summary["num_trials"] == 100_000
+    assert summary["median_abs_offset_error_sec"] == pytest.approx(np.median(np.arange(100_000) * 7919 % 100_003 / 1000))
+
+
 def test_zero_class_needs_a_zero():
     assert ev.zero_class(GRID) == 2
     assert ev.zero_class(ev.offset_grid(-2, 2, 10)) is None
