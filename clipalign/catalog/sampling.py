@@ -115,13 +115,14 @@ s AS (SELECT *, list_transform(generate_series(0, least(8, hi - lo + 1) - 1), la
        generate_series(greatest(lo, (lo + hi) // 2 - 4), least(hi + 1, greatest(lo, (lo + hi) // 2 - 4) + 8) - 1) AS c
       FROM b WHERE lo <= hi)"""], " UNION ALL ".join(
           f"SELECT clip_id, '{mode}' AS mode, array_to_string({_PAD.format(x=col)}, ',') AS frames FROM s"
-          for mode, col in (("uniform", "u"), ("first", "f"), ("center", "c")))))
+          for mode, col in (("uniform", "u"), ("first", "f"), ("center", "c"))) + """
+UNION ALL SELECT clip_id, mode, NULL FROM b, (VALUES ('uniform'), ('first'), ('center')) m(mode) WHERE lo > hi"""))
 def frame_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = F.col("clip_id")
     ranges = views.clips(spark, sf_dir).select(
-        "clip_id", (clip % 40).alias("lo"), F.least(F.col("v_len") - 1, clip % 40 + clip % 13 * 3).alias("hi")).where("lo <= hi")
+        "clip_id", (clip % 40).alias("lo"), F.least(F.col("v_len") - 1, clip % 40 + clip % 13 * 3).alias("hi"))
     modes = F.array(*[
-        F.struct(F.lit(m).alias("mode"), F.array_join(sa.frame_indices(F.col("lo"), F.col("hi"), 8, m).cast("array<string>"), ",").alias("frames"))
+        F.struct(F.lit(m).alias("mode"), F.array_join(F.when(F.col("lo") <= F.col("hi"), sa.frame_indices(F.col("lo"), F.col("hi"), 8, m)).cast("array<string>"), ",").alias("frames"))
         for m in ("uniform", "first", "center")])
     return ranges.select("clip_id", F.inline(modes))
 

@@ -216,14 +216,13 @@ def feature_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("concat_layers", with_ctes([SEGMENTS], f"""
-SELECT video, seg, 128 AS width, {r6("max(u[1]) FILTER (modality = 'a')", "first_a")},
-  {r6("max(u[64]) FILTER (modality = 'v')", "last_v")}
-FROM segs GROUP BY 1, 2"""))
+SELECT video, seg, p AS dim, {r6("v", "value")}
+FROM (SELECT video, seg, unnest(u) AS v, generate_subscripts(u, 1) + CASE WHEN modality = 'v' THEN 64 ELSE 0 END AS p FROM segs)"""))
 def concat_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = _unit_pairs(spark, sf_dir).select("video", "seg", F.col("modality").alias("layer"), "feat")
     joined = ranking.concat_layers(layers, ["video", "seg"], ["a", "v"])
-    return tidy(joined.select("video", "seg", F.size("feat").alias("width"), F.get("feat", F.lit(0)).alias("first_a"),
-                              F.get("feat", F.lit(127)).alias("last_v")))
+    rows = joined.select("video", "seg", F.posexplode("feat").alias("dim", "value"))
+    return tidy(rows.withColumn("dim", F.col("dim").cast("bigint") + 1))
 
 
 @query("prompt_expand", with_ctes(["""

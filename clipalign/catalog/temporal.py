@@ -110,14 +110,15 @@ def crop_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("audio_jitter", with_ctes([CLIPS, f"""
-j AS (SELECT clip_id, a_len, (clip_id * 97) % (a_len - 320) AS a0, a_len - 320 AS last_a FROM clips WHERE a_len > 320)"""], f"""
-SELECT clip_id, a0 AS a_start_i,
+j AS (SELECT clip_id, CASE WHEN a_len > 320 THEN (clip_id * 97) % (a_len - 320) END AS a0, a_len - 320 AS last_a FROM clips)"""], f"""
+SELECT clip_id, CASE WHEN a0 IS NULL THEN 'no room' ELSE 'ok' END AS status, a0 AS a_start_i,
   -least(a0, 8000) + floor({uniform("jit", "clip_id")} * (least(last_a - a0, 8000) + least(a0, 8000) + 1))::BIGINT AS a_jitter_i FROM j"""))
 def audio_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.col("a_len") - 320
-    clips = _clips(spark, sf_dir).where("a_len > 320").withColumn("a_start_i", (F.col("clip_id") * 97) % last)
+    clips = _clips(spark, sf_dir).withColumn("a_start_i", F.when(last > 0, F.try_mod(F.col("clip_id") * 97, last)))
+    status = F.when(F.col("a_start_i").isNull(), "no room").otherwise("ok")
     jitter = tp.jitter_frames(F.col("a_start_i"), last, tp.to_frames(F.lit(0.5), F.col("a_fps")), "jit", F.col("clip_id"))
-    return clips.select("clip_id", "a_start_i", jitter.alias("a_jitter_i"))
+    return clips.select("clip_id", status.alias("status"), "a_start_i", F.when(status == "ok", jitter).alias("a_jitter_i"))
 
 
 @query("center_or_random_crop", with_ctes([CLIPS], f"""
