@@ -68,12 +68,14 @@ class Encoder:
     """Encodes texts with a byte-level tokenizer, each distinct word about once.
 
     The tokenizer splits at a single space or line feed between characters that are no white space, and words to both sides of it don't
-    change each other's ids. Texts with other white space are encoded whole. Strings of special tokens are ordinary text.
+    change each other's ids. Texts with other white space are encoded whole. With `added_tokens` the tokenizer's added tokens get their
+    own ids, as by the library on the file as loaded, and texts that hold one are encoded whole; else their strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.newline = np.frombuffer(self._ids(["\n"])[0], dtype="<u4")[0]
         self.stops = dict(zip(",.", self._ids([",", "."])))
         self.known: dict[str, bytes | None] = {}
@@ -125,12 +127,16 @@ class Encoder:
             self.fresh.clear()
             self.known.clear()
         # a word that starts a line keeps the line feed in front; any other but the first has a space there
-        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        whole = [any(a in t for a in self.added) if t else False for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") if t and not w else [] for t, w in zip(texts, whole)]
         words = [c[1:] for c in cut]
         self._learn(list(set().union(*words).difference(self.known)))
         get = self.known.__getitem__
         out: list[bytes | None] = []
-        for text, c, own in zip(texts, cut, words):
+        for c, own, w in zip(cut, words, whole):
+            if w:
+                out.append(None)
+                continue
             try:
                 out.append(b"".join(map(get, own)) if c else b"")
             except TypeError:  # not of single words only
@@ -146,13 +152,13 @@ class Encoder:
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The encoder of a Python worker, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, added_tokens=True)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list | None = None, end: int = END) -> None:
     """Write doc_id, part, part_start, n_tokens and ids of every row in ascending `order` (doc_id, null first, if none is given).
 
-    Null and empty texts have only the end id. Rows that repeat a doc_id follow each other by their text. Other columns aren't written.
+    Ids are the library's with the tokenizer as loaded. Null and empty texts have only the end id. Rows that repeat a doc_id follow each other by their text. Other columns aren't written.
     """
     keys = order or [F.col("doc_id").cast("bigint")]
     names = [f"o{i}" for i in range(len(keys))]

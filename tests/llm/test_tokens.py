@@ -60,6 +60,25 @@ def test_awkward_tables_are_written(spark, awkward, table, tmp_path):
     assert tokenfiles.read_tokens(spark, f"{tmp_path}/b").count() == 0
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+END_OF_TEXT = ["end of page <|endoftext|> next", "a<|endoftext|>b", "<|endoftext|>", "one\n<|endoftext|>\ntwo", "<|endoftext| > x", "no such token"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", "word", ".", "<"]), max_size=12).map("".join))
+def test_added_tokens_encode_as_by_the_unmodified_library(text):
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids if text else []
+    assert np.frombuffer(tokenfiles.encoder(PATH).encode([text])[0], "<u4").tolist() == ids
+
+
+def test_files_hold_added_tokens_as_the_unmodified_library_encodes_them(spark, table, tmp_path):
+    tokenfiles.write_tokens(table(list(enumerate(END_OF_TEXT))), f"{tmp_path}/t", PATH)
+    rows = tokenfiles.read_tokens(spark, f"{tmp_path}/t").orderBy("start").collect()
+    expected = [[*LIBRARY.encode(t, add_special_tokens=False).ids, 0] for t in END_OF_TEXT]
+    assert [list(r.ids) for r in rows] == expected
+    assert [r.start for r in rows] == [sum(map(len, expected[:i])) for i in range(len(expected))]
+
+
 def greedy(word, vocabulary, longest):
     n = at = 0
     while at < len(word):
