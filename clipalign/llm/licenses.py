@@ -1,8 +1,9 @@
 """License scan with a positional rare-token index.
 
 Every notice is a template of words with mandatory key phrases. Document frequencies of the license words are counted over all
-documents; the rarest word of each phrase is its entry in the index. A document looks up only those of its words that are entries,
-intersects the postings by relative position, and every alignment left is verified by its key phrases.
+documents; the rarest word of each phrase is its entry in the index, and a notice of one phrase has its second rarest place, too. A
+document looks up only those of its words that are entries, intersects the postings of each template by the start they give, and every
+alignment left is verified by its key phrases.
 """
 
 from __future__ import annotations
@@ -96,34 +97,54 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int
 
 @dataclass
 class Index:
-    """postings: entry word -> (template, its place there)."""
+    """postings: entry word -> (template, its place there); entries: the places of each template's entries."""
 
     templates: list[Template]
     idf: dict[bytes, float]
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+    entries: list[list[int]] = field(default_factory=list)
 
     def __post_init__(self):
         for t, template in enumerate(self.templates):
-            places = [i for a, b in template.keys for i in range(a, b)]
-            rarest = max(places, key=lambda i: (self.idf.get(template.words[i], math.inf), template.words[i], -i))
-            self.postings.setdefault(template.words[rarest], []).append((t, rarest))
+            rarity = lambda i: (self.idf.get(template.words[i], math.inf), template.words[i], -i)
+            entries = [max(range(a, b), key=rarity) for a, b in template.keys]
+            others = [i for a, b in template.keys for i in range(a, b) if i not in entries]
+            if len(entries) == 1 and others:
+                entries.append(max(others, key=rarity))
+            self.entries.append(entries)
+            for place in entries:
+                self.postings.setdefault(template.words[place], []).append((t, place))
+
+    def starts(self, words: list[bytes]) -> dict[int, set[int]]:
+        """For each template the starts that all its entries in the index give."""
+        places: dict[bytes, list[int]] = {}
+        entries = self.postings.keys() & set(words)
+        if entries:
+            for at, word in enumerate(words):
+                if word in entries:
+                    places.setdefault(word, []).append(at)
+        met: dict[int, set[int]] = {}
+        for t in {t for entry in entries for t, _ in self.postings[entry]}:
+            each = sorted(((places.get(self.templates[t].words[i], []), i) for i in self.entries[t]), key=lambda x: len(x[0]))
+            left = {at - each[0][1] for at in each[0][0]}
+            for found, i in each[1:]:
+                if not left:
+                    break
+                left.intersection_update([at - i for at in found])
+            if left:
+                met[t] = left
+        return met
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, place of its first word, share of its words there) of each verified alignment, also partly outside the text."""
         found = []
         n = len(words)
-        for entry in self.postings.keys() & set(words):
-            at = -1
-            while True:
-                try:
-                    at = words.index(entry, at + 1)
-                except ValueError:
-                    break
-                for t, place in self.postings[entry]:
-                    template, start = self.templates[t], at - place
-                    if all(start + a >= 0 and tuple(words[start + a:start + b]) == template.words[a:b] for a, b in template.keys):
-                        same = sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(template.words))
-                        found.append((t, start, same / len(template.words)))
+        for t, starts in self.starts(words).items():
+            template = self.templates[t]
+            for start in starts:
+                if all(start + a >= 0 and tuple(words[start + a:start + b]) == template.words[a:b] for a, b in template.keys):
+                    same = sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(template.words))
+                    found.append((t, start, same / len(template.words)))
         return found
 
 

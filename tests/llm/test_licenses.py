@@ -32,6 +32,22 @@ def test_scan_equals_every_template_at_every_place(table):
     assert len([p for p in rows[10].places if p.base]) == 300
 
 
+def test_postings_are_intersected_by_place():
+    known = licenses.templates()
+    index = licenses.Index(known, {})
+    listed = {(t, i) for places in index.postings.values() for t, i in places}
+    for t, template in enumerate(known):
+        own = [i for u, i in listed if u == t]
+        assert len(own) >= 2 and all(any(a <= i < b for i in own) for a, b in template.keys)
+    mit = next(t for t, x in enumerate(known) if len(x.keys) == 2)
+    notice = list(known[mit].words)
+    assert index.starts([b"so", *notice]).get(mit) == {1}
+    cut = known[mit].keys[1][0]
+    # both key phrases, but not at their places; and one alone
+    assert mit not in index.starts([*notice[:cut], b"one", b"word", *notice[cut:]])
+    assert mit not in index.starts(notice[:cut])
+
+
 def test_partly_quoted_notice_scores_by_its_words(table):
     row = licenses.scan_licenses(table([(1, "see the mit license")])).first().license
     assert row.labels == ["mit"] and row.score == 0.6  # "the mit license" of "released under the mit license"
