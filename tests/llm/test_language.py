@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -37,6 +38,19 @@ def test_narrow_margins_are_rejected(table, model):
     assert [r.language.accepted for r in language.predict(docs, model, min_margin=0.9).orderBy("doc_id").collect()] == [False, False]
 
 
+def test_a_winner_of_votes_that_needs_more_bytes_in_all_is_rejected(table, model):
+    # the first block goes narrowly to one language by most bytes, the second clearly to the other
+    draw = random.Random(3)
+    strange = " ".join("".join(draw.choices("qxyz", k=5)) for _ in range(70))
+    texts = [(strange + f" {'kala mala tola ' * a}")[:512] + " " + ("stritz brontz krug " * 20)[:b] for a in range(0, 8) for b in range(20, 380, 20)]
+    found = [r.language for r in language.predict(table(list(enumerate(texts))), model).collect()]
+    sizes = [[sum(len(c(raw[at:at + language.BLOCK])) for at in range(0, len(raw), language.BLOCK)) for c in model.compressors()]
+             for raw in map(language.letters_only, texts)]
+    beaten = [(r, s) for r, s in zip(found, sizes) if s[model.languages.index(r.lang)] > min(s)]
+    assert beaten and all(r.margin < 0 and not r.accepted for r, _ in beaten)
+    assert all(r.margin >= 0 for r, s in zip(found, sizes) if s[model.languages.index(r.lang)] == min(s))
+
+
 def test_only_usable_labelled_rows_teach(table):
     docs = table([(1, "aaa", "x", None), (2, "bbb", None, None), (3, None, "y", None), (4, "ccc", "z", None)])
     assert language.learn(docs, F.col("doc_id") != 4).languages == ["x"]
