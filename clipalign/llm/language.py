@@ -50,6 +50,7 @@ class Model:
 def learn(docs: DataFrame, usable: Column, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """Make a dictionary per language from about `dictionary_bytes` of the documents that are `usable`, in the order of a digest.
 
+    A document gives an excerpt of at most EXCERPT characters, at a place set by its digest and the text's length.
     Rows with a null text or lang teach nothing. Language frequencies are counted over all usable rows.
     """
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -59,10 +60,11 @@ def learn(docs: DataFrame, usable: Column, dictionary_bytes: int = DICTIONARY_BY
     # enough documents even of 30 characters; a share of each language by digest keeps the sort of a frequent one small
     wanted = dictionary_bytes // 30
     digest = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(F.length("text") - EXCERPT + 1, F.lit(1)).cast("bigint"))
     spread = (1 << 62) - 1
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(spread * min(1.0, 2 * wanted / n))))])
     drawn = (labelled.select("lang", digest.bitwiseAND(spread).alias("at"), F.col("doc_id").cast("string").alias("id"),
-                             F.substring("text", 1, EXCERPT).alias("text"))
+                             F.substring(F.col("text"), (place + 1).cast("int"), F.lit(EXCERPT)).alias("text"))
              .filter(F.col("at") <= share[F.col("lang")])
              .withColumn("size", F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("at", "id", "text")
                                                                .rowsBetween(W.unboundedPreceding, -1)))

@@ -58,6 +58,15 @@ def test_only_usable_labelled_rows_teach(table):
     assert empty.languages == [] and language.predict(docs, empty).select("language.lang").distinct().collect() == [("und",)]
 
 
+def test_a_shared_passage_at_the_start_does_not_fill_the_dictionaries(table):
+    header = "this page is a copy " * 75
+    rows = [(i, header + text * 200, lang, None) for i in range(30) for lang, text in (("aa", "kala mala tola "), ("bb", "stritz brontz krug "))]
+    learned = language.learn(table(rows), F.lit(True))
+    for lang, word in (("aa", b"kala"), ("bb", b"stritz")):
+        dictionary = learned.dictionaries[learned.languages.index(lang)]
+        assert dictionary.count(word) > 200 and len(dictionary) <= language.DICTIONARY_BYTES
+
+
 def test_awkward_rows(awkward, table, model):
     found = language.predict(awkward, model)
     assert found.count() == awkward.count() and set(found.columns) == set(awkward.columns)
