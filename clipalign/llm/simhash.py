@@ -212,22 +212,46 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
                       lambda: lambda raw: (fingerprint(raw),))
     rows = materialize(hashed.select("doc_id", F.col("fp.fp").alias("fp")))
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = component_labels(links(least.select("fp"), shard=shard)).withColumnRenamed("id", "fp")
-    joined = least.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    joined = _labelled(least, shard)
     components = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = joined.join(components, "label").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns; rows that repeat a doc_id count as one document,
-    of which the smallest row stays. Rows without a doc_id can't be told apart and all stay.
+def _labelled(fps: DataFrame, shard: int) -> DataFrame:
+    """The rows with `label`, the smallest fingerprint of the component; `fp` is distinct."""
+    labels = component_labels(links(fps.select("fp"), shard=shard)).withColumnRenamed("id", "fp")
+    return fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def keep_one(docs: DataFrame, shard: int = SHARD, null_ids: bool = False) -> DataFrame:
+    """The row with the smallest doc_id of each component, with all its columns; of several such rows the smallest, by text first.
+
+    Rows are told apart by doc_id and text, so clean texts that share a doc_id all stay. With `null_ids` rows without a doc_id take part
+    and come after all others; else they all stay.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    found = near_duplicates(named, shard)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    joined = named.join(kept, F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
-    others = sorted((c for c in docs.columns if c != "doc_id"), key="text".__eq__)
-    one = joined.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
-    one = one.select(*["doc_id" if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return one.union(docs.filter(F.col("doc_id").isNull()))
+    part = docs if null_ids else docs.filter(F.col("doc_id").isNotNull())
+    doc_id = F.col("doc_id").cast("bigint")
+    # texts of one key are equal and have one fingerprint
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.md5(raw_text()), F.lit("")))
+    hashed = annotate(part.select(doc_id.alias("doc_id"), key.alias("key"), "text"), "fp", "fp bigint", [raw_text()],
+                      lambda: lambda raw: (fingerprint(raw),))
+    rows = materialize(hashed.select("doc_id", "key", F.col("fp.fp").alias("fp")))
+    labelled = _labelled(materialize(rows.select("fp").distinct()), shard)
+    keyed = rows.join(labelled, "fp").groupBy("label", "doc_id", "key").count()
+    first = keyed.groupBy("label").agg(F.min("doc_id").alias("first"))
+    keyed = keyed.join(first, "label").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("label", "key")
+    counted = keyed.groupBy("label").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    chosen = materialize(counted)
+    winners = chosen.filter("n = 1").select(F.col("key").alias("__key"))
+    several = chosen.filter("n > 1").select("label")
+    with_key = part.withColumn("__key", key)
+    if not several.isEmpty():
+        # texts decide between the rows of one doc_id
+        tied = keyed.join(several, "label").select(F.col("key").alias("__key"), "label")
+        least = with_key.select("__key", "text").join(tied, "__key").groupBy("label").agg(F.min(F.struct("text", "__key")).alias("least"))
+        winners = winners.union(materialize(least.select("least.__key")))
+    others = sorted(docs.columns, key="text".__eq__, reverse=True)
+    one = with_key.join(winners, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
+    one = one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return one if null_ids else one.union(docs.filter(F.col("doc_id").isNull()))

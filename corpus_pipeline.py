@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """The document with the smallest doc_id of each near-duplicate group; one without a doc_id stays where the group has no other."""
+    return simhash.keep_one(docs.select(*COLUMNS), null_ids=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

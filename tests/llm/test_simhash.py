@@ -97,6 +97,15 @@ def test_documents_get_the_smallest_reachable_id(table):
     assert kept.filter(F.col("doc_id").isNull()).count() == 2
 
 
+def test_rows_are_deduplicated_not_ids(table):
+    base, other, lone = prose(7, 900), prose(11, 300), prose(12, 300)
+    rows = [(1, base), (1, other), (2, near(base, 1)), (None, near(base, 2)), (None, other), (None, lone), (None, lone), (None, near(lone, 1)), (3, near(other, 1))]
+    kept = simhash.keep_one(table(rows), null_ids=True).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, base), (1, other), (None, min(lone, near(lone, 1)))], key=str)
+    named = [r for r in simhash.keep_one(table(rows)).collect() if r.doc_id is not None]
+    assert sorted((r.doc_id, r.text) for r in named) == sorted([(1, base), (1, other)])
+
+
 def test_awkward_rows(awkward, table):
     assert simhash.near_duplicates(awkward).count() == awkward.count()
     assert simhash.keep_one(awkward).columns == awkward.columns
