@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign.session import scratch_path
 
-from . import decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, tokencount, tokenfiles
+from . import bytepair, decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, tokencount, tokenfiles
 
 #: Bytes of text of a shard, at most.
 SHARD_BYTES = 1 << 20
@@ -15,6 +15,7 @@ SHARD_BYTES = 1 << 20
 MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
 MIX_REST = 10
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -83,8 +84,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_documents(spark, sf_dir), vocabulary).select("doc_id", "tokens.n_words", "tokens.n_tokens")
 
 
+def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    encoded = bytepair.encode_texts(_documents(spark, sf_dir), ranks).select("doc_id", "encoded")
+    decoded = bytepair.decode_ids(encoded, F.col("encoded.ids"), ranks)
+    ids = F.array_join(F.col("encoded.ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("encoded.ids").cast("bigint").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                          F.sha2("decoded.raw", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_token_output, op4_decontamination, op5_simhash, op6_sharding,
-                                   op7_language_id, op8_quality_rules, op9_mixing, op10_token_counts)}
+                                   op7_language_id, op8_quality_rules, op9_mixing, op10_token_counts, op13_bytepair)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

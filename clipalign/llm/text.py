@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -69,5 +70,72 @@ def flat(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch
     return df.mapInArrow(run, out)
 
 
+def annotate_columns(df: DataFrame, into: str, fields: str, inputs: list, make: Callable[[], Callable[..., list]]) -> DataFrame:
+    """As `annotate`, but `make` returns a function from the input arrays of up to `SLICE` rows to the arrays or lists of `fields`."""
+    names = [c for c in df.columns if c != into]
+    struct = T._parse_datatype_string(f"struct<{fields}>")
+    arrow = to_arrow_type(struct)
+    n = len(inputs)
+    packed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+                       *[e.alias(f"i{i}") for i, e in enumerate(inputs)])
+    out = T.StructType([*packed.schema.fields[:len(names)], T.StructField("out", struct)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                parts = [pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns(*batch.columns[-n:]), arrow)]
+                made = pa.StructArray.from_arrays(parts, fields=list(arrow))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-n], made], names=[*batch.schema.names[:-n], "out"])
+
+    done = packed.mapInArrow(run, out)
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("out").alias(into))
+
+
+class Memo(dict):
+    """Values by key, made when first asked for. `trim` forgets those that weren't asked for since about the last `limit` new ones."""
+
+    def __init__(self, make: Callable[[Hashable], object], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key] if key in self.old else self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Before a space or line feed that follows a character that is no white space.
+_WORD_START = re.compile(r"(?<=\S)(?=[ \n])")
+
+
+def word_keys(text: str) -> list[str]:
+    """Keys of the words of a text, cut before each space or line feed; `word_of` gives None for one if the text needs `exact_keys`."""
+    keys = text.replace("\n", " \n").split(" ")
+    if keys[0]:
+        keys[0] = " " + keys[0]
+        return keys
+    return keys[1:]
+
+
+def exact_keys(text: str) -> list[str]:
+    """Keys of the parts of any text, cut before each space or line feed that follows a character that is no white space."""
+    return [" " + part for part in _WORD_START.split(text)] if text else []
+
+
+def word_of(key: str) -> str | None:
+    """The part of the text that a key stands for, or None if it can't be told from its neighbours."""
+    if key[:1] == " ":
+        return key[1:]
+    if not key or key[-1].isspace():
+        return None
+    return key if key[0] == "\n" else " " + key
+
+
 def raw_text(column: str = "text"):
     return F.col(column).cast("binary")
