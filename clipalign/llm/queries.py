@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign.session import scratch_path
 
-from . import bytepair, decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, tokencount, tokenfiles
+from . import alignment, bytepair, decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, tokencount, tokenfiles
 
 #: Bytes of text of a shard, at most.
 SHARD_BYTES = 1 << 20
@@ -16,6 +16,7 @@ MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
 MIX_REST = 10
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -84,6 +85,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_documents(spark, sf_dir), vocabulary).select("doc_id", "tokens.n_words", "tokens.n_tokens")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    path = scratch_path(spark, "aligned")
+    # the keys are fixed by being written, once for each row
+    aligned.select(F.monotonically_increasing_id().alias("key"), "doc_id", "alignment").write.parquet(path)
+    aligned = spark.read.parquet(path)
+    scored = alignment.score_links(aligned, alignment.pair_counts(aligned), "key")
+    n = [F.size(f"alignment.{x}").cast("bigint") for x in ("a", "b", "sizes")]
+    return scored.select("doc_id", n[0].alias("n_a"), n[1].alias("n_b"), F.shiftright(n[2], 1).alias("n_groups"), "links.n_links", "links.n_best",
+                         "links.count_sum", "alignment.groups_sha256")
+
+
 def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     encoded = bytepair.encode_texts(_documents(spark, sf_dir), ranks).select("doc_id", "encoded")
@@ -94,7 +107,7 @@ def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_token_output, op4_decontamination, op5_simhash, op6_sharding,
-                                   op7_language_id, op8_quality_rules, op9_mixing, op10_token_counts, op13_bytepair)}
+                                   op7_language_id, op8_quality_rules, op9_mixing, op10_token_counts, op11_alignment, op13_bytepair)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
