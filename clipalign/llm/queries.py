@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign.session import scratch_path
 
-from . import alignment, bytepair, decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, tokencount, tokenfiles
+from . import alignment, bytepair, decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, tokencount, tokenfiles, whitening
 
 #: Bytes of text of a shard, at most.
 SHARD_BYTES = 1 << 20
@@ -17,6 +17,8 @@ MIX_REST = 10
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+#: Whitened dimensions.
+COMPONENTS = 8
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -97,6 +99,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "links.count_sum", "alignment.groups_sha256")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    whitened = whitening.whiten(vectors, "embedding", COMPONENTS).select("vec_id", "whitening.*")
+    rows = whitened.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "value"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"),
+                       F.col("explained")[F.col("place")].alias("explained"), "identity_error")
+
+
 def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     encoded = bytepair.encode_texts(_documents(spark, sf_dir), ranks).select("doc_id", "encoded")
@@ -107,7 +117,7 @@ def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_token_output, op4_decontamination, op5_simhash, op6_sharding,
-                                   op7_language_id, op8_quality_rules, op9_mixing, op10_token_counts, op11_alignment, op13_bytepair)}
+                                   op7_language_id, op8_quality_rules, op9_mixing, op10_token_counts, op11_alignment, op12_whitening, op13_bytepair)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
