@@ -21,8 +21,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .text import Memo, annotate_columns, exact_keys, word_keys, word_of
+from .words import WordMemory
 
-#: Words, and pairs of tokens, that a task remembers in each of two generations. Ids don't depend on them.
+#: Pairs of tokens that a task remembers in each of two generations. Ids don't depend on it.
 REMEMBERED = 300_000
 
 
@@ -47,10 +48,9 @@ class BytePairs:
         self.sizes = [len(self.tokens.get(i, b"")) for i in range(self.n)]
         # a token that merging doesn't make from its own bytes stands only for a whole word
         made = {t for t in ranks if len(t) == 1 or self.merge(t) == [t]}
-        # the automaton reads backwards, so that the matches that end at a place are those that start there
         self.automaton = ahocorasick.Automaton()
         for t in made:
-            self.automaton.add_word(t[::-1].decode("latin-1"), ranks[t])
+            self.automaton.add_word(t.decode("latin-1"), ranks[t])
         self.automaton.make_automaton()
         self.shorter = [-1] * self.n
         for t in made:
@@ -79,28 +79,29 @@ class BytePairs:
         whole = self.ranks.get(raw)
         if whole is not None or not raw:
             return [whole] if raw else []
-        # bytes still to cover -> the longest token there: of the matches that start at a place the longest comes first
-        matches = list(self.automaton.iter(raw[::-1].decode("latin-1")))
-        matches.reverse()
-        longest = dict(matches)
-        sizes, shorter, fits, n = self.sizes, self.shorter, self.fits, self.n
+        letters = raw.decode("latin-1")
+        sizes, shorter, fits, n, search = self.sizes, self.shorter, self.fits, self.n, self.automaton.iter_long
+        # the longest token at each place where the longest before it ends; the other places follow when they are needed
+        longest = {end + 1 - sizes[i]: i for end, i in search(letters)}
         dead: set[int] = set()
         found: list[int] = []
-        left = len(raw) - 1
-        token, last = longest[left], -1
+        at, last, token = 0, -1, longest[0]
         while True:
-            after = left - sizes[token]
-            if after not in dead and (last < 0 or fits[last * n + token]):
+            end = at + sizes[token]
+            if end not in dead and (last < 0 or fits[last * n + token]):
                 found.append(token)
-                if after < 0:
+                if end == len(raw):
                     return found
-                left, last, token = after, token, longest[after]
+                at, last = end, token
+                token = longest.get(at, -1)
+                if token < 0:
+                    token = longest[at] = next(search(letters, at))[1]
                 continue
             token = shorter[token]
             while token < 0:
-                dead.add(left)
+                dead.add(at)
                 token = found.pop()
-                left += sizes[token]
+                at -= sizes[token]
                 token, last = shorter[token], found[-1] if found else -1
 
     def encode(self, text: str) -> list[int]:
@@ -122,7 +123,7 @@ class TextEncoder:
     def __init__(self, pairs: BytePairs):
         self.pairs = pairs
         self.stops = {c: self._packed(pairs.encode(c)) for c in ",."}
-        self.known = Memo(self._ids, REMEMBERED)
+        self.words = WordMemory(self._ids)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -134,25 +135,25 @@ class TextEncoder:
             return None
         # letters end before a full stop or comma, which is then a word of its own
         if part[-1:] in (",", ".") and "@" < part[-2:-1] < "{" and part[-2].isalpha() and self.pairs.plain:
-            body = self.known[key[:-1]]
-            return None if body is None else body + self.stops[part[-1]]
+            body = self.words.known.get(key[:-1])
+            return (self._packed(self.pairs.encode(part[:-1])) if body is None else body) + self.stops[part[-1]]
         return self._packed(self.pairs.encode(part))
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if not self.pairs.plain:
-            return self._packed(self.pairs.encode(text))
-        ids = self.known.__getitem__
-        try:
-            return b"".join(map(ids, word_keys(text)))
-        except TypeError:  # white space that word_keys can't tell apart
-            return b"".join(map(ids, exact_keys(text)))
-
-    def trim(self) -> None:
-        self.known.trim()
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         self.pairs.fits.trim()
+        if not self.pairs.plain:
+            return [self._packed(self.pairs.encode(t or "")) for t in texts]
+        keys = [word_keys(t) if t else [] for t in texts]
+        self.words.learn(keys)
+        ids = self.words.known.get
+        out = []
+        for text, own in zip(texts, keys):
+            try:
+                out.append(b"".join(map(ids, own)))
+            except TypeError:  # white space that word_keys can't tell apart
+                out.append(b"".join(map(self._ids, exact_keys(text))))
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -173,8 +174,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.P
         encoder = text_encoder(ranks, pattern)
 
         def columns(texts: pa.Array) -> list:
-            encoder.trim()
-            each = list(map(encoder.encode, texts.to_pylist()))
+            each = encoder.encode(texts.to_pylist())
             ends = np.cumsum([0, *map(len, each)], dtype=np.int64) // 4
             return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))]
 

@@ -6,7 +6,7 @@ import tiktoken
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from clipalign.llm import bytepair, queries, text
+from clipalign.llm import bytepair, queries, text, words
 
 from .conftest import prose
 
@@ -24,13 +24,13 @@ def ids(raw: bytes) -> list[int]:
 
 @pytest.mark.parametrize("odd", ODD)
 def test_odd_texts(odd):
-    assert ids(ENCODER.encode(odd)) == LIBRARY.encode_ordinary(odd)
+    assert ids(ENCODER.encode([odd])[0]) == LIBRARY.encode_ordinary(odd)
 
 
 @settings(max_examples=500, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("abthe'sING \n\t.,1é中　\x1c "), st.characters(exclude_categories=["Cs", "Cn"])), max_size=60))
 def test_any_text_encodes_as_by_the_library(given_text):
-    assert ids(ENCODER.encode(given_text)) == LIBRARY.encode_ordinary(given_text)
+    assert ids(ENCODER.encode([given_text])[0]) == LIBRARY.encode_ordinary(given_text)
 
 
 @settings(max_examples=500, deadline=None)
@@ -69,6 +69,14 @@ def test_keys_put_the_text_together(some):
     assert None in parts or "".join(parts) == some
 
 
+def test_words_put_away_come_back(monkeypatch):
+    monkeypatch.setattr(words, "AT_HAND", 50)
+    encoder = bytepair.TextEncoder(ENCODER.pairs)
+    for i in (1, 2, 3, 1, 2):
+        texts = [prose(i, 200), "a  b", "x.\n", prose(i + 1, 100)]
+        assert [ids(x) for x in encoder.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
 def test_ranks_without_a_byte_are_refused():
     with pytest.raises(ValueError):
         bytepair.BytePairs({b"a": 0})
