@@ -11,8 +11,11 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import re
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,8 @@ from clipalign.session import materialize
 
 from .text import SLICE, Memo, annotate_columns, exact_keys, word_keys, word_of
 from .tokencount import byte_letters
+from .words import WordMemory
 
-#: Words that a task remembers in each of two generations. Results don't depend on it.
-REMEMBERED = 150_000
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
 LINKS = 500_000
 PAIRS = 1_000_000
@@ -68,9 +70,9 @@ def shared_cuts(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Side:
-    """One tokenizer: the ids of a part of a text, and the bytes that an id stands for."""
+    """One tokenizer: the ids of parts of a text, and the bytes that an id stands for."""
 
-    ids: Callable[[str], list[int]]
+    ids: Callable[[list[str]], list[list[int]]]
     raw: Callable[[int], bytes]
 
 
@@ -80,23 +82,22 @@ def byte_level(path: str) -> Side:
     tokenizer.encode_special_tokens = True
     letters = byte_letters()
     raw = Memo(lambda i: bytes(letters[c] for c in tokenizer.id_to_token(i)), 1 << 30)
-    return Side(lambda part: tokenizer.encode(part, add_special_tokens=False).ids, raw.__getitem__)
+    return Side(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], raw.__getitem__)
 
 
 def piece_level(path: str) -> Side:
     """A sentencepiece model that puts a space in front of a text and falls back to bytes."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    if any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size())):
-        raise ValueError("a piece of the model goes on after a space, so words can't be encoded alone")
+    pieces = list(map(model.id_to_piece, range(model.get_piece_size())))
+    if any("▁" in p.lstrip("▁") or re.search("[A-Za-z][.,]", p) for p in pieces):
+        raise ValueError("a piece of the model goes on after a word, so words can't be encoded alone")
     space = [model.piece_to_id("▁")]
-    lead = model.encode("x")
+    lead = len(model.encode("x"))
 
-    def ids(part: str) -> list[int]:
-        if part == " ":
-            return space
-        if part[:1] == " ":
-            return model.encode(part[1:])
-        return model.encode("x" + part)[len(lead):]  # goes on without a space
+    def ids(parts: list[str]) -> list[list[int]]:
+        # the model puts a space in front; what has none goes on after a letter, which is taken off again
+        found = model.encode([p[1:] if p[:1] == " " else "x" + p for p in parts], num_threads=1)
+        return [space if p == " " else x if p[:1] == " " else x[lead:] for p, x in zip(parts, found)]
 
     def raw(i: int) -> bytes:
         return bytes([int(model.id_to_piece(i)[1:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
@@ -104,20 +105,39 @@ def piece_level(path: str) -> Side:
     return Side(ids, Memo(raw, 1 << 30).__getitem__)
 
 
-def align_part(a: Side, b: Side, part: str) -> tuple[bytes, bytes, bytes, bytes] | None:
+def align_ids(a: Side, b: Side, part: str, a_ids: list[int], b_ids: list[int]) -> tuple[bytes, bytes, bytes, bytes] | None:
     """Ids of both sides, numbers of tokens of both in each group (a, b, a, b, ...), and the groups as text. None if the bytes of a side
     differ from the part's."""
-    a_ids, b_ids = a.ids(part), b.ids(part)
     a_raw, b_raw, raw = list(map(a.raw, a_ids)), list(map(b.raw, b_ids)), part.encode()
     if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
         return None
-    cuts = shared_cuts(np.cumsum(list(map(len, a_raw))).tolist(), np.cumsum(list(map(len, b_raw))).tolist())
+    cuts = shared_cuts(list(accumulate(map(len, a_raw))), list(accumulate(map(len, b_raw))))
     sizes, shown, i, k = [], [], 0, 0
     for to_a, to_b in cuts:
-        sizes += [to_a - i, to_b - k]
+        sizes += to_a - i, to_b - k
         shown.append(",".join(map(str, a_ids[i:to_a])) + "|" + ",".join(map(str, b_ids[k:to_b])))
         i, k = to_a, to_b
-    return (*(np.array(x, dtype="<i4").tobytes() for x in (a_ids, b_ids, sizes)), ";".join(shown).encode())
+    return (*(struct.pack(f"<{len(x)}i", *x) for x in (a_ids, b_ids, sizes)), ";".join(shown).encode())
+
+
+#: Of a part whose bytes a side doesn't give back.
+_OTHER_BYTES = (None, None, None, None)
+
+
+def _pack(aligned: tuple) -> bytes:
+    a, b, sizes, shown = aligned
+    return b"" if a is None else struct.pack("<3I", len(a), len(b), len(sizes)) + a + b + sizes + shown
+
+
+def _unpack(packed: bytes) -> tuple:
+    if not packed:
+        return _OTHER_BYTES
+    ends = list(accumulate(struct.unpack_from("<3I", packed), initial=12))
+    return (*(packed[x:y] for x, y in zip(ends, ends[1:])), packed[ends[-1]:])
+
+
+def _joined(body: tuple, stop: tuple) -> tuple:
+    return body if body[0] is None else (body[0] + stop[0], body[1] + stop[1], body[2] + stop[2], body[3] + b";" + stop[3])
 
 
 class Aligner:
@@ -125,23 +145,36 @@ class Aligner:
 
     def __init__(self, a: Side, b: Side):
         self.sides = a, b
-        self.known = Memo(self._part, REMEMBERED)
-
-    def _part(self, key: str):
-        part = word_of(key)
-        # no tuple: white space that can't be told apart; a tuple of None: other bytes
-        return None if part is None else align_part(*self.sides, part) or (None,) * 4
-
-    def align(self, text: str | None) -> tuple[bytes, bytes, bytes, str]:
+        self.stops = dict(zip(",.", self._parts([",", "."])))
+        self.words = WordMemory(self._made, _pack, _unpack)
+
+    def _parts(self, parts: list[str]) -> list[tuple]:
+        a, b = self.sides
+        return [align_ids(a, b, *x) or _OTHER_BYTES for x in zip(parts, a.ids(parts), b.ids(parts))]
+
+    def _made(self, keys: list[str]) -> list[tuple | None]:
+        parts = list(map(word_of, keys))
+        # both tokenizers end a token between a letter and a comma or full stop
+        ended = [bool(p) and p[-1] in self.stops and "@" < p[-2:-1] < "{" and p[-2].isalpha() for p in parts]
+        known = self.words.known
+        made = {p[:-1]: known[key[:-1]] for key, p, e in zip(keys, parts, ended) if e and key[:-1] in known}
+        bodies = list({p[:-1] if e else p for p, e in zip(parts, ended) if p is not None}.difference(made))
+        made |= zip(bodies, self._parts(bodies))
+        return [None if p is None else _joined(made[p[:-1]], self.stops[p[-1]]) if e else made[p] for p, e in zip(parts, ended)]
+
+    def align(self, texts: list[str | None]) -> list[tuple[bytes, bytes, bytes, str]]:
         """Ids of a space and the text, numbers of tokens in groups, and the SHA-256 of the groups as text; without tokens all are empty."""
-        if text:
-            parts = list(map(self.known.__getitem__, word_keys(" " + text)))
-            if None in parts:
-                parts = list(map(self.known.__getitem__, exact_keys(" " + text)))
-            a, b, sizes, shown = zip(*parts)
-            if None not in a:
-                return b"".join(a), b"".join(b), b"".join(sizes), hashlib.sha256(b";".join(shown)).hexdigest()
-        return b"", b"", b"", ""
+        keys = [word_keys(" " + t) if t else [] for t in texts]
+        self.words.learn(keys)
+        out = []
+        for text, own in zip(texts, keys):
+            parts = list(map(self.words.known.__getitem__, own))
+            if None in parts:  # white space that word_keys can't tell apart
+                parts = self._made(exact_keys(" " + text))
+            a, b, sizes, shown = zip(*parts) if parts else _OTHER_BYTES
+            out.append((b"".join(a), b"".join(b), b"".join(sizes), hashlib.sha256(b";".join(shown)).hexdigest())
+                       if parts and None not in a else (b"", b"", b"", ""))
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -168,8 +201,7 @@ def align(docs: DataFrame, a: str, b: str, into: str = "alignment") -> DataFrame
         whole = aligner(a, b)
 
         def columns(texts: pa.Array) -> list:
-            whole.known.trim()
-            a_ids, b_ids, sizes, digests = zip(*map(whole.align, texts.to_pylist()))
+            a_ids, b_ids, sizes, digests = zip(*whole.align(texts.to_pylist()))
             return [_lists(a_ids), _lists(b_ids), _lists(sizes), list(digests)]
 
         return columns

@@ -123,7 +123,7 @@ class TextEncoder:
     def __init__(self, pairs: BytePairs):
         self.pairs = pairs
         self.stops = {c: self._packed(pairs.encode(c)) for c in ",."}
-        self.words = WordMemory(self._ids)
+        self.words = WordMemory(lambda keys: list(map(self._ids, keys)))
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:

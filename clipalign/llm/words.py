@@ -11,12 +11,12 @@ AT_HAND = 200_000
 
 
 class WordMemory:
-    """`known` holds the value of each key that was learned last; None is a value like any other.
+    """`known` holds the value of each key that was learned last, as `make` gives them for a list of keys; None is a value too.
 
     Once there are more than `AT_HAND`, they are put away as bytes by their digests, and fetched from there when they come again.
     """
 
-    def __init__(self, make: Callable[[str], object], pack: Callable[[object], bytes] = bytes, unpack: Callable[[bytes], object] = bytes):
+    def __init__(self, make: Callable[[list[str]], list], pack: Callable[[object], bytes] = bytes, unpack: Callable[[bytes], object] = bytes):
         self.make, self.pack, self.unpack = make, pack, unpack
         self.known: dict[str, object] = {}
         self.fresh: dict[str, bytes] = {}
@@ -28,10 +28,12 @@ class WordMemory:
             self.away.add(self.fresh)
             self.fresh, self.known = {}, {}
         new = list(set().union(*keys).difference(self.known))
+        unknown = []
         for key, packed in zip(new, self.away.find(new)):
-            if packed is not None:
+            if packed is None:
+                unknown.append(key)
+            else:
                 self.known[key] = self.unpack(packed)
-            elif key not in self.known:
-                value = self.known[key] = self.make(key)
-                if value is not None:
-                    self.fresh[key] = self.pack(value)
+        made = dict(zip(unknown, self.make(unknown)))
+        self.known |= made
+        self.fresh |= {key: self.pack(value) for key, value in made.items() if value is not None}
