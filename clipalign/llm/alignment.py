@@ -105,39 +105,44 @@ def piece_level(path: str) -> Side:
     return Side(ids, Memo(raw, 1 << 30).__getitem__)
 
 
-def align_ids(a: Side, b: Side, part: str, a_ids: list[int], b_ids: list[int]) -> tuple[bytes, bytes, bytes, bytes] | None:
-    """Ids of both sides, numbers of tokens of both in each group (a, b, a, b, ...), and the groups as text. None if the bytes of a side
-    differ from the part's."""
+def align_ids(a: Side, b: Side, part: str, a_ids: list[int], b_ids: list[int]) -> tuple[bytes, bytes] | None:
+    """The tokens of a part by groups, those of a before those of b, and the groups as text. None if the bytes of a side differ from the part's.
+
+    A token is a 32-bit integer: its id, times four, two more if it is of b, and one more if it starts a group.
+    """
     a_raw, b_raw, raw = list(map(a.raw, a_ids)), list(map(b.raw, b_ids)), part.encode()
     if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
         return None
     cuts = shared_cuts(list(accumulate(map(len, a_raw))), list(accumulate(map(len, b_raw))))
-    sizes, shown, i, k = [], [], 0, 0
+    tokens, shown, i, k = [], [], 0, 0
     for to_a, to_b in cuts:
-        sizes += to_a - i, to_b - k
-        shown.append(",".join(map(str, a_ids[i:to_a])) + "|" + ",".join(map(str, b_ids[k:to_b])))
+        own, other = a_ids[i:to_a], b_ids[k:to_b]
+        tokens.append(own[0] * 4 + 1)
+        tokens += [x * 4 for x in own[1:]]
+        tokens += [x * 4 + 2 for x in other]
+        shown.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
         i, k = to_a, to_b
-    return (*(struct.pack(f"<{len(x)}i", *x) for x in (a_ids, b_ids, sizes)), ";".join(shown).encode())
+    return struct.pack(f"<{len(tokens)}i", *tokens), ";".join(shown).encode()
 
 
 #: Of a part whose bytes a side doesn't give back.
-_OTHER_BYTES = (None, None, None, None)
+_OTHER_BYTES = (None, None)
 
 
 def _pack(aligned: tuple) -> bytes:
-    a, b, sizes, shown = aligned
-    return b"" if a is None else struct.pack("<3I", len(a), len(b), len(sizes)) + a + b + sizes + shown
+    tokens, shown = aligned
+    return b"" if tokens is None else len(tokens).to_bytes(4) + tokens + shown
 
 
 def _unpack(packed: bytes) -> tuple:
     if not packed:
         return _OTHER_BYTES
-    ends = list(accumulate(struct.unpack_from("<3I", packed), initial=12))
-    return (*(packed[x:y] for x, y in zip(ends, ends[1:])), packed[ends[-1]:])
+    end = 4 + int.from_bytes(packed[:4])
+    return packed[4:end], packed[end:]
 
 
 def _joined(body: tuple, stop: tuple) -> tuple:
-    return body if body[0] is None else (body[0] + stop[0], body[1] + stop[1], body[2] + stop[2], body[3] + b";" + stop[3])
+    return body if body[0] is None else (body[0] + stop[0], body[1] + b";" + stop[1])
 
 
 class Aligner:
@@ -162,8 +167,8 @@ class Aligner:
         made |= zip(bodies, self._parts(bodies))
         return [None if p is None else _joined(made[p[:-1]], self.stops[p[-1]]) if e else made[p] for p, e in zip(parts, ended)]
 
-    def align(self, texts: list[str | None]) -> list[tuple[bytes, bytes, bytes, str]]:
-        """Ids of a space and the text, numbers of tokens in groups, and the SHA-256 of the groups as text; without tokens all are empty."""
+    def align(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """The tokens of a space and the text, and the SHA-256 of their groups as text; both are empty without tokens."""
         keys = [word_keys(" " + t) if t else [] for t in texts]
         self.words.learn(keys)
         out = []
@@ -171,9 +176,9 @@ class Aligner:
             parts = list(map(self.words.known.__getitem__, own))
             if None in parts:  # white space that word_keys can't tell apart
                 parts = self._made(exact_keys(" " + text))
-            a, b, sizes, shown = zip(*parts) if parts else _OTHER_BYTES
-            out.append((b"".join(a), b"".join(b), b"".join(sizes), hashlib.sha256(b";".join(shown)).hexdigest())
-                       if parts and None not in a else (b"", b"", b"", ""))
+            tokens, shown = zip(*parts) if parts else _OTHER_BYTES
+            fine = parts and None not in tokens
+            out.append((b"".join(tokens), hashlib.sha256(b";".join(shown)).hexdigest()) if fine else (b"", ""))
         return out
 
 
@@ -185,9 +190,21 @@ def aligner(a: str, b: str) -> Aligner:
     return made
 
 
-def _lists(each: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, each)], dtype=np.int64) // 4
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+
+
+def unravel(each: list[bytes]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Ids of a, ids of b, and numbers of tokens of both in each group, in turn, as lists for the tokens of each text."""
+    counts = np.array([len(x) // 4 for x in each])
+    tokens = np.frombuffer(b"".join(each), dtype="<i4")
+    row = np.repeat(np.arange(len(each)), counts)
+    of_b, first = tokens & 2 > 0, tokens & 1 > 0
+    per = lambda chosen: np.bincount(row[chosen], minlength=len(each))
+    group = np.cumsum(first) - 1
+    n = int(first.sum())
+    sizes = np.stack([np.bincount(group[chosen], minlength=n) for chosen in (~of_b, of_b)], axis=1).ravel()
+    return _lists(tokens[~of_b] >> 2, per(~of_b)), _lists(tokens[of_b] >> 2, per(of_b)), _lists(sizes, 2 * per(first))
 
 
 def align(docs: DataFrame, a: str, b: str, into: str = "alignment") -> DataFrame:
@@ -201,8 +218,8 @@ def align(docs: DataFrame, a: str, b: str, into: str = "alignment") -> DataFrame
         whole = aligner(a, b)
 
         def columns(texts: pa.Array) -> list:
-            a_ids, b_ids, sizes, digests = zip(*whole.align(texts.to_pylist()))
-            return [_lists(a_ids), _lists(b_ids), _lists(sizes), list(digests)]
+            tokens, digests = zip(*whole.align(texts.to_pylist()))
+            return [*unravel(tokens), list(digests)]
 
         return columns
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import gc
+import math
 import struct
 
 import ahocorasick
@@ -46,8 +47,11 @@ class BytePairs:
         self.tokens = {i: t for t, i in ranks.items()}
         self.n = 1 + max(ranks.values())
         self.sizes = [len(self.tokens.get(i, b"")) for i in range(self.n)]
+        # what the last merge of a token joins; None if that isn't of its own rank
+        self.halves = {t: tuple(parts) if len(parts := self.merge(t, i)) == 2 else None for t, i in ranks.items() if len(t) > 1}
         # a token that merging doesn't make from its own bytes stands only for a whole word
-        made = {t for t in ranks if len(t) == 1 or self.merge(t) == [t]}
+        made = {t for t in ranks if len(t) == 1 or self.halves[t] or self.merge(t) == [t]}
+        self.ordered = all(self.halves.values())
         self.automaton = ahocorasick.Automaton()
         for t in made:
             self.automaton.add_word(t.decode("latin-1"), ranks[t])
@@ -56,24 +60,41 @@ class BytePairs:
         for t in made:
             self.shorter[ranks[t]] = next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in made), -1)
         self.fits = Memo(self._fits, REMEMBERED)
+        self.ends = [Memo(lambda t, side=side: self._ends(t, side), self.n) for side in (0, 1)]
 
-    def merge(self, raw: bytes) -> list[bytes]:
-        """Merge the leftmost neighbours of lowest rank until none has a rank. Used on a token or two."""
+    def merge(self, raw: bytes, below: float = math.inf) -> list[bytes]:
+        """Merge the leftmost neighbours of lowest rank until none has a rank `below` that. Used on single tokens."""
         parts = [raw[i:i + 1] for i in range(len(raw))]
-        ranks = [self.ranks.get(a + b, np.inf) for a, b in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) < np.inf:
+        ranks = [self.ranks.get(a + b, math.inf) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < below:
             i = ranks.index(least)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
             del ranks[i]
             for k in (i - 1, i):
                 if 0 <= k < len(ranks):
-                    ranks[k] = self.ranks.get(parts[k] + parts[k + 1], np.inf)
+                    ranks[k] = self.ranks.get(parts[k] + parts[k + 1], math.inf)
         return parts
 
+    def _ends(self, token: bytes, side: int) -> list[tuple[bytes, int, float]]:
+        """What lies at one side of a token while it is merged: the bytes, the rank at which they came to be, and that at which they go on."""
+        if len(token) == 1:
+            return [(token, -1, math.inf)]
+        half, since, _ = self.ends[side][self.halves[token][side]][0]
+        own = self.ranks[token]
+        return [(token, own, math.inf), (half, since, own), *self.ends[side][half][1:]]
+
     def _fits(self, pair: int) -> bool:
-        """Whether two tokens, left * n + right, can be neighbours: merging their bytes gives the two again."""
+        """Whether two tokens, left * n + right, can be neighbours: no merge over their border comes before those that make them."""
         left, right = (self.tokens[i] for i in divmod(pair, self.n))
-        return self.merge(left + right) == [left, right]
+        if not self.ordered:
+            return self.merge(left + right) == [left, right]
+        ranks = self.ranks
+        for a, a_since, a_until in self.ends[1][left]:
+            for b, b_since, b_until in self.ends[0][right]:
+                # of equal ranks the leftmost merges first
+                if a_since < b_until and b_since < a_until and a_until > (rank := ranks.get(a + b, math.inf)) <= b_until:
+                    return False
+        return True
 
     def encode_word(self, raw: bytes) -> list[int]:
         whole = self.ranks.get(raw)
@@ -194,7 +215,8 @@ def decode_ids(encoded: DataFrame, ids, ranks: str, into: str = "decoded") -> Da
         tokens = token_bytes(ranks).__getitem__
 
         def columns(lists: pa.Array) -> list:
-            return [[None if x is None else b"".join(map(tokens, x)) for x in lists.to_pylist()]]
+            ends, values = lists.offsets.to_pylist(), lists.values.to_pylist() if lists.null_count else lists.values.to_numpy().tolist()
+            return [[b"".join(map(tokens, values[a:b])) if valid else None for a, b, valid in zip(ends, ends[1:], lists.is_valid().to_pylist())]]
 
         return columns
 

@@ -8,6 +8,8 @@ from .tokenfiles import Remembered
 
 #: Words at hand. Results don't depend on it.
 AT_HAND = 200_000
+#: Words worked out at a time.
+BATCH = 2000
 
 
 class WordMemory:
@@ -19,14 +21,14 @@ class WordMemory:
     def __init__(self, make: Callable[[list[str]], list], pack: Callable[[object], bytes] = bytes, unpack: Callable[[bytes], object] = bytes):
         self.make, self.pack, self.unpack = make, pack, unpack
         self.known: dict[str, object] = {}
-        self.fresh: dict[str, bytes] = {}
+        self.fresh: list[str] = []
         self.away = Remembered()
 
     def learn(self, keys: Iterable[list[str]]) -> None:
         """Have the values of all these keys at hand."""
         if len(self.known) > AT_HAND:
-            self.away.add(self.fresh)
-            self.fresh, self.known = {}, {}
+            self.away.add({key: self.pack(self.known[key]) for key in self.fresh})
+            self.fresh, self.known = [], {}
         new = list(set().union(*keys).difference(self.known))
         unknown = []
         for key, packed in zip(new, self.away.find(new)):
@@ -34,6 +36,8 @@ class WordMemory:
                 unknown.append(key)
             else:
                 self.known[key] = self.unpack(packed)
-        made = dict(zip(unknown, self.make(unknown)))
-        self.known |= made
-        self.fresh |= {key: self.pack(value) for key, value in made.items() if value is not None}
+        for at in range(0, len(unknown), BATCH):
+            part = unknown[at:at + BATCH]
+            values = self.make(part)
+            self.known.update(zip(part, values))
+            self.fresh += [key for key, value in zip(part, values) if value is not None]

@@ -62,6 +62,14 @@ def test_backtracking_gives_the_merges(word):
     assert SMALL.encode_word(word.encode()) == (slow_merge(TINY, word.encode()) if word else [])
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.integers(0, len(RANKS) - 1), st.integers(0, len(RANKS) - 1))
+def test_neighbours_fit_if_merging_their_bytes_gives_them(left, right):
+    pairs = ENCODER.pairs
+    parts = [pairs.tokens[left], pairs.tokens[right]]
+    assert pairs.fits[left * pairs.n + right] == (pairs.merge(b"".join(parts)) == parts)
+
+
 @given(st.text("ab. \n\t　", max_size=30))
 def test_keys_put_the_text_together(some):
     assert "".join(map(text.word_of, text.exact_keys(some))) == some
