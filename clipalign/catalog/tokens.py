@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clipalign import views
@@ -231,21 +233,44 @@ def standardize_pca_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(embedded.select("vec_id", F.size("embedded").alias("dims"), vectors.norm(F.col("embedded")).alias("norm")))
 
 
-@query("token_cluster")
+#: Clusters of each way, and the layers that the joint way clusters together: one of them twice.
+WAYS = {"global": 8, "spectral": 8, "per clip": 3, "per layer": 4, "joint layers": 6, "concat layers": 5}
+JOINT_LAYERS = ["l0", "l1", "l0"]
+
+
+@query("token_cluster", f"""
+SELECT mode, vec_id, CASE WHEN mode = 'joint layers' AND vec_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n, true AS in_range, true AS agree,
+  CASE WHEN mode = 'joint layers' THEN vec_id // 20 * 30 + vec_id % 2 * 10 WHEN mode = 'concat layers' THEN vec_id // 20 * 10 END AS start
+FROM embeddings, (VALUES {", ".join(f"('{w}')" for w in WAYS)}) w(mode)""")
 def token_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ways to group the tokens before clustering: together, by clip, by layer, and by spectral embedding."""
-    feats = _features(spark, sf_dir)
+    """All ways to group the tokens before clustering: together, by clip, by layer, over layers, and by spectral embedding.
+
+    Labels differ between solvers, so a row says how often a token was labelled, whether its labels lie below the number of clusters, and
+    whether those that have to agree do: of a token in a layer that is given twice, and of the layers of a concatenated window.
+    """
+    feats = _features(spark, sf_dir).withColumn("window", F.floor(F.col("vec_id") % 20 / 2))
     runs = {
-        "global": cl.token_clusters(feats, "feat", "vec_id", 8, 7),
-        "spectral": cl.token_clusters(feats, "feat", "vec_id", 8, 7, method="spectral"),
-        "per clip": cl.grouped_clusters(feats, "video", "feat", "vec_id", 3, "7"),
-        "per layer": cl.separate_layer_clusters(feats, ["l0", "l1"], "feat", "vec_id", 4, 7),
+        "global": cl.token_clusters(feats, "feat", "vec_id", WAYS["global"], 7),
+        "spectral": cl.token_clusters(feats, "feat", "vec_id", WAYS["spectral"], 7, method="spectral"),
+        "per clip": cl.grouped_clusters(feats, "video", "feat", "vec_id", WAYS["per clip"], "7"),
+        "per layer": cl.separate_layer_clusters(feats, ["l0", "l1"], "feat", "vec_id", WAYS["per layer"], 7),
+        "joint layers": cl.joint_layer_clusters(feats, JOINT_LAYERS, "feat", "vec_id", WAYS["joint layers"], 7),
+        "concat layers": cl.concat_layer_clusters(feats, ["l0", "l1"], "video", "window", "feat", WAYS["concat layers"], 7),
     }
-    parts = [df.select(F.lit(name).alias("mode"), "vec_id", "cluster") for name, df in runs.items()]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    parts = []
+    for name, df in runs.items():
+        alike = ["video", "window"] if name == "concat layers" else ["vec_id"]
+        labels = df.groupBy(*alike).agg(
+            F.collect_list("vec_id").alias("ids"), (F.min("cluster") == F.max("cluster")).alias("agree"),
+            ((F.min("cluster") >= 0) & (F.max("cluster") < WAYS[name])).alias("in_range"))
+        rows = labels.select(F.lit(name).alias("mode"), F.explode("ids").alias("vec_id"), "in_range", "agree")
+        parts.append(rows.groupBy("mode", "vec_id", "in_range", "agree").agg(F.count(F.lit(1)).alias("n")))
+    found = reduce(DataFrame.unionByName, parts)
+    offsets = cl.layer_offsets(feats, "video", JOINT_LAYERS).withColumn("mode", F.lit("joint layers")).unionByName(
+        cl.layer_offsets(feats, "video", ["l0", "l1"], shared=True).withColumn("mode", F.lit("concat layers")))
+    starts = offsets.groupBy("mode", "video", "layer").agg(F.min("start").alias("start"))
+    return found.join(feats.select("vec_id", "video", "layer"), "vec_id").join(starts, ["mode", "video", "layer"], "left").select(
+        "mode", "vec_id", "n", "in_range", "agree", "start")
 
 
 @query("recursive_cluster")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from clipalign.functions import scalars, vectors
-from clipalign.operators.ordering import hash_first, row_numbers
+from clipalign.operators.ordering import hash_first, row_numbers, running_totals
 from clipalign.operators.sampling import cluster_stratified_sample
 from clipalign.operators.similarity import mean_vector
 from clipalign.operators.tokens import UNASSIGNED
@@ -88,6 +88,64 @@ def separate_layer_clusters(df: DataFrame, layers: Sequence[str], feature: str,
     return result
 
 
+def layer_offsets(df: DataFrame, clip: str, layers: Sequence[str], shared: bool = False) -> DataFrame:
+    """``start`` and ``stop`` of each clip's and place's rows among the tokens that are clustered together.
+
+    Clips come in order, and the chosen layers of a clip one after the other, so a layer that is chosen twice has two places. With
+    ``shared`` all layers of a clip stand for the same rows, those of its windows.
+    """
+    counts = _placed(df, layers).groupBy(clip, "place", "layer").agg(F.count(F.lit(1)).alias("n"))
+    if shared:
+        ends = running_totals(counts.where("place = 0").select(clip, "n"), [F.col(clip)], {"stop": F.col("n")})
+        found = counts.drop("n").join(ends, clip)
+    else:
+        found = running_totals(counts, [F.col(clip), F.col("place")], {"stop": F.col("n")})
+    return found.select(clip, "place", "layer", (F.col("stop") - F.col("n")).alias("start"), "stop")
+
+
+def _placed(df: DataFrame, layers: Sequence[str]) -> DataFrame:
+    """A row of each token for every place that its layer has in the list; tokens of other layers have none."""
+    listed = F.array(*[F.struct(F.lit(i).cast("bigint").alias("place"), F.lit(name).alias("name")) for i, name in enumerate(layers)])
+    places = F.transform(F.filter(listed, lambda x: x["name"] == F.col("layer")), lambda x: x["place"])
+    return df.withColumn("place", F.explode(places))
+
+
+def joint_layer_clusters(
+    df: DataFrame, layers: Sequence[str], feature: str, key: str, k: int, seed: int, dims: int = 64, **how
+) -> DataFrame:
+    """One model over the tokens of all chosen layers: ``place`` in the list, ``layer`` and ``cluster`` of every token.
+
+    Features are standardised over all of them together, so the clusters can be compared from layer to layer.
+    """
+    placed = _placed(df, layers).withColumn("_token", F.concat_ws(":", F.col(key).cast("string"), "place"))
+    embedded = standardize_pca_l2(placed, feature, max(dims, k))
+    return token_clusters(embedded, "embedded", "_token", k, seed, **how).drop("_token", "embedded")
+
+
+def concat_layer_features(df: DataFrame, clip: str, window: str, layers: Sequence[str], feature: str) -> DataFrame:
+    """One row per window: the features of the chosen layers, one after the other. A window that a layer lacks is refused."""
+    of_layer = [F.max_by(feature, F.when(F.col("layer") == name, F.lit(1))) for name in dict.fromkeys(layers)]
+    rows = df.where(F.col("layer").isin(list(layers))).groupBy(clip, window).agg(
+        *[c.alias(f"_l{i}") for i, c in enumerate(of_layer)])
+    columns = {name: F.col(f"_l{i}") for i, name in enumerate(dict.fromkeys(layers))}
+    lacking = F.concat(F.lit("a layer has no token in window "), F.col(window).cast("string"), F.lit(" of "), F.col(clip).cast("string"))
+    whole = F.when(F.greatest(*[c.isNull() for c in columns.values()], F.lit(False)), F.raise_error(lacking).cast("array<double>"))
+    return rows.select(clip, window, whole.otherwise(F.concat(*[vectors.as_double(columns[name]) for name in layers])).alias(feature))
+
+
+def concat_layer_clusters(
+    df: DataFrame, layers: Sequence[str], clip: str, window: str, feature: str, k: int, seed: int, dims: int = 64, **how
+) -> DataFrame:
+    """One model over windows, each with the features of all chosen layers: ``cluster`` of every token of these layers.
+
+    All layers of a window share its cluster.
+    """
+    windows = concat_layer_features(df, clip, window, layers, feature).withColumn("_token", F.concat_ws(":", F.col(clip).cast("string"), F.col(window).cast("string")))
+    embedded = standardize_pca_l2(windows, feature, max(dims, k))
+    labels = token_clusters(embedded, "embedded", "_token", k, seed, **how).select(clip, window, "cluster")
+    return _placed(df, layers).join(labels, [clip, window])
+
+
 def grouped_clusters(
     df: DataFrame, group: str, feature: str, key: str, k: int, seed: str, iterations: int | None = None, tolerance: float = 1e-9
 ) -> DataFrame:

@@ -109,3 +109,48 @@ def test_landmarks_may_outnumber_the_tokens(blobs):
 def test_embedding_has_unit_length(blobs):
     rows = cl.standardize_pca_l2(blobs, "feat", 2).collect()
     assert all(len(r["embedded"]) == 2 and np.linalg.norm(r["embedded"]) == pytest.approx(1.0) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def layered(spark):
+    """Five windows of three layers in each of twelve clips; window w of a clip lies near the corner w % 4, turned by the layer."""
+    rng = np.random.default_rng(9)
+    corners = np.eye(4) * 5
+    rows = [(f"c{c:02d}", w, name, c * 100 + w * 10 + i, w % 4, [float(x) for x in np.roll(corners[w % 4], i) + rng.normal(scale=0.1, size=4)])
+            for c in range(12) for w in range(5) for i, name in enumerate(("a", "b", "c"))]
+    return spark.createDataFrame(rows, "clip string, win long, layer string, id long, parent long, feat array<double>")
+
+
+def test_joint_layers_are_one_fit(layered):
+    rows = cl.joint_layer_clusters(layered, ["b", "a", "b"], "feat", "id", 4, 7).collect()
+    assert sorted((r["id"], r["place"]) for r in rows) == sorted((r["id"], p) for r in layered.collect() for p in {"b": (0, 2), "a": (1,)}.get(r["layer"], ()))
+    # a token of a layer that is given twice has one cluster, and tokens of both layers share the clusters of their corners
+    label = {}
+    for r in rows:
+        label.setdefault(r["id"], set()).add(r["cluster"])
+        label.setdefault(tuple(np.round(np.array(r["feat"]) / 5).tolist()), set()).add(r["cluster"])
+    assert all(len(v) == 1 for v in label.values()) and {r["cluster"] for r in rows} == {0, 1, 2, 3}
+
+
+def test_concatenated_layers_share_a_cluster_by_window(layered):
+    rows = cl.concat_layer_clusters(layered, ["a", "c"], "clip", "win", "feat", 4, 7).collect()
+    assert sorted(r["id"] for r in rows) == sorted(r["id"] for r in layered.collect() if r["layer"] != "b")
+    assert _pure(rows) and len({(r["parent"], r["cluster"]) for r in rows}) == 4
+    one = {r["id"]: r["cluster"] for r in cl.concat_layer_clusters(layered, ["a"], "clip", "win", "feat", 4, 7).collect()}
+    twice = {r["id"]: r["cluster"] for r in cl.concat_layer_clusters(layered, ["a", "a"], "clip", "win", "feat", 4, 7).collect()}
+    assert len({(one[i], twice[i]) for i in one}) == 4
+    wide = cl.concat_layer_features(layered, "clip", "win", ["c", "a"], "feat").where("clip = 'c03' and win = 2").head()["feat"]
+    assert wide == [x for i in (322, 320) for r in layered.where(F.col("id") == i).collect() for x in r["feat"]]
+
+
+def test_windows_that_a_layer_lacks_are_refused(layered):
+    with pytest.raises(Exception, match="no token in window 3 of c05"):
+        cl.concat_layer_features(layered.where("id <> 531"), "clip", "win", ["a", "b"], "feat").collect()
+
+
+def test_offsets_of_layers(layered):
+    some = layered.where("clip <> 'c01' or win < 2")
+    joint = {(r["clip"], r["place"]): (r["layer"], r["start"], r["stop"]) for r in cl.layer_offsets(some, "clip", ["c", "a", "c"]).collect()}
+    assert joint["c00", 0] == ("c", 0, 5) and joint["c00", 2] == ("c", 10, 15) and joint["c01", 1] == ("a", 17, 19) and joint["c02", 0] == ("c", 21, 26)
+    shared = {(r["clip"], r["layer"]): (r["start"], r["stop"]) for r in cl.layer_offsets(some, "clip", ["c", "a"], shared=True).collect()}
+    assert shared["c01", "a"] == shared["c01", "c"] == (5, 7) and shared["c02", "a"] == (7, 12) and len(shared) == 24
