@@ -49,6 +49,26 @@ def similarity_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(sim.similarity_matrices(_segments(spark, sf_dir), N_SEGMENTS, SCALE))
 
 
+NEAREST = 5
+
+
+@query("corpus_similarity", """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'v' ELSE 'a' END AS modality,
+         list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+p AS (
+  SELECT q.vec_id AS segment, q.modality || '2' || o.modality AS kind, o.vec_id AS partner, round(list_inner_product(q.u, o.u), 9) AS sim
+  FROM e q JOIN e o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment, kind ORDER BY sim DESC, partner) AS rank FROM p)
+SELECT segment, kind, rank, partner, round(sim, 6) AS sim FROM r WHERE rank <= """ + str(NEAREST))
+def corpus_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments with an id divisible by 100 against those of all clips: the best partners of each modality."""
+    vec = F.col("vec_id")
+    segments = views.table(spark, sf_dir, "embeddings").select(
+        vec.alias("segment"), F.when(vec % 2 == 0, "v").otherwise("a").alias("modality"), F.col("embedding").alias("feat"))
+    return tidy(sim.nearest_segments(segments, F.col("segment") % 100 == 0, NEAREST))
+
+
 @query("row_minmax", with_ctes([SEGMENTS, CROSS_MODAL], f"""
 SELECT video, 0::BIGINT AS chunk, row, col, {r6("sim", "sim")},
   {r6("(sim - min(sim) OVER w) / greatest(max(sim) OVER w - min(sim) OVER w, 1e-12)", "scaled")}

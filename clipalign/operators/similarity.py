@@ -190,3 +190,64 @@ def retrieval_metrics(pairs: DataFrame, batch_size: int) -> DataFrame:
         (F.floor(F.percentile("rank", F.lit(0.5))) + 1).cast("bigint").alias("median_rank"),
         *[F.avg((F.col("rank") < k).cast("double")).alias(f"recall_at_{k}") for k in (1, 5, 10)],
     )
+
+
+def nearest_segments(
+    segments: DataFrame, chosen: Column, k: int, key: str = "segment", kind: str = "modality", feature: str = "feat",
+    block_rows: int = 20_000, digits: int = 9,
+) -> DataFrame:
+    """The ``k`` most similar segments of each kind, over all clips, for every chosen segment: ``segment``, ``kind`` (as in ``v2a``),
+    ``rank`` from 1, ``partner`` and ``sim``.
+
+    Chosen rows and all rows are dealt to blocks of about ``block_rows``; each pair of blocks is one matrix product, of which only the
+    ``k`` best columns of a row and kind go on. So no task holds more than two blocks, and no more than ``k`` partners per block are
+    shuffled again, where a partial top-k comes before the exchange. Cosines are compared after rounding to ``digits``; of equal ones
+    the smaller key comes first. A segment is no partner of its own. Rows without a feature take no part.
+    """
+    unit = segments.where(F.col(feature).isNotNull()).select(
+        F.col(key).alias("key"), F.col(kind).alias("kind"), vectors.l2_normalize(vectors.as_double(F.col(feature))).alias("u"), chosen.alias("_chosen"))
+    sizes = unit.agg(F.count(F.lit(1)).alias("n"), F.count_if("_chosen").alias("m")).head()
+    n_blocks, m_blocks = (max(1, -(-n // block_rows)) for n in (sizes["n"], sizes["m"]))
+    dealt = F.xxhash64("key")
+    columns = F.explode(F.sequence(F.lit(0), F.lit(m_blocks - 1)))
+    rows = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    asked = unit.where("_chosen").select("key", "kind", "u", F.pmod(dealt, F.lit(m_blocks)).cast("int").alias("qb"), rows.alias("ib"))
+    held = unit.select("key", "kind", "u", F.pmod(dealt, F.lit(n_blocks)).cast("int").alias("ib"), columns.alias("qb"))
+    key_type = unit.schema["key"].dataType.simpleString()
+    found = asked.groupBy("qb", "ib").cogroup(held.groupBy("qb", "ib")).applyInPandas(
+        _best_of_block(k, digits), f"segment {key_type}, kind string, partner {key_type}, sim double")
+    order = Window.partitionBy("segment", "kind").orderBy(F.col("sim").desc(), "partner")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.select("segment", "kind", "rank", "partner", "sim")
+
+
+def _best_of_block(k: int, digits: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        segments, kinds, partners, values = [], [], [], []
+        if len(asked):
+            queries = np.stack(asked["u"].to_numpy())
+            # rising keys, so that a stable sort leaves the smaller of equals in front
+            for kind, mine in held.sort_values("key").groupby("kind"):
+                keys, matrix = mine["key"].to_numpy(), np.stack(mine["u"].to_numpy())
+                # some rows at a time: the product never outgrows the blocks themselves
+                step = max(1, matrix.size // len(keys))
+                for at in range(0, len(queries), step):
+                    own = asked.iloc[at:at + step]
+                    sims = np.round(queries[at:at + step] @ matrix.T, digits)
+                    sims[own["key"].to_numpy()[:, None] == keys[None, :]] = -np.inf
+                    if len(keys) > k:
+                        least = np.partition(sims, -k, axis=1)[:, -k]
+                    else:
+                        least = np.full(len(sims), -np.inf)
+                    for i, (segment, own_kind) in enumerate(zip(own["key"], own["kind"])):
+                        near = np.flatnonzero((sims[i] >= least[i]) & (sims[i] > -np.inf))
+                        near = near[np.argsort(-sims[i][near], kind="stable")[:k]]
+                        segments += [segment] * len(near)
+                        kinds += [f"{own_kind}2{kind}"] * len(near)
+                        partners += keys[near].tolist()
+                        values += sims[i][near].tolist()
+        of_key = held["key"].dtype
+        return pd.DataFrame({"segment": pd.Series(segments, dtype=of_key), "kind": pd.Series(kinds, dtype=object),
+                             "partner": pd.Series(partners, dtype=of_key), "sim": pd.Series(values, dtype=float)})
+
+    return best

@@ -92,3 +92,34 @@ def test_classes_of_any_kind_and_missing_features(spark):
 def test_row_minmax_of_a_flat_row(spark):
     df = spark.createDataFrame([(0, 0.5), (0, 0.5), (1, 0.0), (1, 2.0)], "row int, sim double")
     assert sorted(r["scaled"] for r in sim.row_minmax(df, ["row"]).collect()) == [0.0, 0.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("block_rows", [7, 30, 10_000])
+def test_nearest_segments_over_all_clips(spark, block_rows):
+    rng = np.random.default_rng(3)
+    feats = rng.normal(size=(90, 5))
+    feats[40:60] = feats[0]  # equal ones: the smaller key comes first
+    rows = [(int(i), "va"[i % 2], [float(x) for x in f]) for i, f in enumerate(feats)] + [(200, "v", None)]
+    segments = spark.createDataFrame(rows, "segment long, modality string, feat array<double>")
+    found = sim.nearest_segments(segments, F.col("segment") % 10 == 0, 4, block_rows=block_rows).collect()
+    unit = feats / np.linalg.norm(feats, axis=1, keepdims=True)
+    expected = {}
+    for q in range(0, 90, 10):
+        for kind in "va":
+            sims = [(-round(float(unit[q] @ unit[p]), 9), p) for p in range(90) if p != q and "va"[p % 2] == kind]
+            for rank, (s, p) in enumerate(sorted(sims)[:4], 1):
+                expected[q, f"{'va'[q % 2]}2{kind}", rank] = (p, -s)
+    assert {(r["segment"], r["kind"], r["rank"]): (r["partner"], r["sim"]) for r in found} == expected
+
+
+def test_nearest_segments_of_few_and_no_rows(spark):
+    schema = "segment long, modality string, feat array<double>"
+    assert sim.nearest_segments(spark.createDataFrame([], schema), F.col("segment") >= 0, 3).count() == 0
+    one = spark.createDataFrame([(1, "v", [1.0, 0.0]), (2, "a", [1.0, 1.0])], schema)
+    assert [(r["segment"], r["kind"], r["partner"]) for r in sim.nearest_segments(one, F.col("segment") == 1, 3).collect()] == [(1, "v2a", 2)]
+    assert sim.nearest_segments(one, F.lit(False), 3).count() == 0
+
+
+def test_partners_are_cut_before_they_are_shuffled(clip):
+    plan = sim.nearest_segments(clip[2].withColumn("segment", F.col("pair")), F.lit(True), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
