@@ -12,7 +12,7 @@ from clipalign.catalog.evaluation import _INTEGER, _ROW_FIGURES, GRID, ROWS, _ro
 from clipalign.functions import scalars
 from clipalign.operators import curation as cu, evaluation as ev, tokens as tk
 from clipalign.session import scratch_path
-from clipalign.sources import shards as sh, tables as tb
+from clipalign.sources import shards as sh, tables as tb, tar_source as tar
 
 DOCS_PER_SHARD = 128
 
@@ -77,6 +77,16 @@ def tar_member_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(_short("shard"), "position", "member", "size", F.regexp_extract("sample_id", r"[^/]*::.*$", 0).alias("sample_id"))
 
 
+@query("tar_member_contents", with_ctes([MEMBERS], """
+SELECT m.shard, m.member, CASE WHEN m.part = 1 THEN 'txt' ELSE 'jpg' END AS suffix, m.size, sha256(d.text) AS content_sha256
+FROM members m JOIN documents d ON m.doc_id = d.doc_id WHERE m.part IN (1, 3)"""))
+def tar_member_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions and one kind of picture out of all shards, found by the source and read by their places."""
+    members = tar.read_members(spark, _shard_folder(spark, sf_dir)).where(F.col("suffix").isin("txt", "jpg"))
+    found = tar.read_contents(members.select("shard", "member", "suffix", "size", "offset"))
+    return found.select(_short("shard"), "member", "suffix", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
 # a second .mp4 repeats the lowered extension of the first member and so opens a sample of its own
 SAMPLES = """
 samples AS (
