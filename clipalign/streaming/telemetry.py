@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from clipalign.session import scratch_path
 
@@ -37,33 +37,57 @@ def running_last_point(points: DataFrame) -> DataFrame:
     return points.groupBy("phase", "epoch").agg(last).select("phase", "epoch", "_last.*")
 
 
-def running_early_stop(history: DataFrame, patience: int, to_max: bool) -> DataFrame:
+class EarlyStop(StatefulProcessor):
+    """What ``running_early_stop`` keeps of a run: where it stands, and the epochs that came before those they follow."""
+
+    def __init__(self, patience: int, to_max: bool, first: int):
+        self.patience, self.to_max, self.first = patience, to_max, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "epoch bigint, best double, stale bigint, triggered boolean")
+        self.early = handle.getMapState("early", "epoch bigint", "metric double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start = 0.0 if self.to_max else float("inf")
+        epoch, best, stale, triggered = self.last.get() if self.last.exists() else (self.first - 1, start, 0, False)
+        for frame in rows:
+            done = []
+            waiting = self.early.exists()
+            for at, metric in frame[["epoch", "metric"]].sort_values(["epoch", "metric"]).itertuples(index=False):
+                if at > epoch + 1 and not self.early.containsKey((at,)):
+                    self.early.updateValue((at,), (metric,))
+                    waiting = True
+                follows = at == epoch + 1
+                while follows:
+                    epoch += 1
+                    improved = bool(metric > best if self.to_max else metric < best)
+                    best, stale = (float(metric), 0) if improved else (best, stale + 1)
+                    triggered = triggered or stale >= self.patience
+                    done.append((key[0], epoch, metric, improved, best, stale, triggered))
+                    follows = waiting and self.early.containsKey((epoch + 1,))
+                    if follows:
+                        metric = self.early.getValue((epoch + 1,))[0]
+                        self.early.removeKey((epoch + 1,))
+            yield pd.DataFrame(done, columns=["run", "epoch", "metric", "improved", "best", "no_change", "triggered"])
+        self.last.update((epoch, best, stale, triggered))
+
+    def close(self) -> None:
+        pass
+
+
+def running_early_stop(history: DataFrame, patience: int, to_max: bool, first: int = 0) -> DataFrame:
     """Best value, epochs without change and the stop mark after every epoch, kept per run across batches.
 
-    State per run is three numbers and a flag. Epochs of a run arrive in order between batches; within a
-    batch they are put in order first.
+    The epochs of a run are numbered from ``first`` without gaps and may come in any order: one that comes too early waits in the state
+    until those before it are there, so the rows don't depend on how epochs are dealt to files. Of a repeated epoch the first one counts,
+    the smallest metric within a batch. A batch is taken in frames as Spark hands them over, and the rest of the state is four numbers.
     """
-    start = 0.0 if to_max else float("inf")
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, stale, triggered = state.get if state.exists else (start, 0, False)
-        for frame in [pd.concat(list(frames)).sort_values("epoch")]:
-            rows = []
-            for epoch, metric in zip(frame["epoch"], frame["metric"]):
-                improved = metric > best if to_max else metric < best
-                best, stale = (metric, 0) if improved else (best, stale + 1)
-                triggered = bool(triggered or stale >= patience)
-                rows.append((key[0], epoch, metric, bool(improved), best, stale, triggered))
-            yield pd.DataFrame(rows, columns=["run", "epoch", "metric", "improved", "best", "no_change", "triggered"])
-        state.update((float(best), int(stale), triggered))
-
-    return history.groupBy("run").applyInPandasWithState(
-        update,
-        "run string, epoch long, metric double, improved boolean, best double, no_change long, triggered boolean",
-        "best double, stale long, triggered boolean",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    history.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return history.groupBy("run").transformWithStateInPandas(
+        EarlyStop(patience, to_max, first),
+        "run string, epoch bigint, metric double, improved boolean, best double, no_change bigint, triggered boolean",
+        "Append", "None")
 
 
 def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:

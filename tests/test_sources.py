@@ -1,12 +1,13 @@
 import hashlib
 import io
 import json
+import random
 import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from clipalign.operators import evaluation as ev, text
+from clipalign.operators import evaluation as ev, telemetry, text
 from clipalign.session import scratch_path
 from clipalign.sources import shards as sh, tables as tb
 from clipalign.streaming import telemetry as st
@@ -110,6 +111,32 @@ def test_early_stop_state_crosses_batches(spark):
         ("r", 4): (0, True, 0.9), ("q", 0): (1, False, 0.0), ("q", 1): (2, True, 0.0)}
 
 
+def test_early_stop_doesnt_depend_on_the_order_of_epochs(spark):
+    draw = random.Random(5)
+    metrics = {(run, epoch): draw.choice([0.1, 0.2, 0.3, 0.4, draw.random()]) for run in ("hot", "a", "b") for epoch in range(60 if run == "hot" else 9)}
+    rows = [(*k, m) for k, m in metrics.items()]
+    schema = "run string, epoch long, metric double"
+    expected = sorted(map(tuple, telemetry.early_stopping(spark.createDataFrame(rows, schema), 3, False).select(
+        "run", "epoch", "metric", "improved", "best", "no_change", "triggered").collect()))
+    for shuffle in range(2):
+        path = scratch_path(spark, "history")
+        draw.shuffle(rows)
+        for at in range(0, len(rows), 16):
+            # a repeated epoch changes nothing, whether it still waits or is done
+            spark.createDataFrame(rows[at:at + 16] + rows[at:at + 2] + rows[:2], schema).coalesce(1).write.mode("append").parquet(path)
+        stream = st.follow_files(spark, path, schema)
+        got = st.drain(st.running_early_stop(stream, 3, False), "append", "stop").collect()
+        assert sorted(map(tuple, got)) == expected
+
+
+def test_epochs_after_a_gap_wait(spark):
+    path = scratch_path(spark, "history")
+    schema = "run string, epoch long, metric double"
+    spark.createDataFrame([("r", 1, 0.5), ("r", 3, 0.1), ("q", 2, 0.1)], schema).coalesce(1).write.parquet(path)
+    rows = st.drain(st.running_early_stop(st.follow_files(spark, path, schema), 2, True, first=1), "append", "stop").collect()
+    assert [(r["run"], r["epoch"]) for r in rows] == [("r", 1)]
+
+
 def test_weighted_components_expand_per_shard(spark):
     rows = sh.expand_weighted(spark, "a-{08..10}.tar::b.tar", "2::0.5").collect()
     assert {r["shard"]: r["weight"] for r in rows} == {"a-08.tar": 2.0, "a-09.tar": 2.0, "a-10.tar": 2.0, "b.tar": 0.5}
