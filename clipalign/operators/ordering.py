@@ -3,7 +3,7 @@
 A plain window over ``partitionBy(key)`` sends every row of a key to one task. The helpers below split
 the order into slices instead and join the small per-slice totals back:
 
-* ``hash_ranks`` orders by a seeded digest, so the leading digits of the digest are an even split;
+* ``hash_ranks`` orders by a seeded digest, which is even, so the size of a group says where to cut it;
 * ``ordered_slices`` range-partitions on the full order, so even one hot key spreads over many slices.
 """
 
@@ -17,27 +17,39 @@ from clipalign.functions.scalars import seeded_digest
 from clipalign.session import broadcast_if_small, materialize
 
 _SLICE = "_slice"
+#: Rows of a group that one task sorts, about.
+SLICE_ROWS = 50_000
 _UPTO_PREVIOUS = (Window.unboundedPreceding, -1)
 
 
+def digest_slices(df: DataFrame, seed: str, key: str, groups: Sequence[str], size: str, slice_rows: int) -> DataFrame:
+    """Add ``_digest``, the place of a row in the seeded shuffle of its group, the group's ``size``, and ``_slice``.
+
+    A digest is spread evenly, so the size of a group alone says where its order is to be cut into slices of about ``slice_rows``: the
+    slice is a function of the row and that size, with as many slices as the group needs, and survives a lost executor.
+    """
+    n = F.count(F.lit(1)).alias(size)
+    if groups:
+        sized = df.join(broadcast_if_small(df.groupBy(*groups).agg(n)), list(groups))
+    else:
+        sized = df.withColumn(size, df.agg(n).scalar())
+    digest = seeded_digest(seed, F.col(key))
+    # 52 bits are exact in a double, and the product rises with them
+    share = F.conv(F.substring("_digest", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return sized.withColumn("_digest", digest).withColumn(_SLICE, F.floor(share * F.ceil(F.col(size) / F.lit(slice_rows))))
+
+
 def hash_ranks(
-    df: DataFrame, seed: str, key: str, groups: Sequence[str] = (), rank: str = "rank", digits: int = 3
+    df: DataFrame, seed: str, key: str, groups: Sequence[str] = (), rank: str = "rank", slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Add the 1-based position of each row in the seeded shuffle of its group, and the group size.
 
-    ``key`` is unique within a group. A group is cut into ``16 ** digits`` slices by digest.
+    ``key`` is unique within a group. A group is cut by digest into slices of about ``slice_rows`` rows.
     """
-    shuffled = df.withColumn("_digest", seeded_digest(seed, F.col(key))).withColumn(
-        _SLICE, F.substring("_digest", 1, digits)
-    )
+    shuffled = digest_slices(df, seed, key, groups, f"{rank}_of", slice_rows)
     sizes = shuffled.groupBy(*groups, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*groups).orderBy(_SLICE)
-    offsets = sizes.select(
-        *groups,
-        _SLICE,
-        F.coalesce(F.sum("_n").over(order.rowsBetween(*_UPTO_PREVIOUS)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*groups)).alias(f"{rank}_of"),
-    )
+    offsets = sizes.select(*groups, _SLICE, F.coalesce(F.sum("_n").over(order.rowsBetween(*_UPTO_PREVIOUS)), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*groups, _SLICE).orderBy("_digest", key)
     ranked = shuffled.join(offsets, [*groups, _SLICE]).withColumn(
         rank, F.row_number().over(within).cast("bigint") + F.col("_before")
@@ -46,15 +58,14 @@ def hash_ranks(
 
 
 def hash_first(
-    df: DataFrame, seed: str, key: str, groups: Sequence[str], quota: int | DataFrame, digits: int = 3
+    df: DataFrame, seed: str, key: str, groups: Sequence[str], quota: int | DataFrame, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """The first rows of each group in its seeded shuffle: ``quota`` rows, or as many as a table says per group.
 
     Only the slices of the digest that can hold such rows are ranked, so a small quota shuffles few rows.
     ``quota`` as a table has the group columns and ``quota``.
     """
-    shuffled = df.withColumn("_digest", seeded_digest(seed, F.col(key))).withColumn(
-        _SLICE, F.substring("_digest", 1, digits))
+    shuffled = digest_slices(df, seed, key, groups, "_of", slice_rows)
     sizes = shuffled.groupBy(*groups, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(*_UPTO_PREVIOUS)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")

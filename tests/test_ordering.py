@@ -59,13 +59,43 @@ def test_carry_last(table, frame):
         assert got[i] == (None if np.isnan(held) else held)
 
 
-def test_hash_ranks_follow_the_digest(table, frame):
-    got = {r["id"]: (r["rank"], r["rank_of"]) for r in o.hash_ranks(table, "s", "id", ["key"]).collect()}
+@pytest.fixture(scope="module")
+def shuffled(frame):
     frame = frame.assign(digest=[hashlib.md5(f"s:{i}".encode()).hexdigest() for i in frame["id"]])
-    ordered = frame.sort_values("digest")
+    return frame.sort_values("digest")
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 50_000])
+def test_hash_ranks_follow_the_digest(table, frame, shuffled, slice_rows):
+    got = {r["id"]: (r["rank"], r["rank_of"]) for r in o.hash_ranks(table, "s", "id", ["key"], slice_rows=slice_rows).collect()}
     sizes = frame.groupby("key")["id"].transform("size")
-    want_rank = dict(zip(ordered["id"], ordered.groupby("key").cumcount() + 1))
+    want_rank = dict(zip(shuffled["id"], shuffled.groupby("key").cumcount() + 1))
     assert got == {i: (want_rank[i], n) for i, n in zip(frame["id"], sizes)}
+    whole = {r["id"]: r["rank"] for r in o.hash_ranks(table, "s", "id", slice_rows=slice_rows).collect()}
+    assert whole == {i: n for n, i in enumerate(shuffled["id"], 1)}
+
+
+@pytest.mark.parametrize("slice_rows", [3, 50_000])
+def test_hash_first_takes_the_first_of_the_digest(table, shuffled, slice_rows):
+    got = {r["id"] for r in o.hash_first(table, "s", "id", ["key"], 11, slice_rows).collect()}
+    assert got == set(shuffled.groupby("key").head(11)["id"])
+    quota = table.groupBy("key").agg((F.count("*") - 2).alias("quota"))
+    got = {r["id"] for r in o.hash_first(table, "s", "id", ["key"], quota, slice_rows).collect()}
+    sizes = shuffled.groupby("key")["id"].transform("size")
+    assert got == set(shuffled[shuffled.groupby("key").cumcount() < sizes - 2]["id"])
+
+
+def test_a_large_group_has_as_many_slices_as_it_needs(spark):
+    rows = spark.range(200_000).select("id", F.when(F.col("id") % 10 == 0, "small").otherwise("hot").alias("key"))
+    sliced = o.digest_slices(rows, "s", "id", ["key"], "n", 20).groupBy("key", "_slice").count().groupBy("key").agg(
+        F.count("*").alias("slices"), F.max("count").alias("most")).collect()
+    for r in sliced:
+        assert r["most"] < 60 and r["slices"] == pytest.approx({"hot": 9000, "small": 1000}[r["key"]], rel=0.01)
+
+
+def test_ranks_start_no_checkpoint(spark):
+    plan = o.hash_ranks(spark.range(100), "s", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Range" in plan
 
 
 def test_exact_quantiles(table, frame):
