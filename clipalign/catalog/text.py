@@ -101,9 +101,12 @@ def _metric_sql(metric: str, group: int) -> str:
 
 _METRICS = [m.lower() for m in text.PROGRESS_METRICS]
 _AVERAGED = [m.lower() for m in text.AVERAGED_METRICS]
+#: Lines of a pair of logs. Those of odd number have no running averages.
+LOG_LENGTH = 4096
+_LOG = f"{{0}} // {LOG_LENGTH} * 2 + {{0}} % 2"
 PROGRESS = f"""{LOG_LINES},
 hits AS (
-  SELECT line_no % 8 AS log, regexp_extract(value, '{text.PROGRESS_LINE}', 1) AS p, regexp_extract(value, '{text.PROGRESS_LINE}', 2)::BIGINT AS epoch,
+  SELECT {_LOG.format('line_no')} AS log, regexp_extract(value, '{text.PROGRESS_LINE}', 1) AS p, regexp_extract(value, '{text.PROGRESS_LINE}', 2)::BIGINT AS epoch,
     regexp_extract(value, '{text.PROGRESS_LINE}', 3)::BIGINT AS seen_in_phase,
     regexp_extract(value, '{text.PROGRESS_LINE}', 4)::BIGINT AS phase_total,
     {", ".join(f"{_metric_sql(m, 1)} AS {m.lower()}, {_metric_sql(m, 2)} AS {m.lower()}_avg" for m in text.PROGRESS_METRICS)}
@@ -127,9 +130,9 @@ def log_progress_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logs(lines: DataFrame) -> DataFrame:
-    """The lines written to eight log files in their order, and read again. Every second log has no running averages."""
+    """The lines written to log files in their order, as many as they fill, and read again. Every second log has no running averages."""
     path = scratch_path(lines.sparkSession, "logs")
-    logs = lines.withColumn("log", F.col("line_no") % 8).repartition("log").sortWithinPartitions("log", "line_no")
+    logs = lines.withColumn("log", F.floor(F.col("line_no") / LOG_LENGTH) * 2 + F.col("line_no") % 2).repartition("log").sortWithinPartitions("log", "line_no")
     logs.select("log", "value").write.partitionBy("log").text(path)
     return tables.read_log(lines.sparkSession, path)
 
@@ -150,10 +153,10 @@ def _epoch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("line_no"), line.alias("value"))
 
 
-EPOCH_LINES = """
+EPOCH_LINES = f"""
 elines AS (
-  SELECT event_id % 8 AS log, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS line_no, CASE WHEN event_id % 5 = 0 THEN 'valid' ELSE 'train' END AS phase,
-    (dayofyear(ts) - 1)::BIGINT AS epoch, CASE WHEN event_id % 3 = 0 THEN row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) END AS loss_line,
+  SELECT {_LOG.format('event_id')} AS log, row_number() OVER (PARTITION BY {_LOG.format('event_id')} ORDER BY event_id) AS line_no, CASE WHEN event_id % 5 = 0 THEN 'valid' ELSE 'train' END AS phase,
+    (dayofyear(ts) - 1)::BIGINT AS epoch, CASE WHEN event_id % 3 = 0 THEN row_number() OVER (PARTITION BY {_LOG.format('event_id')} ORDER BY event_id) END AS loss_line,
     CASE WHEN event_id % 3 = 0 THEN value END AS loss, CASE WHEN event_id % 3 <> 0 THEN (event_id % 10) / 10.0 END AS acc
   FROM events
 ),

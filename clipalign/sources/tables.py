@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipalign.operators.evaluation import SUMMARY_FIELDS, TRIAL_FIELDS
 from clipalign.operators.ordering import row_numbers
+from clipalign.sources.epoch_sink import append_epochs
 
 # Older names of the start column, and the column order of offset files without a header.
 START_NAMES = {"vstart_sec": "v_start_i_sec", "v_start_sec": "v_start_i_sec"}
@@ -127,8 +128,8 @@ def write_summary_csv(summary: DataFrame, path: str) -> None:
 
 
 def append_results_jsonl(metrics: DataFrame, path: str) -> None:
-    """Append ``{epoch, metrics}`` lines."""
-    metrics.select("epoch", "metrics").write.mode("append").json(path)
+    """Append ``{epoch, metrics}`` lines; an epoch that is written again replaces its line."""
+    append_epochs(metrics.select("epoch", "metrics"), path)
 
 
 def manifest_lines(
