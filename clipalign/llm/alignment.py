@@ -11,16 +11,18 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
 from clipalign.session import materialize
@@ -31,11 +33,14 @@ from .words import WordMemory
 
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
 LINKS = 500_000
-PAIRS = 1_000_000
+PAIRS = 500_000
+#: Bytes of an Arrow batch of aligned rows, which are several times as wide as their texts.
+BATCH_BYTES = 8 << 20
 #: Pairs whose counts are broadcast, at most: fewer pairs than that are linked in more than 1 / FREQUENT of all documents' pairs.
 FREQUENT = 1 << 19
 #: Ids below 2 ** ID_BITS.
 ID_BITS = 26
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OTHER = (1 << ID_BITS) - 1
 
 
@@ -78,6 +83,7 @@ class Side:
 
 def byte_level(path: str) -> Side:
     """A byte-level vocabulary of the tokenizers library; strings of its special tokens are plain text."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     letters = byte_letters()
@@ -130,15 +136,18 @@ _OTHER_BYTES = (None, None)
 
 
 def _pack(aligned: tuple) -> bytes:
-    tokens, shown = aligned
-    return b"" if tokens is None else len(tokens).to_bytes(4) + tokens + shown
+    return aligned[0] or b""
 
 
 def _unpack(packed: bytes) -> tuple:
     if not packed:
         return _OTHER_BYTES
-    end = 4 + int.from_bytes(packed[:4])
-    return packed[4:end], packed[end:]
+    groups: list[tuple[list[str], list[str]]] = []
+    for token in memoryview(packed).cast("i"):
+        if token & 1:
+            groups.append(([], []))
+        groups[-1][1 if token & 2 else 0].append(str(token >> 2))
+    return packed, ";".join([f"{','.join(a)}|{','.join(b)}" for a, b in groups]).encode()
 
 
 def _joined(body: tuple, stop: tuple) -> tuple:
@@ -271,6 +280,17 @@ def _lists_of(aligned: DataFrame, column: str) -> list:
     return [F.coalesce(F.col(f"`{column}`.{x}"), F.array().cast("array<int>")).alias(f"i{i}") for i, x in enumerate(("a", "b", "sizes"))]
 
 
+@contextmanager
+def _narrow_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed inside gets Arrow batches of about BATCH_BYTES."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def pair_counts(aligned: DataFrame, column: str = "alignment") -> DataFrame:
     """pair, a, b, n_docs (rows in which the ids are linked) and best (n_docs is the highest of its a) of every linked pair.
 
@@ -299,7 +319,8 @@ def pair_counts(aligned: DataFrame, column: str = "alignment") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, summed())], names=schema.names)
 
     counted = aligned.select(*_lists_of(aligned, column)).mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n_docs"))
-    counted = materialize(counted.select("pair", F.shiftright("pair", ID_BITS).alias("a"), F.col("pair").bitwiseAND(_OTHER).alias("b"), "n_docs"))
+    with _narrow_batches(aligned.sparkSession):
+        counted = materialize(counted.select("pair", F.shiftright("pair", ID_BITS).alias("a"), F.col("pair").bitwiseAND(_OTHER).alias("b"), "n_docs"))
     highest = counted.groupBy("a").agg(F.max("n_docs").alias("highest"))
     return counted.join(highest, "a").select("pair", "a", "b", "n_docs", (F.col("n_docs") == F.col("highest")).alias("best"))
 
@@ -346,7 +367,8 @@ def score_links(aligned: DataFrame, counts: DataFrame, key: str, column: str = "
                      *(pa.concat_arrays([pa.array([s[i] for s in sums], pa.int64()), empty]) for i in range(3))], names=schema.names)
 
     # a written table: both kinds of rows are read from it, and the texts aren't gone through twice
-    found = materialize(aligned.select(F.col(f"`{key}`"), *_lists_of(aligned, column)).mapInArrow(run, schema))
+    with _narrow_batches(spark):
+        found = materialize(aligned.select(F.col(f"`{key}`"), *_lists_of(aligned, column)).mapInArrow(run, schema))
     rest = (found.filter(F.col("pair").isNotNull()).select("key", "pair", "times")
             .join(counts.filter(F.col("n_docs") <= often).select("pair", "n_docs", "best"), "pair")
             .groupBy("key").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from .tokenfiles import Remembered
 
 #: Words at hand. Results don't depend on it.
-AT_HAND = 200_000
+AT_HAND = 150_000
 #: Words worked out at a time.
 BATCH = 2000
 
