@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,21 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
-from clipalign.session import materialize
+from clipalign.session import materialize, scratch_path
 
 from .text import SLICE, Memo, annotate_columns, exact_keys, word_keys, word_of
 from .tokencount import byte_letters
 from .words import WordMemory
 
+#: Words that a task can still look up besides those at hand. Results don't depend on it.
+AWAY = 700_000
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
 LINKS = 500_000
 PAIRS = 500_000
 #: Bytes of an Arrow batch of aligned rows, which are several times as wide as their texts.
 BATCH_BYTES = 8 << 20
 #: Pairs whose counts are broadcast, at most: fewer pairs than that are linked in more than 1 / FREQUENT of all documents' pairs.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 #: Ids below 2 ** ID_BITS.
 ID_BITS = 26
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -160,7 +163,7 @@ class Aligner:
     def __init__(self, a: Side, b: Side):
         self.sides = a, b
         self.stops = dict(zip(",.", self._parts([",", "."])))
-        self.words = WordMemory(self._made, _pack, _unpack)
+        self.words = WordMemory(self._made, _pack, _unpack, AWAY)
 
     def _parts(self, parts: list[str]) -> list[tuple]:
         a, b = self.sides
@@ -180,14 +183,13 @@ class Aligner:
         """The tokens of a space and the text, and the SHA-256 of their groups as text; both are empty without tokens."""
         keys = [word_keys(" " + t) if t else [] for t in texts]
         self.words.learn(keys)
-        out = []
+        known, first, second, out = self.words.known.__getitem__, itemgetter(0), itemgetter(1), []
         for text, own in zip(texts, keys):
-            parts = list(map(self.words.known.__getitem__, own))
+            parts = list(map(known, own))
             if None in parts:  # white space that word_keys can't tell apart
                 parts = self._made(exact_keys(" " + text))
-            tokens, shown = zip(*parts) if parts else _OTHER_BYTES
-            fine = parts and None not in tokens
-            out.append((b"".join(tokens), hashlib.sha256(b";".join(shown)).hexdigest()) if fine else (b"", ""))
+            fine = parts and _OTHER_BYTES not in parts
+            out.append((b"".join(map(first, parts)), hashlib.sha256(b";".join(map(second, parts))).hexdigest()) if fine else (b"", ""))
         return out
 
 
@@ -325,8 +327,8 @@ def pair_counts(aligned: DataFrame, column: str = "alignment") -> DataFrame:
     return counted.join(highest, "a").select("pair", "a", "b", "n_docs", (F.col("n_docs") == F.col("highest")).alias("best"))
 
 
-def score_links(aligned: DataFrame, counts: DataFrame, key: str, column: str = "alignment", into: str = "links") -> DataFrame:
-    """Add struct `into`: n_links, n_best (links whose pair has the highest count of its a), count_sum (of the counts over links).
+def score_links(aligned: DataFrame, counts: DataFrame, key: str, column: str = "alignment") -> DataFrame:
+    """n_links, n_best (links whose pair has the highest count of its a) and count_sum (of the counts over links) of each row, by its `key`.
 
     `key` names a column that tells the rows apart. Pairs that a row could hold in more than a FREQUENT-th of all its like are fewer than
     FREQUENT, so their counts are broadcast; each of the others stands in few rows, which meet its count in a join.
@@ -367,16 +369,14 @@ def score_links(aligned: DataFrame, counts: DataFrame, key: str, column: str = "
                      *(pa.concat_arrays([pa.array([s[i] for s in sums], pa.int64()), empty]) for i in range(3))], names=schema.names)
 
     # a written table: both kinds of rows are read from it, and the texts aren't gone through twice
+    path = scratch_path(spark, "links")
     with _narrow_batches(spark):
-        found = materialize(aligned.select(F.col(f"`{key}`"), *_lists_of(aligned, column)).mapInArrow(run, schema))
+        aligned.select(F.col(f"`{key}`"), *_lists_of(aligned, column)).mapInArrow(run, schema).write.parquet(path)
+    found = spark.read.parquet(path)
     rest = (found.filter(F.col("pair").isNotNull()).select("key", "pair", "times")
             .join(counts.filter(F.col("n_docs") <= often).select("pair", "n_docs", "best"), "pair")
             .groupBy("key").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
                                 F.sum(F.col("times") * F.col("n_docs")).alias("count_sum")))
     sums = (found.filter(F.col("pair").isNull()).select("key", "n_links", "n_best", "count_sum")
-            .unionByName(rest.withColumn("n_links", F.lit(0).cast("bigint")))
-            .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")]))
-    names = [c for c in aligned.columns if c != into]
-    left = aligned.select(F.col(f"`{key}`").alias("k"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
-    return (left.join(sums.select(F.col("key").alias("k"), F.struct("n_links", "n_best", "count_sum").alias("made")), "k")
-            .select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], F.col("made").alias(into)))
+            .unionByName(rest.withColumn("n_links", F.lit(0).cast("bigint"))))
+    return sums.groupBy(F.col("key").alias(key)).agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])

@@ -93,10 +93,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the keys are fixed by being written, once for each row
     aligned.select(F.monotonically_increasing_id().alias("key"), "doc_id", "alignment").write.parquet(path)
     aligned = spark.read.parquet(path)
-    scored = alignment.score_links(aligned, alignment.pair_counts(aligned), "key")
+    scores = alignment.score_links(aligned, alignment.pair_counts(aligned), "key")
     n = [F.size(f"alignment.{x}").cast("bigint") for x in ("a", "b", "sizes")]
-    return scored.select("doc_id", n[0].alias("n_a"), n[1].alias("n_b"), F.shiftright(n[2], 1).alias("n_groups"), "links.n_links", "links.n_best",
-                         "links.count_sum", "alignment.groups_sha256")
+    texts = aligned.select("key", "doc_id", n[0].alias("n_a"), n[1].alias("n_b"), F.shiftright(n[2], 1).alias("n_groups"), "alignment.groups_sha256")
+    return texts.join(scores, "key").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,13 @@ BATCH = 2000
 class WordMemory:
     """`known` holds the value of each key that was learned last, as `make` gives them for a list of keys; None is a value too.
 
-    Once there are more than `AT_HAND`, they are put away as bytes by their digests, and fetched from there when they come again.
+    Once there are more than `AT_HAND`, they are put away as bytes by their digests, and fetched from there when they come again. What was
+    put away is forgotten when it grows over `away` words.
     """
 
-    def __init__(self, make: Callable[[list[str]], list], pack: Callable[[object], bytes] = bytes, unpack: Callable[[bytes], object] = bytes):
-        self.make, self.pack, self.unpack = make, pack, unpack
+    def __init__(self, make: Callable[[list[str]], list], pack: Callable[[object], bytes] = bytes, unpack: Callable[[bytes], object] = bytes,
+                 away: int | None = None):
+        self.make, self.pack, self.unpack, self.limit = make, pack, unpack, away
         self.known: dict[str, object] = {}
         self.fresh: list[str] = []
         self.away = Remembered()
@@ -27,6 +29,8 @@ class WordMemory:
     def learn(self, keys: Iterable[list[str]]) -> None:
         """Have the values of all these keys at hand."""
         if len(self.known) > AT_HAND:
+            if self.limit and len(self.away.first) + len(self.fresh) > self.limit:
+                self.away = Remembered()
             self.away.add({key: self.pack(self.known[key]) for key in self.fresh})
             self.fresh, self.known = [], {}
         new = list(set().union(*keys).difference(self.known))
