@@ -37,13 +37,14 @@ AWAY = 700_000
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
 LINKS = 500_000
 PAIRS = 500_000
-#: Bytes of an Arrow batch of aligned rows, which are several times as wide as their texts.
-BATCH_BYTES = 8 << 20
+#: Bytes of a row group of aligned rows.
+ROW_GROUP_BYTES = 16 << 20
+#: Bytes of an Arrow batch, and rows of a batch of the Parquet reader, while pairs are made of aligned rows.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.parquet.columnarReaderBatchSize": "256"}
 #: Pairs whose counts are broadcast, at most: fewer pairs than that are linked in more than 1 / FREQUENT of all documents' pairs.
 FREQUENT = 1 << 20
 #: Ids below 2 ** ID_BITS.
 ID_BITS = 26
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OTHER = (1 << ID_BITS) - 1
 
 
@@ -284,13 +285,20 @@ def _lists_of(aligned: DataFrame, column: str) -> list:
 
 @contextmanager
 def _narrow_batches(spark: SparkSession) -> Iterator[None]:
-    """What is computed inside gets Arrow batches of about BATCH_BYTES."""
-    before = spark.conf.get(_BATCH_SETTING)
-    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    """What is computed inside reads and hands on small batches, as aligned rows are several times as wide as their texts."""
+    before = {name: spark.conf.get(name) for name in _BATCHES}
     try:
+        for name, value in _BATCHES.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(_BATCH_SETTING, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def write_aligned(aligned: DataFrame, path: str) -> None:
+    """Write aligned rows as Parquet, in row groups that a task can hold beside others."""
+    aligned.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
 
 
 def pair_counts(aligned: DataFrame, column: str = "alignment") -> DataFrame:

@@ -91,7 +91,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = alignment.align(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
     path = scratch_path(spark, "aligned")
     # the keys are fixed by being written, once for each row
-    aligned.select(F.monotonically_increasing_id().alias("key"), "doc_id", "alignment").write.parquet(path)
+    alignment.write_aligned(aligned.select(F.monotonically_increasing_id().alias("key"), "doc_id", "alignment"), path)
     aligned = spark.read.parquet(path)
     scores = alignment.score_links(aligned, alignment.pair_counts(aligned), "key")
     n = [F.size(f"alignment.{x}").cast("bigint") for x in ("a", "b", "sizes")]
