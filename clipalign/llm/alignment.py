@@ -33,7 +33,7 @@ from .tokencount import byte_letters
 from .words import WordMemory
 
 #: Words that a task can still look up besides those at hand. Results don't depend on it.
-AWAY = 700_000
+AWAY = 500_000
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
 LINKS = 500_000
 PAIRS = 500_000
@@ -309,6 +309,7 @@ def pair_counts(aligned: DataFrame, column: str = "alignment") -> DataFrame:
     schema = T._parse_datatype_string("struct<pair bigint, n bigint>")
 
     def run(batches):
+        aligner.cache_clear()  # a worker that has aligned needs its words no more
         parts, held = [], 0
 
         def summed():
@@ -354,6 +355,7 @@ def score_links(aligned: DataFrame, counts: DataFrame, key: str, column: str = "
         "struct<pair bigint, times bigint, n_links bigint, n_best bigint, count_sum bigint>").fields])
 
     def run(batches):
+        aligner.cache_clear()
         pairs_known, docs_known, best_known = frequent.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
