@@ -215,8 +215,11 @@ def decode_ids(encoded: DataFrame, ids, ranks: str, into: str = "decoded") -> Da
         tokens = token_bytes(ranks).__getitem__
 
         def columns(lists: pa.Array) -> list:
-            ends, values = lists.offsets.to_pylist(), lists.values.to_pylist() if lists.null_count else lists.values.to_numpy().tolist()
-            return [[b"".join(map(tokens, values[a:b])) if valid else None for a, b, valid in zip(ends, ends[1:], lists.is_valid().to_pylist())]]
+            if lists.null_count:
+                return [[None if x is None else b"".join(map(tokens, x)) for x in lists.to_pylist()]]
+            # of this slice only; a list's ids as one run of Python integers
+            values, ends = lists.flatten().to_numpy().tolist(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            return [[b"".join(map(tokens, values[a:b])) for a, b in zip(ends, ends[1:])]]
 
         return columns
 

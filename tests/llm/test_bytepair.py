@@ -107,6 +107,13 @@ def test_tables_encode_and_decode(spark, table, awkward):
     assert bytepair.encode_texts(awkward.withColumnRenamed("n_chars", "encoded"), PATH).columns.count("encoded") == 1
 
 
+def test_many_rows_and_null_ids_decode(spark):
+    rows = spark.range(1500).select("id", F.when(F.col("id") % 7 < 6, F.array(F.col("id").cast("int"), F.lit(11))).alias("ids"))
+    for some in (rows, rows.where("ids is not null")):
+        found = {r.id: r.decoded.raw for r in bytepair.decode_ids(some, F.col("ids"), PATH).collect()}
+        assert found == {i: LIBRARY.decode_bytes([i, 11]) if i % 7 < 6 else None for i in range(1500) if some is rows or i % 7 < 6}
+
+
 def test_query_equals_the_library(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
