@@ -20,8 +20,13 @@ from tokenizers import Tokenizer
 from .text import SLICE, flat
 
 END = 0
-#: Words whose ids a task has at hand, and words whose ids it can still look up. Ids don't depend on either bound.
-AT_HAND = 200_000
+#: ASCII punctuation without the apostrophe: after a letter or digit, a run of it that ends a word is a piece of its own.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LONGEST_TAIL = 4
+#: New words whose ids a task has at hand, words that came again and stay at hand, and words whose ids it can still look up. Ids don't
+#: depend on these bounds.
+AT_HAND = 150_000
+COMMON = 200_000
 REMEMBERED = 1_500_000
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
@@ -77,8 +82,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not added_tokens
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.newline = np.frombuffer(self._ids(["\n"])[0], dtype="<u4")[0]
-        self.stops = dict(zip(",.", self._ids([",", "."])))
+        self.tails: dict[str, bytes] = {}
         self.known: dict[str, bytes | None] = {}
+        self.common: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
         self.remembered = Remembered()
 
@@ -88,24 +94,42 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Ids of words after a space, or with a line feed in front; None for what isn't one word.
 
-        A comma or full stop that ends a word is a piece of its own, so the word before it is learned without it.
+        Punctuation that ends a word is a piece of its own, so the word before it is learned without it.
         """
-        ended = [w for w in words if w[-1:] in self.stops and "\x00" < w[-2:-1] < "\u0250" and w[-2].isalnum()]
-        needed = list((set(words).difference(ended) | {w[:-1] for w in ended}).difference(self.known))
-        self._learn_plain(needed)
-        known, stops = self.known, self.stops
-        for w in ended:
-            ids = known[w[:-1]]
-            known[w] = None if ids is None else ids + stops[w[-1]]
+        ended, needed = [], set()
+        for w in words:
+            body = w.rstrip(TAIL)
+            if body != w and "\x00" < body[-1:] < "\u0250" and body[-1].isalnum() and len(w) - len(body) <= LONGEST_TAIL:
+                ended.append((w, body, w[len(body):]))
+                needed.add(body)
+            else:
+                needed.add(w)
+        self._learn_plain(list(needed.difference(self.known)))
+        known, tails, common = self.known, self.tails, self.common
+        if len(tails) > AT_HAND:
+            tails.clear()
+        new = list({tail for _, _, tail in ended}.difference(tails))
+        tails.update(zip(new, self._ids(new)))
+        for w, body, tail in ended:
+            ids = known[body]
+            known[w] = None if ids is None else ids + tails[tail]
+            if body in common:
+                common[w] = known[w]
 
     def _learn_plain(self, words: list[str]) -> None:
         found = self.remembered.find(words)
-        self.known.update(zip(words, found))
+        again = {w: ids for w, ids in zip(words, found) if ids is not None}
+        self.common |= again
+        self.known |= again
         spaced, starting = [], []
-        for w in [w for w, ids in zip(words, found) if ids is None]:
+        for w in words:
+            if w in again:
+                continue
             body = w[1:] if w[:1] == "\n" else w
             if body.split() == [body]:
                 (spaced if body is w else starting).append(w)
+            else:
+                self.known[w] = None
         for new, lead in ((spaced, " "), (starting, "")):
             for at in range(0, len(new), 4096):
                 part = new[at:at + 4096]
@@ -122,10 +146,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > AT_HAND:
+        if len(self.known) > len(self.common) + AT_HAND or len(self.common) > COMMON:
             self.remembered.add(self.fresh)
             self.fresh.clear()
-            self.known.clear()
+            if len(self.common) > COMMON:  # all of them can still be looked up
+                self.common.clear()
+            self.known = dict(self.common)
         # a word that starts a line keeps the line feed in front; any other but the first has a space there
         whole = [any(a in t for a in self.added) if t else False for t in texts]
         cut = [t.replace("\n", " \n").split(" ") if t and not w else [] for t, w in zip(texts, whole)]

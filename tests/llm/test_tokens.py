@@ -39,6 +39,17 @@ def test_any_text_encodes_as_by_the_library(text):
     assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_small_memories_and_punctuation_give_the_same_ids(plain, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "AT_HAND", 20)
+    monkeypatch.setattr(tokenfiles, "COMMON", 10)
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 200)
+    encoder = tokenfiles.Encoder(PATH)
+    ends = ["", ",", ".", "...", "!?", "###", "'", "',", ",'s", "%%%%%%", "$1", "_", "²", "."]
+    for i in range(60):
+        texts = [" ".join(w + ends[(i + j + k) % len(ends)] for k, w in enumerate(prose(j % 9, 12).split(" "))) for j in range(i, i + 8)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
+
+
 def test_files_read_back_as_written(spark, table, tmp_path, plain):
     rows = [(i * 7 % 50, prose(i, 5 * i)) for i in range(50)] + [(60, None), (61, ""), (62, "x"), (62, "x"), (None, "no id")]
     path = f"{tmp_path}/tokens"
