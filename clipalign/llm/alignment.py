@@ -135,23 +135,59 @@ def align_ids(a: Side, b: Side, part: str, a_ids: list[int], b_ids: list[int]) -
     return struct.pack(f"<{len(tokens)}i", *tokens), ";".join(shown).encode()
 
 
+#: Parts that are aligned in one go: a space and a word of letters, digits and marks that neither tokenizer takes for white space.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0131]+").fullmatch
+
+
+def align_words(a: Side, b: Side, words: list[str]) -> list[tuple[bytes, bytes]] | None:
+    """`align_ids` of a space and each of these words, from one sequence of tokens for all of them.
+
+    Both tokenizers end a token before each space, so the words' tokens lie one after the other. None if the bytes of a side differ from
+    those of the words, or if a word doesn't end where a token does.
+    """
+    raw = [b" " + w.encode() for w in words]
+    text = b"".join(raw)
+    ids, ends = [], []
+    for side in (a, b):
+        own = side.ids([text.decode()])[0]
+        pieces = list(map(side.raw, own))
+        if b"".join(pieces) != text:
+            return None
+        ids.append(np.array(own, np.int32))
+        ends.append(list(accumulate(map(len, pieces))))
+    cuts = np.array(shared_cuts(*ends), np.int64)
+    # rows of `cuts` at which a word ends, and the tokens before them
+    word_ends = np.cumsum([len(x) for x in raw])
+    cut_ends = np.array(ends[0])[cuts[:, 0] - 1]
+    place = np.searchsorted(cut_ends, word_ends)
+    if not np.array_equal(cut_ends[place], word_ends):
+        return None
+    to_a, to_b = cuts[:, 0], cuts[:, 1]
+    from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
+    at_a = np.arange(len(ids[0])) + np.repeat(from_b, to_a - from_a)
+    at_b = np.arange(len(ids[1])) + np.repeat(to_a, to_b - from_b)
+    tokens = np.empty(len(at_a) + len(at_b), "<i4")
+    tokens[at_a], tokens[at_b] = ids[0] * 4, ids[1] * 4 + 2
+    tokens[from_a + from_b] |= 1
+    marks = np.full(len(tokens), ",")
+    marks[to_a + from_b - 1], marks[to_a + to_b - 1] = "|", ";"
+    shown = [f"{i}{m}" for i, m in zip((tokens >> 2).tolist(), marks.tolist())]
+    packed, stops = tokens.tobytes(), (to_a + to_b)[place].tolist()
+    return [(packed[4 * s:4 * e], "".join(shown[s:e])[:-1].encode()) for s, e in zip([0, *stops[:-1]], stops)]
+
+
 #: Of a part whose bytes a side doesn't give back.
 _OTHER_BYTES = (None, None)
 
 
 def _pack(aligned: tuple) -> bytes:
-    return aligned[0] or b""
+    tokens, shown = aligned
+    return b"" if tokens is None else len(tokens).to_bytes(4, "little") + tokens + shown
 
 
 def _unpack(packed: bytes) -> tuple:
-    if not packed:
-        return _OTHER_BYTES
-    groups: list[tuple[list[str], list[str]]] = []
-    for token in memoryview(packed).cast("i"):
-        if token & 1:
-            groups.append(([], []))
-        groups[-1][1 if token & 2 else 0].append(str(token >> 2))
-    return packed, ";".join([f"{','.join(a)}|{','.join(b)}" for a, b in groups]).encode()
+    n = 4 + int.from_bytes(packed[:4], "little")
+    return (packed[4:n], packed[n:]) if packed else _OTHER_BYTES
 
 
 def _joined(body: tuple, stop: tuple) -> tuple:
@@ -164,11 +200,15 @@ class Aligner:
     def __init__(self, a: Side, b: Side):
         self.sides = a, b
         self.stops = dict(zip(",.", self._parts([",", "."])))
-        self.words = WordMemory(self._made, _pack, _unpack, AWAY)
+        self.words = WordMemory(self._made, _pack, _unpack, AWAY, keep=True)
 
     def _parts(self, parts: list[str]) -> list[tuple]:
         a, b = self.sides
-        return [align_ids(a, b, *x) or _OTHER_BYTES for x in zip(parts, a.ids(parts), b.ids(parts))]
+        plain = [p for p in parts if p[0] == " " and _PLAIN(p, 1)]
+        made = dict(zip(plain, align_words(a, b, [p[1:] for p in plain]) or ())) if plain else {}
+        other = [p for p in parts if p not in made]
+        made |= zip(other, [align_ids(a, b, *x) or _OTHER_BYTES for x in zip(other, a.ids(other), b.ids(other))])
+        return [made[p] for p in parts]
 
     def _made(self, keys: list[str]) -> list[tuple | None]:
         parts = list(map(word_of, keys))

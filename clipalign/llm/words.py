@@ -16,13 +16,14 @@ class WordMemory:
     """`known` holds the value of each key that was learned last, as `make` gives them for a list of keys; None is a value too.
 
     Once there are more than `AT_HAND`, they are put away as bytes by their digests, and fetched from there when they come again. What was
-    put away is forgotten when it grows over `away` words.
+    put away is forgotten when it grows over `away` words. With `keep`, those that came again stay at hand, up to half of `AT_HAND`.
     """
 
     def __init__(self, make: Callable[[list[str]], list], pack: Callable[[object], bytes] = bytes, unpack: Callable[[bytes], object] = bytes,
-                 away: int | None = None):
-        self.make, self.pack, self.unpack, self.limit = make, pack, unpack, away
+                 away: int | None = None, keep: bool = False):
+        self.make, self.pack, self.unpack, self.limit, self.keep = make, pack, unpack, away, keep
         self.known: dict[str, object] = {}
+        self.common: dict[str, object] = {}
         self.fresh: list[str] = []
         self.away = Remembered()
 
@@ -32,7 +33,9 @@ class WordMemory:
             if self.limit and len(self.away.first) + len(self.fresh) > self.limit:
                 self.away = Remembered()
             self.away.add({key: self.pack(self.known[key]) for key in self.fresh})
-            self.fresh, self.known = [], {}
+            if len(self.common) > AT_HAND // 2:
+                self.common = {}
+            self.fresh, self.known = [], dict(self.common)
         new = list(set().union(*keys).difference(self.known))
         unknown = []
         for key, packed in zip(new, self.away.find(new)):
@@ -40,6 +43,8 @@ class WordMemory:
                 unknown.append(key)
             else:
                 self.known[key] = self.unpack(packed)
+                if self.keep:
+                    self.common[key] = self.known[key]
         for at in range(0, len(unknown), BATCH):
             part = unknown[at:at + BATCH]
             values = self.make(part)

@@ -64,6 +64,19 @@ def test_odd_texts(text):
     check(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abthe'sING.,1é!#_"), min_size=1, max_size=12), min_size=1, max_size=30, unique=True))
+def test_words_in_one_go_align_as_one_by_one(parts):
+    sides = ALIGNER.sides
+    spaced = [" " + p for p in parts]
+    alone = [alignment.align_ids(*sides, *x) for x in zip(spaced, sides[0].ids(spaced), sides[1].ids(spaced))]
+    assert alignment.align_words(*sides, parts) == alone
+
+
+def test_words_whose_bytes_a_side_changes_are_not_aligned_in_one_go():
+    assert alignment.align_words(*ALIGNER.sides, ["a", "b▁c"]) is None
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("abthe'sING \n\t.,1é中▁　\x1c "), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_any_text_aligns_as_by_the_libraries(text):
