@@ -32,11 +32,13 @@ from .text import SLICE, Memo, annotate_columns, exact_keys, word_keys, word_of
 from .tokencount import byte_letters
 from .words import WordMemory
 
-#: Words that a task can still look up besides those at hand. Results don't depend on it.
-AWAY = 500_000
+#: Words at hand, words that a task can still look up besides them, and rows aligned at a time. Results don't depend on these bounds.
+AT_HAND = 60_000
+AWAY = 300_000
+ROWS = 64
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
-LINKS = 500_000
-PAIRS = 500_000
+LINKS = 250_000
+PAIRS = 250_000
 #: Bytes of a row group of aligned rows.
 ROW_GROUP_BYTES = 16 << 20
 #: Bytes of an Arrow batch, and rows of a batch of the Parquet reader, while pairs are made of aligned rows.
@@ -200,7 +202,7 @@ class Aligner:
     def __init__(self, a: Side, b: Side):
         self.sides = a, b
         self.stops = dict(zip(",.", self._parts([",", "."])))
-        self.words = WordMemory(self._made, _pack, _unpack, AWAY, keep=True)
+        self.words = WordMemory(self._made, _pack, _unpack, AWAY, keep=True, at_hand=AT_HAND)
 
     def _parts(self, parts: list[str]) -> list[tuple]:
         a, b = self.sides
@@ -275,7 +277,7 @@ def align(docs: DataFrame, a: str, b: str, into: str = "alignment") -> DataFrame
 
         return columns
 
-    return annotate_columns(docs, into, "a array<int>, b array<int>, sizes array<int>, groups_sha256 string", [F.col("text").cast("string")], make)
+    return annotate_columns(docs, into, "a array<int>, b array<int>, sizes array<int>, groups_sha256 string", [F.col("text").cast("string")], make, ROWS)
 
 
 def _spread(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

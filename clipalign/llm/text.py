@@ -70,8 +70,8 @@ def flat(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch
     return df.mapInArrow(run, out)
 
 
-def annotate_columns(df: DataFrame, into: str, fields: str, inputs: list, make: Callable[[], Callable[..., list]]) -> DataFrame:
-    """As `annotate`, but `make` returns a function from the input arrays of up to `SLICE` rows to the arrays or lists of `fields`."""
+def annotate_columns(df: DataFrame, into: str, fields: str, inputs: list, make: Callable[[], Callable[..., list]], rows: int = SLICE) -> DataFrame:
+    """As `annotate`, but `make` returns a function from the input arrays of up to `rows` rows to the arrays or lists of `fields`."""
     names = [c for c in df.columns if c != into]
     struct = T._parse_datatype_string(f"struct<{fields}>")
     arrow = to_arrow_type(struct)
@@ -83,8 +83,8 @@ def annotate_columns(df: DataFrame, into: str, fields: str, inputs: list, make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 parts = [pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns(*batch.columns[-n:]), arrow)]
                 made = pa.StructArray.from_arrays(parts, fields=list(arrow))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-n], made], names=[*batch.schema.names[:-n], "out"])
