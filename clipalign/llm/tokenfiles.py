@@ -12,22 +12,26 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window as W
 from tokenizers import Tokenizer
 
 from .text import SLICE, flat
+from .wordtable import WordTable, binary_array, by_size
 
 END = 0
 #: ASCII punctuation without the apostrophe: after a letter or digit, a run of it that ends a word is a piece of its own.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LONGEST_TAIL = 4
-#: New words whose ids a task has at hand, words that came again and stay at hand, and words whose ids it can still look up. Ids don't
-#: depend on these bounds.
-AT_HAND = 150_000
+#: Words that the tokenizer gets as one text, frequent words that an encoder keeps once it has too many, and words from which it has too
+#: many. Ids don't depend on these bounds.
+AT_HAND = 512
 COMMON = 200_000
 REMEMBERED = 1_500_000
+#: In front of the first word of a text; others have at most one line feed there.
+HEAD = "\n\n"
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
@@ -69,6 +73,15 @@ class Remembered:
         self.first = np.ascontiguousarray(self.keys[:, 0])
 
 
+def _tail_size(word: str) -> int:
+    """How many characters of punctuation that is a piece of its own end a word."""
+    body = word.rstrip(TAIL)
+    if len(body) == len(word) or not ("\x00" < body[-1:] < "\u0250" and body[-1].isalnum()):
+        return 0
+    size = len(word) - len(body)
+    return size if size <= LONGEST_TAIL else 0
+
+
 class Encoder:
     """Encodes texts with a byte-level tokenizer, each distinct word about once.
 
@@ -81,98 +94,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
-        self.newline = np.frombuffer(self._ids(["\n"])[0], dtype="<u4")[0]
-        self.tails: dict[str, bytes] = {}
-        self.known: dict[str, bytes | None] = {}
-        self.common: dict[str, bytes] = {}
-        self.fresh: dict[str, bytes] = {}
-        self.remembered = Remembered()
+        vocabulary = self.tokenizer.get_vocab()
+        # a character of the vocabulary stands for a byte
+        self.bytes = np.zeros(1 + max(vocabulary.values()), np.int64)
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        # punctuation that ends a word is a piece of its own, so the word before it is learned without it
+        self.words = WordTable(self._plain, lambda tails: [binary_array(self._ids(tails))], _tail_size, REMEMBERED, COMMON, head=HEAD)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words after a space, or with a line feed in front; None for what isn't one word.
-
-        Punctuation that ends a word is a piece of its own, so the word before it is learned without it.
-        """
-        ended, needed = [], set()
-        for w in words:
-            body = w.rstrip(TAIL)
-            if body != w and "\x00" < body[-1:] < "\u0250" and body[-1].isalnum() and len(w) - len(body) <= LONGEST_TAIL:
-                ended.append((w, body, w[len(body):]))
-                needed.add(body)
-            else:
-                needed.add(w)
-        self._learn_plain(list(needed.difference(self.known)))
-        known, tails, common = self.known, self.tails, self.common
-        if len(tails) > AT_HAND:
-            tails.clear()
-        new = list({tail for _, _, tail in ended}.difference(tails))
-        tails.update(zip(new, self._ids(new)))
-        for w, body, tail in ended:
-            ids = known[body]
-            known[w] = None if ids is None else ids + tails[tail]
-            if body in common:
-                common[w] = known[w]
-
-    def _learn_plain(self, words: list[str]) -> None:
-        found = self.remembered.find(words)
-        again = {w: ids for w, ids in zip(words, found) if ids is not None}
-        self.common |= again
-        self.known |= again
-        spaced, starting = [], []
-        for w in words:
-            if w in again:
+    def _in_one_go(self, words: list[str]) -> pa.Array:
+        """Ids of words that each begin with a space or line feed and have no other white space."""
+        sizes = pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64)
+        found = []
+        for at in range(0, len(words), AT_HAND):
+            part, ends = words[at:at + AT_HAND], np.cumsum(sizes[at:at + AT_HAND])
+            ids = np.frombuffer(self._ids(["".join(part)])[0], dtype="<u4")
+            stops = np.cumsum(self.bytes[ids])
+            last = np.searchsorted(stops, ends)
+            if stops[-1] != ends[-1] or not np.array_equal(stops[last], ends):
+                found.append(binary_array(self._ids(part)))
                 continue
-            body = w[1:] if w[:1] == "\n" else w
-            if body.split() == [body]:
-                (spaced if body is w else starting).append(w)
-            else:
-                self.known[w] = None
-        for new, lead in ((spaced, " "), (starting, "")):
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                # one call for many words, a line each; no word holds a line feed of its own
-                ids = self._ids(["x" + ("\n ".join(["", *part]) if lead else "".join(part))])[0]
-                array = np.frombuffer(ids, dtype="<u4")
-                ends = np.flatnonzero(array == self.newline).tolist()
-                if len(ends) != len(part):
-                    made = dict(zip(part, self._ids([lead + w for w in part])))
-                else:
-                    made = {w: ids[4 * (a + len(lead)):4 * b] for w, a, b in zip(part, ends, [*ends[1:], len(array)])}
-                self.known |= made
-                self.fresh |= made
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+            offsets = np.append(0, 4 * (last + 1)).astype(np.int32)
+            found.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
+        return pa.concat_arrays(found) if found else binary_array([])
+
+    def _plain(self, words: list[str]) -> list[pa.Array]:
+        """Ids of words after a space, with a line feed in front, or of a text's first word; null for what isn't one word."""
+        starting = [w[:1] == "\n" for w in words]
+        spaced = [i for i, x in enumerate(starting) if not x]
+        own = [words[i] for i in spaced]
+        other = []
+        if " ".join(own).split() != own:
+            other = [i for i in spaced if words[i].split() != [words[i]]]
+            spaced = sorted(set(spaced).difference(other))
+        lines, first = [], []
+        for i in (i for i, x in enumerate(starting) if x):
+            kind = first if words[i].startswith(HEAD) else lines
+            body = words[i][len(HEAD) if kind is first else 1:]
+            (kind if body.split() == [body] else other).append(i)
+        found = [self._in_one_go([" " + words[i] for i in spaced]), self._in_one_go([words[i] for i in lines]),
+                 binary_array(self._ids([words[i][len(HEAD):] for i in first])), binary_array([None] * len(other))]
+        return [pa.concat_arrays(found).take(pa.array(np.argsort(np.array([*spaced, *lines, *first, *other], np.int64))))]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > len(self.common) + AT_HAND or len(self.common) > COMMON:
-            self.remembered.add(self.fresh)
-            self.fresh.clear()
-            if len(self.common) > COMMON:  # all of them can still be looked up
-                self.common.clear()
-            self.known = dict(self.common)
-        # a word that starts a line keeps the line feed in front; any other but the first has a space there
-        whole = [any(a in t for a in self.added) if t else False for t in texts]
-        cut = [t.replace("\n", " \n").split(" ") if t and not w else [] for t, w in zip(texts, whole)]
-        words = [c[1:] for c in cut]
-        self._learn(list(set().union(*words).difference(self.known)))
-        get = self.known.__getitem__
-        out: list[bytes | None] = []
-        for c, own, w in zip(cut, words, whole):
-            if w:
-                out.append(None)
-                continue
-            try:
-                out.append(b"".join(map(get, own)) if c else b"")
-            except TypeError:  # not of single words only
-                out.append(None)
-                continue
-            if c and not (c[0] and len(c[0].split()) == 1 and not c[0][0].isspace() and not c[0][-1].isspace()):
-                out[-1] = None
-        heads = self._ids([c[0] if ids is not None else t for t, c, ids in zip(texts, cut, out) if t])
-        at = iter(heads)
-        return [b"" if not t else next(at) + (ids or b"") for t, ids in zip(texts, out)]
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        out = [b""] * len(texts)
+        filled = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        for token in self.added:
+            holding = pc.and_(filled, pc.fill_null(pc.match_substring(texts, token), False))
+            filled = pc.and_not(filled, holding)
+            for row in pc.indices_nonzero(holding).to_pylist():
+                out[row] = self._ids([texts[row].as_py()])[0]
+        rows = pc.indices_nonzero(filled)
+        found = self.words.find(texts.take(rows))
+        for row, known, ids in zip(rows.to_pylist(), found.known.tolist(), found.joined()):
+            # not of single words only
+            out[row] = bytes(ids) if known else self._ids([texts[row].as_py()])[0]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -193,12 +174,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list | None
     schema = T._parse_datatype_string("struct<doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>>")
     last = np.array([end], dtype="<u4").tobytes()
 
+    def encoded(whole):
+        """Some rows at a time with their ids; many are encoded at once."""
+        for large in by_size(whole, 1):
+            ids = encoder(tokenizer).encode(large.column(1))
+            for at in range(0, large.num_rows, SLICE):
+                yield large.slice(at, SLICE), [x + last for x in ids[at:at + SLICE]]
+
     def run(batches):
-        encode, start, part = encoder(tokenizer).encode, 0, TaskContext.get().partitionId()
+        start, part = 0, TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                each = [x + last for x in encode(batch.column(1).to_pylist())]
+            for batch, each in encoded(whole):
                 sizes = np.array([len(x) // 4 for x in each], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.array(np.frombuffer(b"".join(each), dtype="<u4").view(np.int32))

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from clipalign.llm import tokencount, tokenfiles
+from clipalign.llm import tokencount, tokenfiles, wordtable
 
 from .conftest import prose
 
@@ -123,3 +123,25 @@ def test_counts_equal_greedy_matches_of_the_vocabulary(table, awkward):
 def test_vocabulary_without_a_byte_is_refused():
     with pytest.raises(ValueError):
         tokencount.Automaton({b"a"})
+
+
+def test_words_that_came_before_are_not_encoded_again(plain, monkeypatch):
+    encoder, asked = tokenfiles.Encoder(PATH), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: [asked.extend(texts), ids(texts)][1])
+    texts = [prose(i, 40) for i in range(20)]
+    first = encoder.encode(texts)
+    asked.clear()
+    assert encoder.encode([f"{t}\n{t}." for t in texts[:5]] + texts)[5:] == first
+    assert encoder.encode(texts) == first == [np.array(plain(t), "<u4").tobytes() for t in texts]
+    asked.clear()
+    assert encoder.encode(texts[::-1]) == first[::-1]
+    assert not asked
+
+
+def test_words_of_equal_hash_have_their_own_ids(plain, monkeypatch):
+    monkeypatch.setattr(wordtable, "_hashes", lambda words: np.array([len(w) % 3 for w in words], np.int64))
+    encoder = tokenfiles.Encoder(PATH)
+    for i in range(4):
+        texts = [prose(i, 30), prose(i + 1, 30), *ODD]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
