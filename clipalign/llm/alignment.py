@@ -22,19 +22,23 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
 from clipalign.session import materialize, scratch_path
 
-from .text import SLICE, Memo, annotate_columns, exact_keys, word_keys, word_of
+from .text import SLICE, Memo, annotate_columns, exact_keys, word_of
 from .tokencount import byte_letters
-from .words import WordMemory
-
-#: Words at hand, words that a task can still look up besides them, and rows aligned at a time. Results don't depend on these bounds.
-AT_HAND = 60_000
-AWAY = 300_000
+from .wordtable import WordTable, binary_array
+
+#: Words of a task from which it has too many, frequent ones that it keeps then, words worked out at a time, bytes of text aligned at a time,
+#: and rows handed on at a time. Results don't depend on these bounds.
+WORDS = 600_000
+FREQUENT_WORDS = 150_000
+BATCH = 2000
+TEXT_BYTES = 3 << 20
 ROWS = 64
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
 LINKS = 250_000
@@ -178,22 +182,9 @@ def align_words(a: Side, b: Side, words: list[str]) -> list[tuple[bytes, bytes]]
     return [(packed[4 * s:4 * e], "".join(shown[s:e])[:-1].encode()) for s, e in zip([0, *stops[:-1]], stops)]
 
 
-#: Of a part whose bytes a side doesn't give back.
-_OTHER_BYTES = (None, None)
-
-
-def _pack(aligned: tuple) -> bytes:
-    tokens, shown = aligned
-    return b"" if tokens is None else len(tokens).to_bytes(4, "little") + tokens + shown
-
-
-def _unpack(packed: bytes) -> tuple:
-    n = 4 + int.from_bytes(packed[:4], "little")
-    return (packed[4:n], packed[n:]) if packed else _OTHER_BYTES
-
-
-def _joined(body: tuple, stop: tuple) -> tuple:
-    return body if body[0] is None else (body[0] + stop[0], body[1] + b";" + stop[1])
+def _stop_size(word: str) -> int:
+    """1 for a word that ends in a letter and a comma or full stop: both tokenizers end a token between these."""
+    return int(word[-1:] in (",", ".") and "@" < word[-2:-1] < "{" and word[-2].isalpha())
 
 
 class Aligner:
@@ -201,38 +192,52 @@ class Aligner:
 
     def __init__(self, a: Side, b: Side):
         self.sides = a, b
-        self.stops = dict(zip(",.", self._parts([",", "."])))
-        self.words = WordMemory(self._made, _pack, _unpack, AWAY, keep=True, at_hand=AT_HAND)
+        self.words = WordTable(self._plain, self._values, _stop_size, WORDS, FREQUENT_WORDS, parts=2)
 
-    def _parts(self, parts: list[str]) -> list[tuple]:
+    def _values(self, parts: list[str | None]) -> list[pa.Array]:
+        """The tokens and the groups as text with a semicolon behind; both empty where a side changes bytes, and null for null."""
         a, b = self.sides
-        plain = [p for p in parts if p[0] == " " and _PLAIN(p, 1)]
+        own = [p for p in parts if p is not None]
+        plain = [p for p in own if p[0] == " " and _PLAIN(p, 1)]
         made = dict(zip(plain, align_words(a, b, [p[1:] for p in plain]) or ())) if plain else {}
-        other = [p for p in parts if p not in made]
-        made |= zip(other, [align_ids(a, b, *x) or _OTHER_BYTES for x in zip(other, a.ids(other), b.ids(other))])
-        return [made[p] for p in parts]
-
-    def _made(self, keys: list[str]) -> list[tuple | None]:
-        parts = list(map(word_of, keys))
-        # both tokenizers end a token between a letter and a comma or full stop
-        ended = [bool(p) and p[-1] in self.stops and "@" < p[-2:-1] < "{" and p[-2].isalpha() for p in parts]
-        known = self.words.known
-        made = {p[:-1]: known[key[:-1]] for key, p, e in zip(keys, parts, ended) if e and key[:-1] in known}
-        bodies = list({p[:-1] if e else p for p, e in zip(parts, ended) if p is not None}.difference(made))
-        made |= zip(bodies, self._parts(bodies))
-        return [None if p is None else _joined(made[p[:-1]], self.stops[p[-1]]) if e else made[p] for p, e in zip(parts, ended)]
-
-    def align(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        other = [p for p in own if p not in made]
+        made |= zip(other, [align_ids(a, b, *x) for x in zip(other, a.ids(other), b.ids(other))])
+        values = [(None, None) if p is None else (made[p][0], made[p][1] + b";") if made[p] else (b"", b"") for p in parts]
+        return [binary_array([v[i] for v in values]) for i in (0, 1)]
+
+    def _plain(self, words: list[str]) -> list[pa.Array]:
+        parts = list(map(word_of, words))
+        return [pa.concat_arrays(x) for x in zip(*(self._values(parts[i:i + BATCH]) for i in range(0, len(parts), BATCH)))]
+
+    def _exact(self, text: str) -> tuple[bytes, bytes]:
+        """The tokens and groups of a text with white space that the table can't tell apart."""
+        parts = list(map(word_of, exact_keys(" " + text)))
+        distinct = list(dict.fromkeys(parts))
+        keys = [p[1:] if p[0] == " " else p for p in distinct]
+        held = [word_of(k) == p and " " not in k for p, k in zip(distinct, keys)]
+        alone = [p for p, h in zip(distinct, held) if not h]
+        places = self.words.places([k for k, h in zip(keys, held) if h])
+        # words whose hash is that of another have none
+        alone += [p for p, place in zip([p for p, h in zip(distinct, held) if h], places.tolist()) if not place]
+        made = dict(zip([p for p, h in zip(distinct, held) if h], zip(*(x.to_pylist() for x in self.words.at(places)))))
+        for i in range(0, len(alone), BATCH):
+            made.update(zip(alone[i:i + BATCH], zip(*(x.to_pylist() for x in self._values(alone[i:i + BATCH])))))
+        found = list(map(made.__getitem__, parts))
+        return (b"".join([x for x, _ in found]), b"".join([x for _, x in found])) if all(x for x, _ in found) else (b"", b"")
+
+    def align(self, texts: list[str | None] | pa.Array) -> list[tuple[bytes, str]]:
         """The tokens of a space and the text, and the SHA-256 of their groups as text; both are empty without tokens."""
-        keys = [word_keys(" " + t) if t else [] for t in texts]
-        self.words.learn(keys)
-        known, first, second, out = self.words.known.__getitem__, itemgetter(0), itemgetter(1), []
-        for text, own in zip(texts, keys):
-            parts = list(map(known, own))
-            if None in parts:  # white space that word_keys can't tell apart
-                parts = self._made(exact_keys(" " + text))
-            fine = parts and _OTHER_BYTES not in parts
-            out.append((b"".join(map(first, parts)), hashlib.sha256(b";".join(map(second, parts))).hexdigest()) if fine else (b"", ""))
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        out = [(b"", "")] * len(texts)
+        rows = pc.indices_nonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False))
+        found = self.words.find(texts.take(rows))
+        for row, known, empty, tokens, shown in zip(rows.to_pylist(), found.known.tolist(), found.any_empty().tolist(), found.joined(0), found.joined(1)):
+            if not known:
+                tokens, shown = self._exact(texts[row].as_py())
+            elif empty:
+                continue
+            if tokens:
+                out[row] = bytes(tokens), hashlib.sha256(shown[:-1]).hexdigest()
         return out
 
 
@@ -269,15 +274,13 @@ def align(docs: DataFrame, a: str, b: str, into: str = "alignment") -> DataFrame
     ones too. An existing column `into` is replaced, all others pass through.
     """
     def make():
-        whole = aligner(a, b)
-
-        def columns(texts: pa.Array) -> list:
-            tokens, digests = zip(*whole.align(texts.to_pylist()))
+        def columns(aligned: list[tuple[bytes, str]]) -> list:
+            tokens, digests = zip(*aligned)
             return [*unravel(tokens), list(digests)]
 
-        return columns
+        return aligner(a, b).align, columns
 
-    return annotate_columns(docs, into, "a array<int>, b array<int>, sizes array<int>, groups_sha256 string", [F.col("text").cast("string")], make, ROWS)
+    return annotate_columns(docs, into, "a array<int>, b array<int>, sizes array<int>, groups_sha256 string", [F.col("text").cast("string")], make, ROWS, TEXT_BYTES)
 
 
 def _spread(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .wordtable import by_size
+
 #: Rows of an Arrow batch that are turned into Python objects at a time; bounds the memory of a worker, not the input.
 SLICE = 256
 
@@ -70,8 +72,13 @@ def flat(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch
     return df.mapInArrow(run, out)
 
 
-def annotate_columns(df: DataFrame, into: str, fields: str, inputs: list, make: Callable[[], Callable[..., list]], rows: int = SLICE) -> DataFrame:
-    """As `annotate`, but `make` returns a function from the input arrays of up to `rows` rows to the arrays or lists of `fields`."""
+def annotate_columns(df: DataFrame, into: str, fields: str, inputs: list, make: Callable[[], Callable[..., list]], rows: int = SLICE,
+                     text_bytes: int | None = None) -> DataFrame:
+    """As `annotate`, but `make` returns a function from the input arrays of up to `rows` rows to the arrays or lists of `fields`.
+
+    With `text_bytes`, `make` returns two functions: from an input array of strings of about so many bytes to a list, and from up to `rows`
+    items of that list to the arrays or lists of `fields`.
+    """
     names = [c for c in df.columns if c != into]
     struct = T._parse_datatype_string(f"struct<{fields}>")
     arrow = to_arrow_type(struct)
@@ -81,13 +88,16 @@ def annotate_columns(df: DataFrame, into: str, fields: str, inputs: list, make:
     out = T.StructType([*packed.schema.fields[:len(names)], T.StructField("out", struct)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                parts = [pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns(*batch.columns[-n:]), arrow)]
-                made = pa.StructArray.from_arrays(parts, fields=list(arrow))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-n], made], names=[*batch.schema.names[:-n], "out"])
+        work, columns = make() if text_bytes else (None, make())
+        for given in batches:
+            for whole in by_size(given, -1, text_bytes) if work else [given]:
+                worked = work(whole.columns[-1]) if work else []
+                for at in range(0, whole.num_rows, rows):
+                    batch = whole.slice(at, rows)
+                    found = columns(worked[at:at + rows]) if work else columns(*batch.columns[-n:])
+                    parts = [pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(found, arrow)]
+                    made = pa.StructArray.from_arrays(parts, fields=list(arrow))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-n], made], names=[*batch.schema.names[:-n], "out"])
 
     done = packed.mapInArrow(run, out)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("out").alias(into))

@@ -13,12 +13,12 @@ TEXT_BYTES = 6 << 20
 TABLE_BYTES = 96 << 20
 
 
-def by_size(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about TEXT_BYTES in a column of strings; a longer string is a slice of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def by_size(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many bytes in a column of strings; a longer string is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.columns[column]), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(sizes, dtype=np.int64), 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + TEXT_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
         yield batch.slice(at, to - at)
         at = to
 
