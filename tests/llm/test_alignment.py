@@ -154,3 +154,15 @@ def test_query_equals_the_slow_reading(spark):
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     found = {r.doc_id: tuple(r[n] for n in names) for r in queries.op11_alignment(spark, sf_dir).collect()}
     assert found == dict(zip([d.doc_id for d in docs], expected_rows([d.text for d in docs])))
+
+
+def test_words_beside_other_white_space_are_aligned_once():
+    asked = []
+    own = alignment.Aligner(*(alignment.Side(lambda parts, s=s: [asked.extend(parts), s.ids(parts)][1], s.raw) for s in ALIGNER.sides))
+    text = prose(3, 30) + "\n\n" + prose(4, 30) + "  éa\tb"
+    first = own.align([text])
+    assert first == ALIGNER.align([text])
+    asked.clear()
+    assert own.align([text, text + " éa"])[0] == first[0]
+    # what has white space of its own in front, and the new word at the end
+    assert all(p[:2] in ("\n\n", "  ", " é") or "\t" in p for p in asked)
