@@ -211,9 +211,16 @@ def find_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame
     return spark.read.orc(path).filter(F.col("doc_id").isin(doc_ids))
 
 
-def with_crc(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+def with_crc(tokens: DataFrame, done: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32, the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
+
+    With `done`, workers let go of the words that they have encoded.
+    """
     def make():
+        if done:
+            encoder.cache_clear()
+            pa.default_memory_pool().release_unused()
+
         def rows(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

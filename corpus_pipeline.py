@@ -48,7 +48,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     except AnalysisException:
         order = None
     tokenfiles.write_tokens(docs, path, public_tokenizers.path(queries.TOKENIZER), order)
-    return tokenfiles.with_crc(tokenfiles.read_tokens(spark, path))
+    return tokenfiles.with_crc(tokenfiles.read_tokens(spark, path), done=True)
 
 
 STAGES = [

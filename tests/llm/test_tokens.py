@@ -1,4 +1,5 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -145,3 +146,13 @@ def test_words_of_equal_hash_have_their_own_ids(plain, monkeypatch):
     for i in range(4):
         texts = [prose(i, 30), prose(i + 1, 30), *ODD]
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
+
+
+def test_workers_let_go_of_words_when_done(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "flat", lambda df, schema, make: make)
+    tokens = SimpleNamespace(select=lambda *columns: None)
+    tokenfiles.encoder(PATH)
+    tokenfiles.with_crc(tokens)()
+    assert tokenfiles.encoder.cache_info().currsize == 1
+    tokenfiles.with_crc(tokens, done=True)()
+    assert tokenfiles.encoder.cache_info().currsize == 0
