@@ -35,10 +35,10 @@ from .wordtable import WordTable, binary_array
 
 #: Words of a task from which it has too many, frequent ones that it keeps then, words worked out at a time, bytes of text aligned at a time,
 #: and rows handed on at a time. Results don't depend on these bounds.
-WORDS = 600_000
+WORDS = 300_000
 FREQUENT_WORDS = 150_000
 BATCH = 2000
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 1 << 20
 ROWS = 64
 #: Links that are spread out at a time, and pairs whose counts a task keeps before it hands them on.
 LINKS = 250_000
@@ -238,6 +238,10 @@ class Aligner:
                 continue
             if tokens:
                 out[row] = bytes(tokens), hashlib.sha256(shown[:-1]).hexdigest()
+        # what the words of a slice took would else stay with the worker
+        found = tokens = shown = None
+        tokens = shown = None
+        pa.default_memory_pool().release_unused()
         return out
 
 
@@ -343,7 +347,8 @@ def _narrow_batches(spark: SparkSession) -> Iterator[None]:
 
 def write_aligned(aligned: DataFrame, path: str) -> None:
     """Write aligned rows as Parquet, in row groups that a task can hold beside others."""
-    aligned.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
+    with _narrow_batches(aligned.sparkSession):
+        aligned.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
 
 
 def pair_counts(aligned: DataFrame, column: str = "alignment") -> DataFrame:
