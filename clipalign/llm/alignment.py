@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from clipalign.session import materialize, scratch_path
 
-from .text import SLICE, Memo, annotate_columns, exact_keys, word_of
+from .text import SLICE, Memo, annotate_columns, exact_keys, stop_size, word_of
 from .tokencount import byte_letters
 from .wordtable import WordTable, binary_array
 
@@ -182,17 +182,12 @@ def align_words(a: Side, b: Side, words: list[str]) -> list[tuple[bytes, bytes]]
     return [(packed[4 * s:4 * e], "".join(shown[s:e])[:-1].encode()) for s, e in zip([0, *stops[:-1]], stops)]
 
 
-def _stop_size(word: str) -> int:
-    """1 for a word that ends in a letter and a comma or full stop: both tokenizers end a token between these."""
-    return int(word[-1:] in (",", ".") and "@" < word[-2:-1] < "{" and word[-2].isalpha())
-
-
 class Aligner:
     """Aligns whole texts, each distinct word about once: both tokenizers end a token where a space or line feed follows another character."""
 
     def __init__(self, a: Side, b: Side):
         self.sides = a, b
-        self.words = WordTable(self._plain, self._values, _stop_size, WORDS, FREQUENT_WORDS, parts=2)
+        self.words = WordTable(self._plain, self._values, stop_size, WORDS, FREQUENT_WORDS, parts=2)
 
     def _values(self, parts: list[str | None]) -> list[pa.Array]:
         """The tokens and the groups as text with a semicolon behind; both empty where a side changes bytes, and null for null."""

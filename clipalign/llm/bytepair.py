@@ -17,15 +17,22 @@ import struct
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Memo, annotate_columns, exact_keys, word_keys, word_of
-from .words import WordMemory
+from .text import Memo, annotate_columns, exact_keys, stop_size, word_of
+from .wordtable import WordTable, binary_array
 
-#: Pairs of tokens that a task remembers in each of two generations. Ids don't depend on it.
-REMEMBERED = 300_000
+#: Pairs of tokens that a worker remembers in each of two generations, words of a worker from which it has too many, frequent ones that it keeps
+#: then, and bytes of text encoded at a time. They bound the memory of a worker, as new words never end. Ids don't depend on them.
+REMEMBERED = 150_000
+WORDS = 300_000
+FREQUENT_WORDS = 150_000
+TEXT_BYTES = 1 << 20
+#: In front of the first word of a text; others have at most one line feed there.
+HEAD = "\n\n"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,46 +150,52 @@ class TextEncoder:
 
     def __init__(self, pairs: BytePairs):
         self.pairs = pairs
-        self.stops = {c: self._packed(pairs.encode(c)) for c in ",."}
-        self.words = WordMemory(lambda keys: list(map(self._ids, keys)))
+        # letters end before a full stop or comma, which is then a word of its own
+        self.words = WordTable(lambda words: [binary_array(list(map(self._word, words)))], lambda tails: [binary_array(list(map(self._ids, tails)))],
+                               stop_size, WORDS, FREQUENT_WORDS, head=HEAD)
 
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
+    def _ids(self, part: str) -> bytes:
+        ids = self.pairs.encode(part)
         return struct.pack(f"<{len(ids)}i", *ids)
 
-    def _ids(self, key: str) -> bytes | None:
-        part = word_of(key)
-        if part is None:
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of the table; None for white space that the table can't tell apart."""
+        if word == HEAD:
+            return b""
+        if not word or word[-1].isspace():
             return None
-        # letters end before a full stop or comma, which is then a word of its own
-        if part[-1:] in (",", ".") and "@" < part[-2:-1] < "{" and part[-2].isalpha() and self.pairs.plain:
-            body = self.words.known.get(key[:-1])
-            return (self._packed(self.pairs.encode(part[:-1])) if body is None else body) + self.stops[part[-1]]
-        return self._packed(self.pairs.encode(part))
+        return self._ids(word[len(HEAD):] if word.startswith(HEAD) else word if word[0] == "\n" else " " + word)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         self.pairs.fits.trim()
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        out = [b""] * len(texts)
+        rows = pc.indices_nonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False))
         if not self.pairs.plain:
-            return [self._packed(self.pairs.encode(t or "")) for t in texts]
-        keys = [word_keys(t) if t else [] for t in texts]
-        self.words.learn(keys)
-        ids = self.words.known.get
-        out = []
-        for text, own in zip(texts, keys):
-            try:
-                out.append(b"".join(map(ids, own)))
-            except TypeError:  # white space that word_keys can't tell apart
-                out.append(b"".join(map(self._ids, exact_keys(text))))
+            for row in rows.to_pylist():
+                out[row] = self._ids(texts[row].as_py())
+            return out
+        found = self.words.find(texts.take(rows))
+        for row, known, ids in zip(rows.to_pylist(), found.known.tolist(), found.joined()):
+            out[row] = bytes(ids) if known else b"".join(self._ids(word_of(key)) for key in exact_keys(texts[row].as_py()))
+        # what the words of a slice took would else stay with the worker
+        found = ids = None
+        pa.default_memory_pool().release_unused()
         return out
 
 
 @functools.lru_cache(maxsize=1)
 def text_encoder(path: str, pattern: str) -> TextEncoder:
     """The encoder of a Python worker, kept from task to task."""
-    made = TextEncoder(BytePairs(read_ranks(path), pattern))
-    gc.freeze()  # the tables are not looked through again and again
-    return made
+    return TextEncoder(BytePairs(read_ranks(path), pattern))
+
+
+def let_go() -> None:
+    """Have a worker give back its encoder. A worker may encode in one task and decode in the next, and would keep both."""
+    if text_encoder.cache_info().currsize:
+        text_encoder.cache_clear()
+        gc.collect()  # its parts refer to each other
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, into: str = "encoded") -> DataFrame:
@@ -192,16 +205,15 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.P
     merged by rank, and of equal neighbours the leftmost go first. An existing column `into` is replaced, all others pass through.
     """
     def make():
-        encoder = text_encoder(ranks, pattern)
+        token_bytes.cache_clear()
 
-        def columns(texts: pa.Array) -> list:
-            each = encoder.encode(texts.to_pylist())
+        def columns(each: list[bytes]) -> list:
             ends = np.cumsum([0, *map(len, each)], dtype=np.int64) // 4
             return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))]
 
-        return columns
+        return text_encoder(ranks, pattern).encode, columns
 
-    return annotate_columns(docs, into, "ids array<int>", [F.col("text").cast("string")], make)
+    return annotate_columns(docs, into, "ids array<int>", [F.col("text").cast("string")], make, text_bytes=TEXT_BYTES)
 
 
 @functools.lru_cache(maxsize=1)
@@ -212,6 +224,7 @@ def token_bytes(path: str) -> dict[int, bytes]:
 def decode_ids(encoded: DataFrame, ids, ranks: str, into: str = "decoded") -> DataFrame:
     """Add struct `into`: raw, the bytes that the ids in the column `ids` stand for. Null for null ids; an unknown id is refused."""
     def make():
+        let_go()
         tokens = token_bytes(ranks).__getitem__
 
         def columns(lists: pa.Array) -> list:

@@ -147,5 +147,10 @@ def word_of(key: str) -> str | None:
     return key if key[0] == "\n" else " " + key
 
 
+def stop_size(word: str) -> int:
+    """1 for a word that ends in a letter and a comma or full stop: byte-pair and piece tokenizers end a token between these."""
+    return int(word[-1:] in (",", ".") and "@" < word[-2:-1] < "{" and word[-2].isalpha())
+
+
 def raw_text(column: str = "text"):
     return F.col(column).cast("binary")

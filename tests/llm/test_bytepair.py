@@ -1,4 +1,5 @@
 import hashlib
+import weakref
 
 import public_tokenizers
 import pytest
@@ -85,6 +86,23 @@ def test_words_put_away_come_back(monkeypatch):
         assert [ids(x) for x in encoder.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
+def test_a_worker_keeps_few_words(monkeypatch):
+    monkeypatch.setattr(bytepair, "WORDS", 60)
+    monkeypatch.setattr(bytepair, "FREQUENT_WORDS", 30)
+    encoder = bytepair.TextEncoder(ENCODER.pairs)
+    for i in range(12):
+        some = f"{prose(i % 4, 40)} w{i}x."
+        assert ids(encoder.encode([some])[0]) == LIBRARY.encode_ordinary(some)
+        assert len(encoder.words.words) < 60 + 80
+
+
+def test_a_worker_that_decodes_gives_back_its_encoder():
+    encoder = weakref.ref(bytepair.text_encoder(PATH, public_tokenizers.PATTERN))
+    assert encoder() is not None
+    bytepair.let_go()
+    assert encoder() is None
+
+
 def test_ranks_without_a_byte_are_refused():
     with pytest.raises(ValueError):
         bytepair.BytePairs({b"a": 0})
