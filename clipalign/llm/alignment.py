@@ -11,14 +11,15 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import math
 import os
 import re
 import struct
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import accumulate
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -54,33 +55,35 @@ ID_BITS = 26
 _OTHER = (1 << ID_BITS) - 1
 
 
-def gallop(longer: list[int], shorter: list[int]) -> list[tuple[int, int]]:
-    """The places (in longer, in shorter) of the numbers that two rising lists share."""
-    found, low, n = [], 0, len(longer)
+def _gallop(longer: list[int], shorter: list[int]) -> tuple[list[int], list[int]]:
+    """The places in both of the numbers that two rising lists share."""
+    in_longer, in_shorter, low, n = [], [], 0, len(longer)
+    longer = [*longer, math.inf]
     for place, x in enumerate(shorter):
-        step = 1
-        while low + step < n and longer[low + step] < x:
-            step *= 2
-        high = min(low + step, n - 1)  # longer[high] >= x, or high is the last place
-        low += step // 2
-        while low < high:
-            middle = (low + high) // 2
-            if longer[middle] < x:
-                low = middle + 1
-            else:
-                high = middle
-        if low >= n:
-            break
+        if longer[low] < x:
+            low += 1
+            if longer[low] < x:
+                step = 1  # longer[low + step] >= x after this, or there is no such place
+                while low + step < n and longer[low + step] < x:
+                    step *= 2
+                low = bisect_left(longer, x, low + step // 2 + 1, min(low + step, n))
         if longer[low] == x:
-            found.append((low, place))
-    return found
+            in_longer.append(low)
+            in_shorter.append(place)
+    return in_longer, in_shorter
+
 
+def gallop(longer: list[int], shorter: list[int]) -> list[tuple[int, int]]:
+    """The places (in longer, in shorter) of the numbers that two rising lists share."""
+    return list(zip(*_gallop(longer, shorter)))
 
-def shared_cuts(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """For each offset at which tokens of both end: how many tokens of each end there or before."""
+
+def shared_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+    """The places among the ends of a, and among those of b, of each offset at which tokens of both end."""
     if len(a_ends) < len(b_ends):
-        return [(a + 1, b + 1) for b, a in gallop(b_ends, a_ends)]
-    return [(a + 1, b + 1) for a, b in gallop(a_ends, b_ends)]
+        at_b, at_a = _gallop(b_ends, a_ends)
+        return at_a, at_b
+    return _gallop(a_ends, b_ends)
 
 
 @dataclass(frozen=True)
@@ -129,9 +132,10 @@ def align_ids(a: Side, b: Side, part: str, a_ids: list[int], b_ids: list[int]) -
     a_raw, b_raw, raw = list(map(a.raw, a_ids)), list(map(b.raw, b_ids)), part.encode()
     if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
         return None
-    cuts = shared_cuts(list(accumulate(map(len, a_raw))), list(accumulate(map(len, b_raw))))
+    cuts = shared_ends(list(accumulate(map(len, a_raw))), list(accumulate(map(len, b_raw))))
     tokens, shown, i, k = [], [], 0, 0
-    for to_a, to_b in cuts:
+    for to_a, to_b in zip(*cuts):
+        to_a, to_b = to_a + 1, to_b + 1
         own, other = a_ids[i:to_a], b_ids[k:to_b]
         tokens.append(own[0] * 4 + 1)
         tokens += [x * 4 for x in own[1:]]
@@ -161,14 +165,14 @@ def align_words(a: Side, b: Side, words: list[str]) -> list[tuple[bytes, bytes]]
             return None
         ids.append(np.array(own, np.int32))
         ends.append(list(accumulate(map(len, pieces))))
-    cuts = np.array(shared_cuts(*ends), np.int64)
-    # rows of `cuts` at which a word ends, and the tokens before them
+    at_ends = [np.array(x, np.int64) for x in shared_ends(*ends)]
+    # the shared ends at which a word ends, and the tokens before them
     word_ends = np.cumsum([len(x) for x in raw])
-    cut_ends = np.array(ends[0])[cuts[:, 0] - 1]
+    cut_ends = np.array(ends[0])[at_ends[0]]
     place = np.searchsorted(cut_ends, word_ends)
     if not np.array_equal(cut_ends[place], word_ends):
         return None
-    to_a, to_b = cuts[:, 0], cuts[:, 1]
+    to_a, to_b = (x + 1 for x in at_ends)
     from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
     at_a = np.arange(len(ids[0])) + np.repeat(from_b, to_a - from_a)
     at_b = np.arange(len(ids[1])) + np.repeat(to_a, to_b - from_b)
@@ -243,47 +247,70 @@ class Aligner:
 @functools.lru_cache(maxsize=1)
 def aligner(a: str, b: str) -> Aligner:
     """The aligner of a Python worker, kept from task to task."""
-    made = Aligner(byte_level(a), piece_level(b))
-    gc.freeze()
-    return made
+    return Aligner(byte_level(a), piece_level(b))
+
+
+def let_go() -> None:
+    """Have a worker give back its aligner, which the steps after the alignment don't need."""
+    if aligner.cache_info().currsize:
+        aligner.cache_clear()
+        gc.collect()  # its parts refer to each other
+        pa.default_memory_pool().release_unused()
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
 
 
+def _sides(tokens: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of a, ids of b, and numbers of tokens of both in each group, in turn, and how many of each are of each text, of `counts` tokens."""
+    ends = np.append(0, np.cumsum(counts))
+    per = lambda chosen: np.diff(np.append(0, np.cumsum(chosen))[ends])
+    of_b, first = tokens & 2 > 0, tokens & 1 > 0
+    starts = np.flatnonzero(first)
+    n = np.diff(np.append(starts, len(tokens)))
+    n_b = np.diff(np.append(np.append(0, np.cumsum(of_b))[starts], of_b.sum()))
+    yield tokens[~of_b] >> 2, per(~of_b)
+    yield tokens[of_b] >> 2, per(of_b)
+    yield np.stack([n - n_b, n_b], axis=1).ravel(), 2 * per(first)
+
+
 def unravel(each: list[bytes]) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Ids of a, ids of b, and numbers of tokens of both in each group, in turn, as lists for the tokens of each text."""
-    counts = np.array([len(x) // 4 for x in each])
+    counts = np.array([len(x) // 4 for x in each], np.int64)
+    a, b, sizes = (_lists(*x) for x in _sides(np.frombuffer(b"".join(each), dtype="<i4"), counts))
+    return a, b, sizes
+
+
+def _numbers(each: list[bytes]) -> list[pa.Array]:
+    """How many tokens of a, tokens of b and groups each of these has."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in each)])
     tokens = np.frombuffer(b"".join(each), dtype="<i4")
-    row = np.repeat(np.arange(len(each)), counts)
-    of_b, first = tokens & 2 > 0, tokens & 1 > 0
-    per = lambda chosen: np.bincount(row[chosen], minlength=len(each))
-    group = np.cumsum(first) - 1
-    n = int(first.sum())
-    sizes = np.stack([np.bincount(group[chosen], minlength=n) for chosen in (~of_b, of_b)], axis=1).ravel()
-    return _lists(tokens[~of_b] >> 2, per(~of_b)), _lists(tokens[of_b] >> 2, per(of_b)), _lists(sizes, 2 * per(first))
+    n_b, n_groups = (np.diff(np.append(0, np.cumsum(tokens & bit > 0))[ends]) for bit in (2, 1))
+    return [pa.array(x) for x in (np.diff(ends) - n_b, n_b, n_groups)]
 
 
-def align(docs: DataFrame, a: str, b: str, into: str = "alignment") -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, into: str = "alignment", packed: bool = False) -> DataFrame:
     """Add struct `into`: a and b, the token ids of a space and the whole text by the byte-level file `a` and the sentencepiece model `b`;
     sizes, the numbers of tokens of a and b in each group, in turn; groups_sha256, the digest of the groups as `a1,a2|b1;a3|b2,b3`.
 
     Null and empty texts, and those whose bytes a side doesn't give back, have empty lists and an empty digest. Every row is kept, repeated
-    ones too. An existing column `into` is replaced, all others pass through.
+    ones too. An existing column `into` is replaced, all others pass through. With `packed`, the struct has all tokens in one binary value,
+    32-bit integers as by `align_ids`, and their numbers n_a, n_b and n_groups in place of the lists; `pair_counts` and `score_links` take both.
     """
     def make():
         def columns(aligned: list[tuple[bytes, str]]) -> list:
             tokens, digests = zip(*aligned)
-            return [*unravel(tokens), list(digests)]
+            return [*([binary_array(tokens), *_numbers(tokens)] if packed else unravel(tokens)), list(digests)]
 
         return aligner(a, b).align, columns
 
-    return annotate_columns(docs, into, "a array<int>, b array<int>, sizes array<int>, groups_sha256 string", [F.col("text").cast("string")], make, ROWS, TEXT_BYTES)
+    fields = "tokens binary, n_a bigint, n_b bigint, n_groups bigint" if packed else "a array<int>, b array<int>, sizes array<int>"
+    return annotate_columns(docs, into, f"{fields}, groups_sha256 string", [F.col("text").cast("string")], make, ROWS, TEXT_BYTES)
 
 
 def _spread(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a << ID_BITS | b) of all links of the groups and how often each link counts, some groups at a time."""
+    """Distinct pairs (a << ID_BITS | b) of the links of the groups, rising, and how many links each has, some groups at a time."""
     n_a, n_b = sizes[0::2].astype(np.int64), sizes[1::2].astype(np.int64)
     from_a, from_b, links = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, n_a * n_b
     at, done = 0, np.concatenate([[0], np.cumsum(links)])
@@ -301,7 +328,7 @@ def _spread(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[n
         group = np.repeat(np.arange(at, to), links[at:to])
         k = np.arange(len(group)) - (done[group] - done[at])
         x, y = a[from_a[group] + k // n_b[group]].astype(np.int64), b[from_b[group] + k % n_b[group]]
-        yield (x << ID_BITS) | y, np.ones(len(group), dtype=np.int64)
+        yield np.unique((x << ID_BITS) | y, return_counts=True)
         at = to
 
 
@@ -309,21 +336,30 @@ def pairs_of(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     """The distinct linked pairs of a document, rising, and how many links each has."""
     pairs, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for more, n in _spread(a, b, sizes):
+        if not len(pairs):
+            pairs, counts = more, n.astype(np.int64, copy=False)
+            continue
         pairs, place = np.unique(np.concatenate([pairs, more]), return_inverse=True)
         counts = np.bincount(place, np.concatenate([counts, n]), len(pairs)).astype(np.int64)
     return pairs, counts
 
 
 def _documents(batch: pa.RecordBatch, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """`pairs_of` each row, from its arrays a, b, sizes in the columns from `first`."""
-    arrays = []
-    for column in batch.columns[first:first + 3]:
-        arrays.append((column.values.to_numpy(), column.offsets.to_numpy()))
+    """`pairs_of` each row, from its packed tokens in the column `first`, or from its arrays a, b, sizes in the columns from there."""
+    column = batch.columns[first]
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) // 4
+        tokens = np.frombuffer(column.buffers()[2] or b"", "<i4")[ends[0]:ends[-1]]
+        arrays = [(values, np.append(0, np.cumsum(counts))) for values, counts in _sides(tokens, np.diff(ends))]
+    else:
+        arrays = [(column.values.to_numpy(), column.offsets.to_numpy()) for column in batch.columns[first:first + 3]]
     for row in range(batch.num_rows):
         yield pairs_of(*(values[ends[row]:ends[row + 1]] for values, ends in arrays))
 
 
 def _lists_of(aligned: DataFrame, column: str) -> list:
+    if "tokens" in aligned.schema[column].dataType.names:
+        return [F.coalesce(F.col(f"`{column}`.tokens"), F.lit(b"")).alias("i0")]
     return [F.coalesce(F.col(f"`{column}`.{x}"), F.array().cast("array<int>")).alias(f"i{i}") for i, x in enumerate(("a", "b", "sizes"))]
 
 
@@ -354,7 +390,7 @@ def pair_counts(aligned: DataFrame, column: str = "alignment") -> DataFrame:
     schema = T._parse_datatype_string("struct<pair bigint, n bigint>")
 
     def run(batches):
-        aligner.cache_clear()  # a worker that has aligned needs its words no more
+        let_go()
         parts, held = [], 0
 
         def summed():
@@ -400,7 +436,7 @@ def score_links(aligned: DataFrame, counts: DataFrame, key: str, column: str = "
         "struct<pair bigint, times bigint, n_links bigint, n_best bigint, count_sum bigint>").fields])
 
     def run(batches):
-        aligner.cache_clear()
+        let_go()
         pairs_known, docs_known, best_known = frequent.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):

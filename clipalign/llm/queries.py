@@ -88,14 +88,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = alignment.align(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    aligned = alignment.align(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES), packed=True)
     path = scratch_path(spark, "aligned")
     # the keys are fixed by being written, once for each row
     alignment.write_aligned(aligned.select(F.monotonically_increasing_id().alias("key"), "doc_id", "alignment"), path)
     aligned = spark.read.parquet(path)
     scores = alignment.score_links(aligned, alignment.pair_counts(aligned), "key")
-    n = [F.size(f"alignment.{x}").cast("bigint") for x in ("a", "b", "sizes")]
-    texts = aligned.select("key", "doc_id", n[0].alias("n_a"), n[1].alias("n_b"), F.shiftright(n[2], 1).alias("n_groups"), "alignment.groups_sha256")
+    texts = aligned.select("key", "doc_id", "alignment.n_a", "alignment.n_b", "alignment.n_groups", "alignment.groups_sha256")
     return texts.join(scores, "key").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import weakref
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
@@ -138,6 +139,28 @@ def test_links_with_few_and_many_broadcast_pairs(table, monkeypatch, frequent):
     assert found == dict(enumerate(expected_rows(texts)))
 
 
+def test_packed_tokens_give_the_same_links(table, awkward):
+    texts = [*ODD, None, "", "x", "x", prose(1, 300), prose(2, 200), prose(1, 300)]
+    for rows in (table(list(enumerate(texts))), table([(1, None)]), table([])):
+        found = []
+        for packed in (False, True):
+            aligned = alignment.align(rows, A, B, packed=packed)
+            counts = alignment.pair_counts(aligned)
+            links = alignment.score_links(aligned, counts, "doc_id")
+            found.append((sorted(map(tuple, counts.collect())), sorted(map(tuple, links.collect()))))
+        assert found[0] == found[1]
+        lists = alignment.align(rows, A, B).selectExpr("doc_id", "size(alignment.a)", "size(alignment.b)", "size(alignment.sizes) div 2", "alignment.groups_sha256")
+        packs = aligned.select("doc_id", "alignment.n_a", "alignment.n_b", "alignment.n_groups", "alignment.groups_sha256")
+        assert sorted(map(tuple, packs.collect())) == sorted(map(tuple, lists.collect()))
+
+
+def test_a_worker_gives_back_its_aligner():
+    own = weakref.ref(alignment.aligner(A, B))
+    assert own() is not None
+    alignment.let_go()
+    assert own() is None
+
+
 def test_awkward_and_empty_tables(awkward, table):
     aligned = alignment.align(awkward.withColumn("links", F.lit(1)).withColumn("pair", F.lit(2)).withColumn("row", F.monotonically_increasing_id()), A, B)
     assert sorted(map(str, aligned.select(awkward.columns).collect())) == sorted(map(str, awkward.collect()))
